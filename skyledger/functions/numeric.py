@@ -88,6 +88,11 @@ def t_upper_tail(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(p).where(~np.isnan(p), None)
 
 
+_GEODESIC = T.StructType(
+    [T.StructField("dist_m", T.DoubleType()), T.StructField("azimuth_deg", T.DoubleType())]
+)
+
+
 def geodesic_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     """Distance (m) and forward azimuth (degrees 0-360) on the WGS84 ellipsoid (Vincenty)."""
     f, a = C.WGS84_F, C.WGS84_A
@@ -124,7 +129,7 @@ def geodesic_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
     return dist, az
 
 
-@F.pandas_udf("dist_m double, azimuth_deg double")
+@F.pandas_udf(_GEODESIC)
 def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     d, az = geodesic_inverse(*(s.to_numpy(dtype=float) for s in (lon1, lat1, lon2, lat2)))
     return pd.DataFrame({"dist_m": d, "azimuth_deg": az})

@@ -415,6 +415,41 @@ SQL: dict[str, str] = {
   LEFT JOIN (SELECT l_orderkey // {SCENE_ORDERS} AS scene_id, l_orderkey % {SIDE} AS r, l_partkey % {SIDE} AS c,
         sum(round(l_extendedprice * 100)::BIGINT) AS s, sum(l_quantity::BIGINT) AS q, count(*) AS n FROM lineitem GROUP BY ALL) a
   ON a.scene_id = g.scene_id AND a.r = g.r AND a.c = g.c""",
+    "v_box": """SELECT *, lon BETWEEN 53.0::DOUBLE + scene_id * 0.5::DOUBLE + 0.035::DOUBLE AND 53.0::DOUBLE + scene_id * 0.5::DOUBLE + 0.245::DOUBLE AND lat BETWEEN 39.235 AND 39.465 AS inside,
+  0.01::DOUBLE * 0.01::DOUBLE * 111319.49079327357::DOUBLE ** 2 * cos(radians(lat)) AS area_m2, (100000.0::DOUBLE + 10 * scene_id) / (8.314462618::DOUBLE * 300) AS n_air,
+  3.0::DOUBLE + scene_id % 3 AS u10, 1.7::DOUBLE AS u10_sigma FROM v_raster""",
+    "v_foot": """SELECT v_box.*, thr, own AS enh FROM v_box, (SELECT unnest([60.0::DOUBLE, 100.0, 150.0, 200.0, 900.0]) AS thr) WHERE inside AND own IS NOT NULL AND ref > thr""",
+    "v_quant": """SELECT scene_id, thr, count(*) AS n_px, coalesce(sum(enh * 1e-6::DOUBLE * 0.01604::DOUBLE * area_m2), 0) * any_value(n_air) AS ime_kg, sum(area_m2) AS area_m2, sqrt(sum(area_m2)) AS length_m,
+  any_value(u10) AS u10, ln(any_value(u10)) + 0.6::DOUBLE AS u_eff,
+  (ln(any_value(u10)) + 0.6::DOUBLE) * (coalesce(sum(enh * 1e-6::DOUBLE * 0.01604::DOUBLE * area_m2), 0) * any_value(n_air)) / sqrt(sum(area_m2)) * 3.6::DOUBLE AS q_t_h,
+  sqrt((ln(any_value(u10)) * 0.1::DOUBLE) ** 2 + (1 / any_value(u10) * 1.7::DOUBLE) ** 2) / (ln(any_value(u10)) + 0.6::DOUBLE) AS wind_total,
+  avg(lon) AS clon, avg(lat) AS clat, sum(own * area_m2) / sum(ref * area_m2) AS bias, avg(own) / avg(ref) AS bias_mean FROM v_foot GROUP BY ALL""",
+    "v_nbr": """SELECT a.scene_id, a.r, a.c, count(b.own) AS n_local, sum(b.own) / count(b.own) AS mean_local,
+  greatest((sum(b.own * b.own) - count(b.own) * (sum(b.own) / count(b.own)) ** 2) / greatest(count(b.own) - 1, 1), 0) AS var_local, any_value(a.own) AS own
+  FROM (SELECT scene_id, r, c, own, CASE WHEN r + dr < 0 THEN -1 - r - dr WHEN r + dr > 47 THEN 95 - r - dr ELSE r + dr END AS rr, CASE WHEN c + dc < 0 THEN -1 - c - dc WHEN c + dc > 47 THEN 95 - c - dc ELSE c + dc END AS cc
+   FROM v_raster, (SELECT unnest(range(-2, 3)) AS dr), (SELECT unnest(range(-2, 3)) AS dc)) a JOIN v_raster b ON b.scene_id = a.scene_id AND b.r = a.rr AND b.c = a.cc GROUP BY ALL""",
+    "v_bg": """SELECT scene_id, avg(own) AS bg_mean, var_samp(own) AS bg_var, count(own) AS bg_n, CASE WHEN count(own) >= 25 THEN 'ok' ELSE 'background too small' END AS status FROM v_box WHERE NOT inside GROUP BY 1""",
+    "v_welch": """SELECT *, CASE WHEN t >= 0 THEN tail ELSE 1 - tail END AS p FROM (SELECT *, CASE WHEN df IS NOT NULL THEN
+  list_sum(list_transform(range(0, 1025), lambda k: (CASE WHEN k IN (0, 1024) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * greatest(cos(th + (pi() / 2 - th) * k / 1024.0), 0) ** (df - 1))) * (pi() / 2 - th) /
+  (list_sum(list_transform(range(0, 1025), lambda k: (CASE WHEN k IN (0, 1024) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * greatest(cos(pi() / 2 * k / 1024.0), 0) ** (df - 1))) * (pi() / 2) * 2) END AS tail
+  FROM (SELECT *, atan(abs(t) / sqrt(df)) AS th FROM (SELECT v_nbr.*, (mean_local - bg_mean) / sqrt(var_local / n_local + bg_var / bg_n) AS t,
+  (var_local / n_local + bg_var / bg_n) ** 2 / ((var_local / n_local) ** 2 / greatest(n_local - 1, 1) + (bg_var / bg_n) ** 2 / (bg_n - 1)) AS df FROM v_nbr JOIN v_bg USING (scene_id))))""",
+    "v_cand": """SELECT scene_id, r, c, own, coalesce(p < 0.05 AND n_local >= 12.5 AND own IS NOT NULL, false) AS candidate FROM v_welch""",
+    "v_major": """SELECT a.scene_id, a.r, a.c, count(*) FILTER (b.candidate) >= 5 AS majority FROM (SELECT scene_id, r, c, least(greatest(r + dr, 0), 47) AS rr, least(greatest(c + dc, 0), 47) AS cc
+  FROM v_cand, (SELECT unnest(range(-1, 2)) AS dr), (SELECT unnest(range(-1, 2)) AS dc)) a JOIN v_cand b ON b.scene_id = a.scene_id AND b.r = a.rr AND b.c = a.cc GROUP BY ALL""",
+    "v_smooth": """SELECT scene_id, r, c, sum(m * w) AS smoothed FROM (SELECT a.scene_id, a.r, a.c, b.majority::INTEGER AS m, exp(-(dr * dr + dc * dc) / 8.0::DOUBLE) / (SELECT sum(exp(-k * k / 8.0::DOUBLE)) FROM (SELECT unnest(range(-8, 9)) AS k)) ** 2 AS w
+  FROM (SELECT scene_id, r, c, dr, dc, CASE WHEN r + dr < 0 THEN -1 - r - dr WHEN r + dr > 47 THEN 95 - r - dr ELSE r + dr END AS rr, CASE WHEN c + dc < 0 THEN -1 - c - dc WHEN c + dc > 47 THEN 95 - c - dc ELSE c + dc END AS cc
+   FROM v_major, (SELECT unnest(range(-8, 9)) AS dr), (SELECT unnest(range(-8, 9)) AS dc)) a JOIN v_major b ON b.scene_id = a.scene_id AND b.r = a.rr AND b.c = a.cc) GROUP BY ALL""",
+    "v_plume": "SELECT scene_id, r, c FROM v_smooth WHERE smoothed > 0.5",
+    "v_labadj": "SELECT p.scene_id, p.r * 48 + p.c AS x, q.r * 48 + q.c AS y FROM v_mask p JOIN v_mask q ON p.scene_id = q.scene_id AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1",
+    "v_labreach": "SELECT scene_id, x AS a, x AS b FROM v_labadj UNION SELECT s.scene_id, s.a, j.y FROM v_labreach s JOIN v_labadj j ON j.scene_id = s.scene_id AND j.x = s.b",
+    "v_lab": "SELECT scene_id, b // 48 AS r, b % 48 AS c, dense_rank() OVER (PARTITION BY scene_id ORDER BY root) AS label FROM (SELECT scene_id, b, min(a) AS root FROM v_labreach GROUP BY ALL)",
+    "v_labfouradj": "SELECT p.scene_id, p.r * 48 + p.c AS x, q.r * 48 + q.c AS y FROM v_mask p JOIN v_mask q ON p.scene_id = q.scene_id AND abs(p.r - q.r) + abs(p.c - q.c) <= 1",
+    "v_labfourreach": "SELECT scene_id, x AS a, x AS b FROM v_labfouradj UNION SELECT s.scene_id, s.a, j.y FROM v_labfourreach s JOIN v_labfouradj j ON j.scene_id = s.scene_id AND j.x = s.b",
+    "v_labfour": "SELECT scene_id, b // 48 AS r, b % 48 AS c, dense_rank() OVER (PARTITION BY scene_id ORDER BY root) AS label FROM (SELECT scene_id, b, min(a) AS root FROM v_labfourreach GROUP BY ALL)",
+    "v_segadj": "SELECT p.scene_id, p.r * 48 + p.c AS x, q.r * 48 + q.c AS y FROM v_plume p JOIN v_plume q ON p.scene_id = q.scene_id AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1",
+    "v_segreach": "SELECT scene_id, x AS a, x AS b FROM v_segadj UNION SELECT s.scene_id, s.a, j.y FROM v_segreach s JOIN v_segadj j ON j.scene_id = s.scene_id AND j.x = s.b",
+    "v_seg": "SELECT scene_id, b // 48 AS r, b % 48 AS c, dense_rank() OVER (PARTITION BY scene_id ORDER BY root) AS label FROM (SELECT scene_id, b, min(a) AS root FROM v_segreach GROUP BY ALL)",
     "v_glt": f"""SELECT scene_id, oy, ox, (ox * 5 + oy) % 51 AS glt_x, (oy * 7 + ox) % 50 AS glt_y
   FROM v_extent, (SELECT unnest(range({SIDE})) AS oy), (SELECT unnest(range({SIDE})) AS ox)""",
     "v_mask": "SELECT scene_id, r, c, own, ref, lon, lat FROM v_raster WHERE own > 60.0",
@@ -482,7 +517,7 @@ def twin(views: str, body: str) -> str:
         if name in order:
             return
         for other in re.findall(r"\bv_[a-z]+\b", SQL[name]):
-            if other != name:
+            if other != name and other in SQL:
                 add(other)
         order.append(name)
 
