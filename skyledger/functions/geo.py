@@ -52,7 +52,9 @@ def area_overlap_match(a: Column, b: Column) -> Column:
     """The shared box covers at least half of the smaller one."""
     i = intersection(a, b)
     area = lambda x: bbox_area_km2(x["min_lon"], x["min_lat"], x["max_lon"], x["max_lat"])
-    non_empty = (i["min_lon"] < i["max_lon"]) & (i["min_lat"] < i["max_lat"])
+    # greatest/least skip NULLs, so a missing box must be ruled out first.
+    known = a.isNotNull() & b.isNotNull()
+    non_empty = known & (i["min_lon"] < i["max_lon"]) & (i["min_lat"] < i["max_lat"])
     return F.coalesce(non_empty & (area(i) >= C.AREA_OVERLAP_MIN * F.least(area(a), area(b))), F.lit(False))
 
 

@@ -54,7 +54,7 @@ def wind_sigma(u10: Column, u10_sigma: Column) -> Column:
 
 
 def u10_sample_sigma(hour_distance_h: Column) -> Column:
-    return F.least(F.lit(3.0), 1.6 + 0.4 * hour_distance_h)
+    return F.when(hour_distance_h.isNotNull(), F.least(F.lit(3.0), 1.6 + 0.4 * hour_distance_h))
 
 
 def dry_air_column(p_pa: Column) -> Column:

@@ -38,7 +38,7 @@ def contribution(value: Column, weight: Column) -> Column:
 
 
 def rarity_above_median(pct: Column) -> Column:
-    return F.greatest(F.lit(0.0), 2.0 * (pct - 0.5))
+    return F.when(pct.isNotNull(), F.greatest(F.lit(0.0), 2.0 * (pct - 0.5)))
 
 
 def rarity_two_sided(pct: Column) -> Column:
@@ -46,7 +46,8 @@ def rarity_two_sided(pct: Column) -> Column:
 
 
 def flow_anomaly_ratio(magnitude: Column, speed: Column) -> Column:
-    return F.least(magnitude / F.greatest(speed, F.lit(0.1)), F.lit(1.0))
+    known = magnitude.isNotNull() & speed.isNotNull()
+    return F.when(known, F.least(magnitude / F.greatest(speed, F.lit(0.1)), F.lit(1.0)))
 
 
 def in_dry_sector(from_deg: Column) -> Column:

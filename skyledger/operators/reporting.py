@@ -67,7 +67,7 @@ def event_detail(results: DataFrame) -> DataFrame:
     ``results``: ``event_id, q, q_cal, low, high, bias, sigma, alpha1, u10, spread``.
     """
     total = F.col("sigma") * 100.0
-    term = lambda k, v: F.struct(F.lit(k).alias("term"), v.alias("pct"), F.least(F.lit(1.0), v / total).alias("share"))
+    term = lambda k, v: F.struct(F.lit(k).alias("term"), v.alias("pct"), F.when(v.isNotNull() & (total > 0), F.least(F.lit(1.0), v / total)).alias("share"))
     budget = F.array(
         term("alpha1", F.col("alpha1") * 100.0), term("u10", F.col("u10") * 100.0), term("mask", F.col("spread") / 2.0 * 100.0),
         F.struct(F.lit("mf_amplitude").alias("term"), F.lit(None).cast("double").alias("pct"), F.lit(1.0).alias("share")),

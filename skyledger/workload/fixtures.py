@@ -525,6 +525,8 @@ def twin(views: str, body: str) -> str:
         add(v)
     parts = [f"{v} AS ({SQL[v]})" for v in order]
     body = body.strip()
+    if body.upper().startswith("WITH "):
+        body = body[5:].lstrip()
     if body.upper().startswith("SELECT"):
         return f"WITH RECURSIVE {', '.join(parts)} {body}" if parts else body
     return f"WITH RECURSIVE {', '.join([*parts, ''])}{body}"
