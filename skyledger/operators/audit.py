@@ -39,18 +39,22 @@ def unsupported(citations: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def json_leaves(docs: DataFrame, key: str, doc: str, depth: int = 3) -> DataFrame:
-    """(key, path, value) rows of JSON objects down to ``depth`` levels; deeper parts stay text."""
+    """(key, path, value) rows of JSON objects down to ``depth`` levels; deeper parts stay text.
+
+    Each level opens the objects of the level above in place, so the documents
+    are read once.
+    """
     level = docs.select(key, F.lit("$").alias("path"), F.col(doc).alias("v"))
-    done = []
-    for i in range(depth + 1):
-        obj = F.startswith(F.ltrim("v"), F.lit("{"))
-        leaf = level.where(~F.coalesce(obj, F.lit(False))) if i < depth else level
-        done.append(leaf)
-        if i < depth:
-            nested = level.where(obj).select(key, "path", F.from_json("v", "map<string,string>").alias("m"))
-            level = nested.select(key, "path", F.explode("m").alias("k", "v")).select(
-                key, F.concat("path", F.lit("."), "k").alias("path"), "v")
-    return reduce(DataFrame.unionByName, done)
+    for _ in range(depth):
+        obj = F.coalesce(F.startswith(F.ltrim("v"), F.lit("{")), F.lit(False))
+        inner = F.map_entries(F.from_json(F.when(obj, F.col("v")), "map<string,string>"))
+        opened = F.transform(
+            inner, lambda e: F.struct(F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("v"))
+        )
+        level = level.select(
+            key, F.explode(F.when(obj, opened).otherwise(F.array(F.struct("path", "v")))).alias("e")
+        ).select(key, "e.path", "e.v")
+    return level
 
 
 def first_difference(expected: DataFrame, got: DataFrame, key: str, doc: str) -> DataFrame:

@@ -75,21 +75,31 @@ def window_climatology(
 
 
 def window_percentile(grid: DataFrame, y0: int, y1: int, h: int, p: float, n_days: int = 365) -> DataFrame:
-    """Exact percentile of the pooled day-window sample per cell and target day.
+    """Exact percentile and mean of the pooled day-window sample per cell and target day.
 
-    A pooled sample holds at most years x (2h+1) values, so the built-in exact
-    percentile is bounded.
+    The years of one cell-day are first gathered into a short array, so the
+    window moves arrays instead of copying every sample to 2h+1 targets. A
+    pooled sample holds at most years x (2h+1) values. Targets without any
+    sample are absent.
     """
-    d = F.col("day_idx")
-    spread = F.explode(F.sequence(F.greatest(d - h, F.lit(0)), F.least(d + h, F.lit(n_days - 1)))).alias("target")
-    return (
-        grid.where(F.col("year").between(y0, y1) & F.col("tmax").isNotNull())
-        .select(*CELL, "tmax", spread)
-        .groupBy(*CELL, "target")
-        .agg(
-            F.percentile("tmax", F.lit(p)).alias("pctl"), F.avg("tmax").alias("mean_pool"), F.count("*").alias("n_pool")
-        )
-        .withColumnRenamed("target", "day_idx")
+    base = grid.where(F.col("year").between(y0, y1) & F.col("tmax").isNotNull())
+    days = base.groupBy(*CELL, "day_idx").agg(F.collect_list("tmax").alias("_v"))
+    # Marker rows give every target day a frame, also where its own day has no sample.
+    axis = days.select(*CELL).distinct().select(
+        *CELL, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_days - 1).cast("bigint"))).alias("day_idx"),
+        F.array().cast("array<double>").alias("_v"), F.lit(True).alias("_m"),
+    )
+    rows = days.withColumn("_m", F.lit(False)).unionByName(axis)
+    w = W.partitionBy(*CELL).orderBy("day_idx").rangeBetween(-h, h)
+    pool = rows.withColumn("_pool", F.flatten(F.collect_list("_v").over(w))).where("_m").where(F.size("_pool") > 0)
+    n = F.size("_pool")
+    pos = F.lit(p) * (n - 1)
+    lo, hi = F.floor(pos).cast("int"), F.ceil(pos).cast("int")
+    at = lambda i: F.get(F.col("_sorted"), i)
+    total = F.aggregate("_pool", F.lit(0.0), lambda acc, x: acc + x)
+    return pool.withColumn("_sorted", F.array_sort("_pool")).select(
+        *CELL, "day_idx", (at(lo) + (at(hi) - at(lo)) * (pos - lo)).alias("pctl"), (total / n).alias("mean_pool"),
+        n.cast("bigint").alias("n_pool"),
     )
 
 

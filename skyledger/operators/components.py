@@ -67,7 +67,8 @@ def _relax(edges: DataFrame, small: bool) -> DataFrame:
         both = edges.unionByName(edges.select("scene_id", v.alias("u"), u.alias("v")))
         lowest = both.groupBy("scene_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         pairs = both.join(lowest, ["scene_id", "u"]).where(v > u).select("scene_id", v.alias("u"), m.alias("v"))
-    return pairs.where(F.col("u") != F.col("v")).distinct()
+    pairs = pairs.where(F.col("u") != F.col("v"))
+    return pairs.distinct() if small else pairs
 
 
 def region_roots(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
@@ -201,49 +202,57 @@ def boundary_edges(labels: DataFrame) -> DataFrame:
     )
 
 
-def _stitch(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Chain the outline edges of one region into closed rings."""
-    nxt: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    edges = list(zip(pdf.r0, pdf.c0, pdf.r1, pdf.c1, strict=True))
-    for r0, c0, r1, c1 in sorted(edges):
-        nxt.setdefault((r0, c0), []).append((r1, c1))
-    rings = []
-    while nxt:
-        start = min(nxt)
-        ring, at, heading = [start], start, None
-        while True:
-            out = nxt[at]
-            pick = 0
-            if len(out) > 1 and heading is not None:
-                # Turn right at a pinch point, which keeps diagonal cells in one ring apart.
-                right = (heading[1], -heading[0])
-                for i, p in enumerate(out):
-                    if (p[0] - at[0], p[1] - at[1]) == right:
-                        pick = i
-            to = out.pop(pick)
-            if not out:
-                del nxt[at]
-            heading = (to[0] - at[0], to[1] - at[1])
-            ring.append(to)
-            at = to
-            if at == start:
-                break
-        rings.append(ring)
+_RINGS = (
+    "scene_id bigint, label bigint, ring int, area_cells double, is_hole boolean, "
+    "points array<struct<r:bigint,c:bigint>>"
+)
+
+
+def _stitch_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Chain the outline edges of a group of regions into closed rings."""
+    edges = pdf.sort_values(["label", "r0", "c0", "r1", "c1"])
+    starts = list(zip(edges.label, edges.r0, edges.c0, strict=True))
+    ends = list(zip(edges.r1, edges.c1, strict=True))
+    onward: dict[tuple, list] = {}
+    for key, end in zip(starts, ends, strict=True):
+        onward.setdefault(key, []).append(end)
     rows = []
-    for k, ring in enumerate(rings):
-        area2 = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False))
-        rows.append((pdf.scene_id.iloc[0], pdf.label.iloc[0], k, abs(area2) / 2.0, area2 < 0,
-                     [{"r": int(p[0]), "c": int(p[1])} for p in ring]))
+    count: dict[int, int] = {}
+    for label, r, c in starts:
+        while onward.get((label, r, c)):
+            ring = _trace(onward, label, (r, c))
+            area2 = sum(a[1] * b[0] - b[1] * a[0] for a, b in zip(ring, ring[1:], strict=False))
+            k = count[label] = count.get(label, -1) + 1
+            rows.append((pdf.scene_id.iloc[0], label, k, abs(area2) / 2.0, area2 < 0, [{"r": p[0], "c": p[1]} for p in ring]))
     return pd.DataFrame(rows, columns=["scene_id", "label", "ring", "area_cells", "is_hole", "points"])
 
 
-def outlines(labels: DataFrame) -> DataFrame:
+def _trace(onward: dict[tuple, list], label: int, start: tuple[int, int]) -> list[tuple[int, int]]:
+    """Follow unused edges from ``start`` back to it.
+
+    At a pinch point the path turns right, which keeps diagonal cells in one
+    ring apart.
+    """
+    ring, at, heading = [start], start, None
+    while True:
+        out = onward[(label, *at)]
+        pick = 0
+        if len(out) > 1 and heading is not None:
+            right = (at[0] + heading[1], at[1] - heading[0])
+            pick = out.index(right) if right in out else 0
+        to = out.pop(pick)
+        heading = (to[0] - at[0], to[1] - at[1])
+        ring.append(to)
+        at = to
+        if at == start:
+            return ring
+
+
+def outlines(labels: DataFrame, groups: int = 16) -> DataFrame:
     """Closed outline rings per region, to be sorted by ``area_cells`` for display.
 
-    Only the outline, which is bounded by the sensor's raster size, is grouped.
+    Only the outline, which is bounded by the sensor's raster size, is grouped;
+    a scene's regions are shared out over ``groups`` groups.
     """
-    return boundary_edges(labels).groupBy("scene_id", "label").applyInPandas(
-        _stitch,
-        "scene_id bigint, label bigint, ring int, area_cells double, is_hole boolean, "
-        "points array<struct<r:bigint,c:bigint>>",
-    )
+    e = boundary_edges(labels).withColumn("_g", F.pmod("label", F.lit(groups)))
+    return e.groupBy("scene_id", "_g").applyInPandas(lambda pdf: _stitch_all(pdf), _RINGS)

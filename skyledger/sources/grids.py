@@ -17,40 +17,46 @@ LAT0, LON0 = 7.5, 67.5
 _OUT = "path string, year int, day date, lat double, lon double, tmax double"
 
 
-def _decode(batches):
-    for pdf in batches:
-        for rec in pdf.itertuples(index=False):
-            days = 366 if calendar.isleap(rec.year) else 365
-            if len(rec.content) != days * NY * NX * 4:
-                raise ValueError(f"{rec.path}: {len(rec.content) // 4} floats, expected {days * NY * NX}")
-            cube = np.frombuffer(rec.content, dtype="<f4").astype(float).reshape(days, NY * NX)
-            cube = np.where(np.abs(cube - C.GRID_MISSING) <= 0.05 + 1e-5 * C.GRID_MISSING, np.nan, cube)
-            lat = np.repeat(LAT0 + np.arange(NY), NX)
-            lon = np.tile(LON0 + np.arange(NX), NY)
-            first = np.datetime64(f"{rec.year}-01-01")
-            for start in range(0, days, 61):
-                part = cube[start : start + 61]
-                n = len(part)
-                day = pd.to_datetime(np.repeat(first + np.arange(start, start + n), NY * NX)).date
-                vals = part.ravel()
-                yield pd.DataFrame({
-                    "path": rec.path, "year": rec.year, "day": day, "lat": np.tile(lat, n), "lon": np.tile(lon, n),
-                    "tmax": pd.array(np.where(np.isnan(vals), None, vals), dtype="object"),
-                })
-
-
-def decode_daily_grid(files: DataFrame) -> DataFrame:
+def _decoder(drop_missing: bool):
+    def decode(batches):
+        lat = np.repeat(LAT0 + np.arange(NY), NX)
+        lon = np.tile(LON0 + np.arange(NX), NY)
+        for pdf in batches:
+            for rec in pdf.itertuples(index=False):
+                days = 366 if calendar.isleap(rec.year) else 365
+                if len(rec.content) != days * NY * NX * 4:
+                    raise ValueError(f"{rec.path}: {len(rec.content) // 4} floats, expected {days * NY * NX}")
+                cube = np.frombuffer(rec.content, dtype="<f4").astype(float).reshape(days, NY * NX)
+                gone = np.abs(cube - C.GRID_MISSING) <= 0.05 + 1e-5 * C.GRID_MISSING
+                first = np.datetime64(f"{rec.year}-01-01")
+                for start in range(0, days, 61):
+                    part, miss = cube[start : start + 61], gone[start : start + 61]
+                    d, k = np.nonzero(~miss) if drop_missing else np.indices(part.shape).reshape(2, -1)
+                    if not len(d):
+                        continue
+                    yield pd.DataFrame({
+                        "path": rec.path, "year": rec.year, "day": (first + start + d).astype("datetime64[s]"),
+                        "lat": lat[k], "lon": lon[k], "tmax": pd.arrays.FloatingArray(part[d, k], miss[d, k]),
+                    })
+
+    return decode
+
+
+def decode_daily_grid(files: DataFrame, drop_missing: bool = False) -> DataFrame:
     """Rows of day-major little-endian float32 files ``(path, year, content)``.
 
-    A file of the wrong size is an error; the missing code becomes NULL.
+    A file of the wrong size is an error; the missing code becomes NULL, or no
+    row at all with ``drop_missing``.
     """
-    return files.select("path", F.col("year").cast("int").alias("year"), "content").mapInPandas(_decode, _OUT)
+    return files.select("path", F.col("year").cast("int").alias("year"), "content").mapInPandas(_decoder(drop_missing), _OUT)
 
 
-def read_daily_grid(spark: SparkSession, path: str, year_pattern: str = r"(\d{4})[^/]*$") -> DataFrame:
+def read_daily_grid(
+    spark: SparkSession, path: str, year_pattern: str = r"(\d{4})[^/]*$", drop_missing: bool = False
+) -> DataFrame:
     files = spark.read.format("binaryFile").load(path)
     return decode_daily_grid(
-        files.select("path", F.regexp_extract("path", year_pattern, 1).cast("int").alias("year"), "content")
+        files.select("path", F.regexp_extract("path", year_pattern, 1).cast("int").alias("year"), "content"), drop_missing
     )
 
 

@@ -9,6 +9,7 @@ from ..functions import geo
 from ..functions.numeric import geodesic
 from ..operators import asof, attribution, raster, spatial
 from ..operators.percentiles import latest_per_key
+from ..session import materialise
 from ..sources import features
 from . import fixtures as X
 from .registry import query, rnd
@@ -53,12 +54,14 @@ def _wedges(spark, sf):
     return w.select("*", g.alias("g")).select("event_id", "apex_lon", "apex_lat", "u", "v", "g.*", F.lit(RADIUS_KM).alias("radius_km"))
 
 
-def _related(spark, sf):
-    return spatial.relate_to_wedges(X.v_points(spark, sf), _wedges(spark, sf), cell_deg=2.0)
+def _related(spark, sf, layer="true"):
+    return spatial.relate_to_wedges(X.v_points(spark, sf).where(layer), _wedges(spark, sf), cell_deg=2.0)
 
 
 def _wells(spark, sf):
-    return spatial.rank_candidates(_related(spark, sf).where("layer <> 'FACILITY'").withColumn("operator", F.col("layer")))
+    """Ranked candidates; the joined pairs are written once because ranking reads them several times."""
+    pairs = materialise(_related(spark, sf, "layer <> 'FACILITY'").where("in_2s"), "wedge-pairs")
+    return spatial.rank_candidates(pairs.withColumn("operator", F.col("layer")))
 
 
 @query("f11_wedge", "v_wedges", """
@@ -125,7 +128,7 @@ fl AS (SELECT *, DATE '2023-01-10' + ((feature_id * 17) % 900)::INTEGER AS d FRO
 p AS (SELECT event_id, arg_min({'i': feature_id, 'd': d}, {'a': dist_km, 'b': feature_id}) AS n, arg_min({'i': feature_id, 'd': d}, feature_id) AS f FROM fl GROUP BY 1)
 SELECT event_id, n.i AS nearest_id, (year(n.d) - 2022) * 12 + month(n.d) - 8 AS nearest_months, f.i AS first_id, (year(f.d) - 2022) * 12 + month(f.d) - 8 AS first_months FROM p""")
 def t3(spark, sf):
-    fl = _related(spark, sf).where("in_2s and layer = 'FACILITY'").select(
+    fl = _related(spark, sf, "layer = 'FACILITY'").where("in_2s").select(
         "event_id", "feature_id", "dist_km", F.expr("date_add(date'2023-01-10', cast((feature_id * 17) % 900 as int))").alias("d"))
     near = latest_per_key(fl, ["event_id"], F.struct("dist_km", "feature_id"), first=True)
     first = latest_per_key(fl, ["event_id"], F.col("feature_id"), first=True)
@@ -151,7 +154,7 @@ def a45(spark, sf):
 o AS (SELECT c.event_id, feature_id, row_number() OVER (PARTITION BY c.event_id ORDER BY rank) AS alt, count(*) OVER (PARTITION BY c.event_id) AS n_other FROM c JOIN fac USING (event_id) WHERE NOT (lease = top_lease AND layer = top_operator))
 SELECT event_id, n_other, alt, feature_id FROM o WHERE alt <= 8""")
 def t4(spark, sf):
-    r = _wells(spark, sf)
+    r = materialise(_wells(spark, sf), "ranked")
     return attribution.alternatives(r, attribution.facility_summary(r))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..operators import climate, components, raster, runs
 from ..sources import stations
-from ..session import scratch_path
+from ..session import materialise, scratch_path
 from . import fixtures as X
 from .registry import big, query, rnd
 
@@ -214,7 +214,7 @@ run_start, run_end, run_end - run_start + 1 AS n_days, run_start = f OR run_end
 FROM anchors a LEFT JOIN dd d ON d.region_id = a.region_id AND d.day_idx = anchor LEFT JOIN span s ON s.region_id = a.region_id
 LEFT JOIN isles i ON i.region_id = a.region_id AND anchor BETWEEN run_start AND run_end""")
 def w5(spark, sf):
-    days = _days(spark, sf).select("region_id", F.col("day_idx").alias("pos"), "area_frac")
+    days = materialise(_days(spark, sf).select("region_id", F.col("day_idx").alias("pos"), "area_frac"), "lane-days")
     anchors = X.v_land(spark, sf).select("region_id").distinct().select(
         "region_id", F.explode(F.array(*[F.lit(a).cast("bigint") for a in (12, 98, 180, 250, 300, 360)])).alias("anchor"))
     return runs.anchored_run(days, anchors, 0.05, ["region_id"])
@@ -235,8 +235,8 @@ def a29(spark, sf):
     own = _days(spark, sf).withColumn("lane", F.lit("own"))
     other = climate.lane_days(_second_cells(spark, sf), land).withColumn("lane", F.lit("other"))
     cols = ["region_id", "lane", F.col("day_idx").alias("pos"), "extent_km2", "area_frac"]
-    both = own.select(*cols).unionByName(other.select(*cols))
-    peak = own.groupBy("region_id").agg(F.max_by("day_idx", F.struct("area_frac", -F.col("day_idx"))).alias("anchor"))
+    both = materialise(own.select(*cols).unionByName(other.select(*cols)), "lane-days")
+    peak = both.where("lane = 'own'").groupBy("region_id").agg(F.max_by("pos", F.struct("area_frac", -F.col("pos"))).alias("anchor"))
     anchors = peak.select("region_id", "anchor", F.explode(F.array(F.lit("own"), F.lit("other"))).alias("lane"))
     run = runs.anchored_run(both, anchors, 0.05, ["region_id", "lane"])
     pick = lambda lane, v: F.max(F.when(F.col("lane") == lane, F.col(v)))

@@ -37,9 +37,9 @@ def f3(spark, sf):
     return _li(spark, sf, "l_quantity", "l_extendedprice").select(*ID, rnd(P.n_air(F.col("l_extendedprice"), F.col("l_quantity") - 5)).alias("n_air"))
 
 
-@query("f4_mass_column", "", f"SELECT {_ID}, round(l_extendedprice * 1e-6::DOUBLE * 40.5::DOUBLE * 0.01604::DOUBLE, 9) AS kg_m2 FROM lineitem")
+@query("f4_mass_column", "", f"SELECT {_ID}, l_extendedprice * 1e-6::DOUBLE * 40.5::DOUBLE * 0.01604::DOUBLE AS kg_m2 FROM lineitem")
 def f4(spark, sf):
-    return _li(spark, sf, "l_extendedprice").select(*ID, rnd(P.ppm_m_to_kg_m2(F.col("l_extendedprice"), F.lit(40.5)), 9).alias("kg_m2"))
+    return _li(spark, sf, "l_extendedprice").select(*ID, P.ppm_m_to_kg_m2(F.col("l_extendedprice"), F.lit(40.5)).alias("kg_m2"))
 
 
 @query("f5_effective_wind", "", f"SELECT {_ID}, CASE WHEN l_quantity > 2 THEN round(ln(l_quantity - 2) + 0.6::DOUBLE, 9) END AS u_eff FROM lineitem")
@@ -48,10 +48,10 @@ def f5(spark, sf):
     return _li(spark, sf, "l_quantity").select(*ID, rnd(P.u_eff(u), 9).alias("u_eff"))
 
 
-@query("f6_emission_rate", "", f"SELECT {_ID}, CASE WHEN l_discount > 0 THEN round(l_quantity * l_extendedprice / (l_discount * 1000), 4) END AS q_kg_s, CASE WHEN l_discount > 0 THEN round(l_quantity * l_extendedprice / (l_discount * 1000) * 3.6::DOUBLE, 4) END AS q_t_h FROM lineitem")
+@query("f6_emission_rate", "", f"SELECT {_ID}, CASE WHEN l_discount > 0 THEN l_quantity * l_extendedprice / (l_discount * 1000) END AS q_kg_s, CASE WHEN l_discount > 0 THEN l_quantity * l_extendedprice / (l_discount * 1000) * 3.6::DOUBLE END AS q_t_h FROM lineitem")
 def f6(spark, sf):
     q = P.q_kg_s(F.col("l_extendedprice"), F.col("l_quantity"), F.col("l_discount") * 1000)
-    return _li(spark, sf, "l_quantity", "l_extendedprice", "l_discount").select(*ID, rnd(q, 4).alias("q_kg_s"), rnd(q * 3.6, 4).alias("q_t_h"))
+    return _li(spark, sf, "l_quantity", "l_extendedprice", "l_discount").select(*ID, q.alias("q_kg_s"), (q * 3.6).alias("q_t_h"))
 
 
 @query("f7_wind_sigma", "", f"""

@@ -124,7 +124,7 @@ def s2(spark, sf):
 
     # One file holds one region-year: at most 366 x 31 x 31 cells by its format.
     files = g.groupBy("region_id", "year").applyInPandas(encode, "path string, year int, content binary")
-    d = grids.decode_daily_grid(files).where(F.col("tmax").isNotNull())
+    d = grids.decode_daily_grid(files, drop_missing=True)
     return d.groupBy(F.col("path").cast("bigint").alias("region_id"), F.col("year").cast("bigint").alias("year")).agg(
         F.count("*").alias("n"), F.sum("tmax").alias("total"), F.min("lat").alias("min_lat"), F.max("lon").alias("max_lon"))
 
