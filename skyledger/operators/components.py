@@ -68,7 +68,7 @@ def _relax(edges: DataFrame, small: bool) -> DataFrame:
         lowest = both.groupBy("scene_id", "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         pairs = both.join(lowest, ["scene_id", "u"]).where(v > u).select("scene_id", v.alias("u"), m.alias("v"))
     pairs = pairs.where(F.col("u") != F.col("v"))
-    return pairs.distinct() if small else pairs
+    return pairs.distinct()
 
 
 def region_roots(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
