@@ -35,18 +35,21 @@ def exact_percentiles(
         F.count("*").alias("_total"),
         F.percentile_approx("_v", edges, accuracy).alias("_edges"),
     )
+    if keys:
+        joined = rows.join(sketch, keys)
+        edge = lambda i: F.get("_edges", F.lit(i))
+    else:
+        # A whole-table percentile needs only its few bracket values on the driver.
+        one = sketch.first()
+        found = list(one["_edges"]) if one["_edges"] else [None] * len(edges)
+        joined = rows.withColumn("_total", F.lit(one["_total"]).cast("bigint"))
+        edge = lambda i: F.lit(found[i]).cast("double")
     bands = F.array(
         *[
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(float(p)).alias("p"),
-                F.col("_edges")[2 * i].alias("lo"),
-                F.col("_edges")[2 * i + 1].alias("hi"),
-            )
+            F.struct(F.lit(name).alias("name"), F.lit(float(p)).alias("p"), edge(2 * i).alias("lo"), edge(2 * i + 1).alias("hi"))
             for i, (name, p) in enumerate(probs.items())
         ]
     )
-    joined = rows.join(sketch, keys) if keys else rows.crossJoin(sketch)
     v, b = F.col("_v"), F.col("_b")
     # Values outside the bracket collapse into one counted row per side, map-side.
     slot = F.when(v < b["lo"], float("-inf")).when(v > b["hi"], float("inf")).otherwise(v)

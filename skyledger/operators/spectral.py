@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..session import materialise
 
 _KEYS = ["variant", "scene_id", "xtrack"]
 _MOMENTS = "variant string, scene_id bigint, xtrack bigint, n bigint, mean array<double>, m2 array<double>"
@@ -267,8 +268,11 @@ def matched_filter(
     projected = project_bands(pixels, selection)
     good = projected.where(~F.col("bad"))
     moments = column_moments(good)
-    chosen = loo_alpha(good, moments) if alpha == "loocv" else alpha
-    models = column_models(moments, selection, chosen, target)
+    if alpha == "loocv":
+        # Selection and solution both read the moments.
+        moments = materialise(moments, "moments")
+        alpha = loo_alpha(good, moments)
+    models = column_models(moments, selection, alpha, target)
     return apply_filter(projected, models, scale)
 
 

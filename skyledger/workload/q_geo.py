@@ -61,7 +61,7 @@ def _related(spark, sf, layer="true"):
 def _wells(spark, sf):
     """Ranked candidates; the joined pairs are written once because ranking reads them several times."""
     pairs = materialise(_related(spark, sf, "layer <> 'FACILITY'").where("in_2s"), "wedge-pairs")
-    return spatial.rank_candidates(pairs.withColumn("operator", F.col("layer")))
+    return materialise(spatial.rank_candidates(pairs.withColumn("operator", F.col("layer"))), "ranked")
 
 
 @query("f11_wedge", "v_wedges", """
@@ -154,7 +154,7 @@ def a45(spark, sf):
 o AS (SELECT c.event_id, feature_id, row_number() OVER (PARTITION BY c.event_id ORDER BY rank) AS alt, count(*) OVER (PARTITION BY c.event_id) AS n_other FROM c JOIN fac USING (event_id) WHERE NOT (lease = top_lease AND layer = top_operator))
 SELECT event_id, n_other, alt, feature_id FROM o WHERE alt <= 8""")
 def t4(spark, sf):
-    r = materialise(_wells(spark, sf), "ranked")
+    r = _wells(spark, sf)
     return attribution.alternatives(r, attribution.facility_summary(r))
 
 

@@ -11,6 +11,7 @@ from ..functions.numeric import t_upper_tail
 from ..operators import components as G
 from ..operators import plume, raster, stencil
 from ..operators.percentiles import exact_percentiles
+from ..session import materialise
 from . import fixtures as X
 from .registry import big, query, rnd
 
@@ -260,10 +261,10 @@ def f20(spark, sf):
 # ------------------------------------------------------------------ stencils
 
 
-@query("w9_neighbourhood", "v_nbr", """SELECT scene_id, r, c, n_local::DOUBLE AS n_local, round(mean_local, 6) AS mean_local, round(var_local, 4) AS var_local FROM v_nbr""")
+@query("w9_neighbourhood", "v_nbr", """SELECT scene_id, r, c, n_local::DOUBLE AS n_local, round(mean_local, 9) AS mean_local, round(var_local, 4) AS var_local FROM v_nbr""")
 def w9(spark, sf):
     m = stencil.box_moments(_dense(spark, sf), F.col("value"), 5)
-    return m.select("scene_id", "r", "c", "n_local", rnd("mean_local").alias("mean_local"), rnd("var_local", 4).alias("var_local"))
+    return m.select("scene_id", "r", "c", "n_local", rnd("mean_local", 9).alias("mean_local"), rnd("var_local", 4).alias("var_local"))
 
 
 def _cand(spark, sf):
@@ -422,7 +423,8 @@ src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_
 @query("w15_upwind_source", "v_foot", _UPWIND + """
 SELECT scene_id, round(source_lon, 6) AS source_lon, round(source_lat, 6) AS source_lat, n_top, round(sqrt(((source_lon - clon) * 111319.49 * cos(radians(clat))) ** 2 + ((source_lat - clat) * 111319.49) ** 2) / 1000, 6) AS dist_km FROM src""")
 def w15(spark, sf):
-    s = plume.upwind_source(_foot(spark, sf, (CENTRAL,)).select("scene_id", "lon", "lat"), _wind(spark, sf))
+    cells = materialise(_foot(spark, sf, (CENTRAL,)).select("scene_id", "lon", "lat"), "footprint")
+    s = plume.upwind_source(cells, _wind(spark, sf))
     return s.select("scene_id", rnd("source_lon").alias("source_lon"), rnd("source_lat").alias("source_lat"), "n_top", rnd("dist_km").alias("dist_km"))
 
 
@@ -430,7 +432,7 @@ def w15(spark, sf):
 s AS (SELECT scene_id, q_t_h, u_eff, q_t_h / u_eff * (ln(u10 + source_lat - src.clat + 0.5::DOUBLE) + 0.6::DOUBLE) AS q_src FROM v_quant JOIN src USING (scene_id) WHERE thr = 100)
 SELECT scene_id, round(q_t_h, 6) AS q_centroid, round(q_src, 6) AS q_source, round(abs(q_src - q_t_h) / q_t_h, 6) AS rel_delta, abs(q_src - q_t_h) / q_t_h >= 0.10 AS material FROM s""")
 def w16(spark, sf):
-    cells = _foot(spark, sf, (CENTRAL,))
+    cells = materialise(_foot(spark, sf, (CENTRAL,)), "footprint")
     src = plume.upwind_source(cells.select("scene_id", "lon", "lat"), _wind(spark, sf))
     # The wind at the source point differs from the centroid's by the offset between them.
     moved = cells.join(src.select("scene_id", (F.col("source_lat") - F.col("clat") + 0.5).alias("_du")), "scene_id").withColumn("u10", F.col("u10") + F.col("_du"))

@@ -8,6 +8,7 @@ from ..functions import geo
 from ..functions import physics as P
 from ..functions import scoring as S
 from ..operators import attribution, plume, quality, reporting
+from ..session import materialise
 from . import fixtures as X
 from .registry import query, rnd
 
@@ -128,7 +129,7 @@ SELECT region_id, round(event_mean, 6) AS event_mean, round(ofs, 6) AS offset, r
 
 def _daily(df):
     w = df.where(F.col("day_idx").between(60, 180)).withColumn("w", F.cos(F.radians("lat"))).withColumnRenamed("tmax", "value")
-    return attribution.window_means(w, ["region_id"])
+    return materialise(attribution.window_means(w, ["region_id"]), "daily-means")
 
 
 @query("a39_factor_diagnostics", "v_days v_second", "WITH " + _DIAG)

@@ -9,6 +9,7 @@ from ..functions import constants as C
 from ..functions import physics as P
 from ..operators import spectral as M
 from ..operators.percentiles import exact_percentiles
+from ..session import materialise
 from . import fixtures as X
 from .registry import query, rnd
 
@@ -66,12 +67,13 @@ def a1(spark, sf):
 @query("a3_loo_shrinkage")
 def a3(spark, sf):
     _, _, good = _good(spark, sf, C.CH4_WINDOWS_NM)
-    return M.loo_alpha(good, M.column_moments(good)).select("scene_id", "xtrack", "alpha")
+    moments = materialise(M.column_moments(good), "moments")
+    return M.loo_alpha(good, moments).select("scene_id", "xtrack", "alpha")
 
 
 @query("a4_shrinkage_summary")
 def a4(spark, sf):
-    a = a3(spark, sf)
+    a = materialise(a3(spark, sf), "alpha")
     p = exact_percentiles(a, ["scene_id"], F.col("alpha"), {"median": 0.5, "p95": 0.95})
     return a.groupBy("scene_id").agg(F.min("alpha").alias("min"), F.max("alpha").alias("max"), F.count("alpha").alias("n_columns")).join(
         p.drop("n_values"), "scene_id")
@@ -110,7 +112,8 @@ def a48(spark, sf):
         one = M.select_bands(bands, win, out).withColumn("variant", F.lit(name))
         sel = one if sel is None else sel.unionByName(one)
     proj = M.project_bands(pixels, sel)
-    enh = M.apply_filter(proj, M.column_models(M.column_moments(proj.where(~F.col("bad"))), sel))
+    models = M.column_models(M.column_moments(proj.where(~F.col("bad"))), sel)
+    enh = materialise(M.apply_filter(proj, models), "variant-enhancement")
     ref = enh.where("variant = 'narrow'").select("scene_id", "line", F.col("enh").alias("ref"))
     p = exact_percentiles(enh, ["variant", "scene_id"], F.col("enh"), {"p1": 0.01, "p50": 0.5, "p99": 0.99})
     r = enh.join(ref, ["scene_id", "line"]).groupBy("variant", "scene_id").agg(
@@ -125,10 +128,10 @@ def a49(spark, sf):
     span = good.groupBy("scene_id").agg(F.max("xtrack").alias("_m")).select(
         "scene_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.floor(i * F.col("_m") / 49.0)))).alias("xtrack"))
     some = good.join(span, ["scene_id", "xtrack"], "left_semi")
-    mom = M.column_moments(some)
+    mom = materialise(M.column_moments(some), "moments")
     a = M.loo_alpha(some, mom).withColumn("mode", F.lit("raw"))
     b = M.loo_alpha(some, mom, centred=True).withColumn("mode", F.lit("centred"))
-    both = a.unionByName(b)
+    both = materialise(a.unionByName(b), "alpha")
     p = exact_percentiles(both, ["mode", "scene_id"], F.col("alpha"), {"median": 0.5, "p95": 0.95})
     return both.groupBy("mode", "scene_id").agg(F.min("alpha").alias("min"), F.max("alpha").alias("max")).join(p, ["mode", "scene_id"])
 
