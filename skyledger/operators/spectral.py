@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -73,9 +74,15 @@ def project_bands(pixels: DataFrame, selection: DataFrame) -> DataFrame:
     joined = pixels.join(sel, "scene_id")
     if "variant" not in selection.columns:
         joined = joined.withColumn("variant", F.lit("central"))
-    return joined.withColumn(
-        "x", F.transform("kept_bands", lambda i: F.get(F.col("rad"), i.cast("int")).cast("double"))
+    k = F.col("kept_bands")
+    first, n = F.get(k, F.lit(0)), F.size(k)
+    rad = F.col("rad").cast("array<double>")
+    # One unbroken window is a plain slice; several windows are gathered band by band.
+    unbroken = F.get(k, n - 1) - first + 1 == n
+    x = F.when(unbroken & (first + n <= F.size("rad")), F.slice(rad, (first + 1).cast("int"), n)).otherwise(
+        F.transform(k, lambda i: F.get(rad, i.cast("int")))
     )
+    return joined.withColumn("x", x)
 
 
 def _merge(a, b):
@@ -87,30 +94,71 @@ def _merge(a, b):
     return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
+_BUFFER_ROWS = 1 << 17
+_BUFFER_COLUMNS = 2000
+
+
+def _column_groups(batches):
+    """Rows of several Arrow batches sorted by column: yields ((variant, scene, xtrack), matrix)."""
+    tab = pa.Table.from_batches(batches).combine_chunks()
+    n = tab.num_rows
+    lists = tab.column("x").combine_chunks()
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    size = lists.value_lengths().to_numpy(zero_copy_only=False)
+    start = np.concatenate(([0], np.cumsum(size)[:-1]))
+    names = tab.column("variant").combine_chunks().dictionary_encode()
+    var, scene, col = names.indices.to_numpy(), tab.column("scene_id").to_numpy(), tab.column("xtrack").to_numpy()
+    order = np.lexsort((col, scene, var))
+    var, scene, col, start, size = var[order], scene[order], col[order], start[order], size[order]
+    cut = np.flatnonzero((np.diff(var) != 0) | (np.diff(scene) != 0) | (np.diff(col) != 0)) + 1
+    words = names.dictionary.to_pylist()
+    for lo, hi in zip(np.r_[0, cut], np.r_[cut, n], strict=True):
+        # Variants may keep different numbers of bands; within a column all rows agree.
+        x = flat[start[lo:hi, None] + np.arange(size[lo])]
+        yield (words[var[lo]], int(scene[lo]), int(col[lo])), x
+
+
 def _partial_moments(batches):
-    """Per-task column summaries, flushed when many columns pass through one task."""
+    """Per-task column summaries; bounded by rows buffered and columns held."""
     acc: dict[tuple, tuple] = {}
+    held: list = []
 
-    def flush():
-        rows = [(*k, n, m.tolist(), s.ravel().tolist()) for k, (n, m, s) in acc.items()]
-        acc.clear()
-        return pd.DataFrame(rows, columns=[*_KEYS, "n", "mean", "m2"])
-
-    for pdf in batches:
-        for key, grp in pdf.groupby(_KEYS, sort=False):
-            x = np.stack(grp["x"].to_numpy()).astype(float)
+    def absorb():
+        for key, x in _column_groups(held):
             mu = x.mean(axis=0)
             d = x - mu
             acc[key] = _merge(acc.get(key), (len(x), mu, d.T @ d))
-        if len(acc) > 2000:
-            yield flush()
+        held.clear()
+
+    def flush():
+        cols = list(zip(*[(*k, n, m, s.ravel()) for k, (n, m, s) in acc.items()], strict=True))
+        acc.clear()
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0]), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()),
+             pa.array(list(cols[4]), pa.list_(pa.float64())), pa.array(list(cols[5]), pa.list_(pa.float64()))],
+            names=[*_KEYS, "n", "mean", "m2"],
+        )
+
+    rows = 0
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= _BUFFER_ROWS:
+            absorb()
+            rows = 0
+            if len(acc) > _BUFFER_COLUMNS:
+                yield flush()
+    if held:
+        absorb()
     if acc:
         yield flush()
 
 
 def column_moments(good: DataFrame) -> DataFrame:
     """Count, mean and scatter matrix per column, merged from per-task summaries."""
-    partial = good.select(*_KEYS, "x").mapInPandas(_partial_moments, _MOMENTS)
+    partial = good.select(*_KEYS, "x").mapInArrow(_partial_moments, _MOMENTS)
 
     def combine(pdf: pd.DataFrame) -> pd.DataFrame:
         total = None
@@ -272,7 +320,8 @@ def matched_filter(
         # Selection and solution both read the moments.
         moments = materialise(moments, "moments")
         alpha = loo_alpha(good, moments)
-    models = column_models(moments, selection, alpha, target)
+    # Written once: its true size decides whether the weights are broadcast or joined by shuffle.
+    models = materialise(column_models(moments, selection, alpha, target).select(*_KEYS, "mu", "z"), "column-weights")
     return apply_filter(projected, models, scale)
 
 
