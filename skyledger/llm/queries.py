@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import mixing, packing, simhash, winnow
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,7 +17,9 @@ def _over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_simhash": _over_documents(simhash.op1),
     "op7_mix": _over_documents(mixing.op7),
     "op9_packing": _over_documents(packing.op9),
+    "op10_winnowing": _over_documents(winnow.op10),
 }
 TWINS: dict[str, str] = {"op7_mix": mixing.OP7_SQL}
