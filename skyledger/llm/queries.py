@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, simhash, winnow
+from . import mixing, packing, pii, simhash, winnow
 from .common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def _over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_simhash": _over_documents(simhash.op1),
     "op7_mix": _over_documents(mixing.op7),
+    "op8_pii": _over_documents(pii.op8),
     "op9_packing": _over_documents(packing.op9),
     "op10_winnowing": _over_documents(winnow.op10),
 }
