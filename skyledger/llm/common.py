@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import apply_runtime_conf
@@ -13,6 +13,8 @@ from ..session import apply_runtime_conf
 #: A word: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
+#: Bounds of a labelled sample: documents, and bytes of their texts (whole texts, in hash order, until it is full).
+SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24_000_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -56,3 +58,31 @@ def per_text(
              "binary": pa.binary(), "array<bigint>": pa.list_(pa.int64()), "array<double>": pa.list_(pa.float64())}
     types = [arrow.get(part.split()[-1]) for part in schema.split(", ")]
     return kept.mapInArrow(run, f"{head}, {schema}")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, n: int, held_out: int, rows: int, size: int) -> list[tuple[str, int]]:
+    """Whole texts and labels of at most ``rows`` labelled documents and ``size`` bytes, in the order of a hash of the id.
+
+    Rows whose id has the remainder ``held_out`` by ``n`` are left out, as are rows without an id or a label.
+    """
+    marked = labels.where(id_remainder(F.col("doc_id"), n) != held_out).where(F.col(target).isNotNull())
+    marked = marked.groupBy("doc_id").agg(F.max(target).alias("label")).withColumn("order", F.xxhash64("doc_id"))
+    marked = marked.orderBy("order", "doc_id").limit(rows)
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
+    texts = texts.where(F.octet_length("text") <= size)
+    texts = texts.groupBy("doc_id", "order", "label").agg(F.first("text").alias("text"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("order", "doc_id"))
+    kept = texts.withColumn("sum", before).where(F.col("sum") <= size).select("text", "label")
+    return [(r["text"], int(r["label"])) for r in kept.toLocalIterator()]
+
+
+def tree_nodes(tree):
+    """A fitted tree as nested tuples ``(feature, threshold, left, right)`` with values at the leaves."""
+
+    def walk(node):
+        if node.numDescendants() == 0:
+            return node.prediction()
+        split = node.split()
+        return (split.featureIndex(), split.threshold(), walk(node.leftChild()), walk(node.rightChild()))
+
+    return walk(tree._call_java("rootNode"))

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, simhash, winnow
-from .common import documents
+from . import compression, mixing, packing, pii, rules, simhash, toxicity, winnow
+from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,9 @@ def _over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": _over_documents(simhash.op1),
+    "op2_quality": lambda spark, sf_dir: compression.op2(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op4_quality_rules": _over_documents(rules.op4),
+    "op5_toxicity": lambda spark, sf_dir: toxicity.op5(documents(spark, sf_dir), labels(spark, sf_dir)),
     "op7_mix": _over_documents(mixing.op7),
     "op8_pii": _over_documents(pii.op8),
     "op9_packing": _over_documents(packing.op9),
