@@ -106,6 +106,22 @@ class ChunkEncoder(dict):
         self[chunk] = ids
         return ids
 
+    def count(self, piece: str) -> int:
+        """Tokens of a piece of text that ends, and starts, where a text may be cut."""
+        if not piece:
+            return 0
+        if len(self) > MEMO_ENTRIES:
+            self.clear()
+        first, *rest = piece.split(" ")
+        try:
+            # A piece that starts with a space has an empty first chunk and no lone space before the second.
+            head = 0 if not first and rest else len(self.whole(first)) if not first[-1:].isspace() else None
+            if head is None:
+                raise _Unsafe
+            return (head + sum(map(len, map(self.__getitem__, rest)))) // 4
+        except _Unsafe:
+            return len(self.whole(piece)) // 4
+
     def encode_many(self, texts: pa.Array) -> list[bytes]:
         """The ids of each text. Chunks are looked up once per group of texts and put together by array arithmetic."""
         for table in (self, self.bare):

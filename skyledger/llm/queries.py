@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, mixing, packing, pii, rules, simhash, toxicity, winnow
+from . import compression, licenses, mixing, packing, pii, rules, simhash, token_counts, toxicity, winnow
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,8 +19,10 @@ def _over_documents(fn: Callable[[DataFrame], DataFrame]) -> Query:
 QUERIES: dict[str, Query] = {
     "op1_simhash": _over_documents(simhash.op1),
     "op2_quality": lambda spark, sf_dir: compression.op2(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op3_licenses": _over_documents(licenses.op3),
     "op4_quality_rules": _over_documents(rules.op4),
     "op5_toxicity": lambda spark, sf_dir: toxicity.op5(documents(spark, sf_dir), labels(spark, sf_dir)),
+    "op6_token_counts": _over_documents(token_counts.op6),
     "op7_mix": _over_documents(mixing.op7),
     "op8_pii": _over_documents(pii.op8),
     "op9_packing": _over_documents(packing.op9),

@@ -14,6 +14,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .common import SAMPLE_BYTES, SAMPLE_ROWS, id_remainder, labelled_sample, tree_nodes
 
@@ -180,8 +181,9 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int =
     return fit_rows(docs.sparkSession, [t for t, _ in pairs], [y for _, y in pairs])
 
 
-def with_score(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
-    """Columns ``keys`` of every row with ``toxicity``, the calibrated score of its whole text; NULL texts are empty."""
+def with_score(docs: DataFrame, model: Model) -> DataFrame:
+    """``docs`` with ``__toxicity``, the calibrated score of the whole ``text``; a NULL text counts as empty."""
+    names = docs.columns
     shared: list[Describer] = []
 
     def run(batches):
@@ -189,27 +191,22 @@ def with_score(docs: DataFrame, model: Model, keys: list[str]) -> DataFrame:
             shared.append(Describer(model.lexicon))
         for batch in batches:
             if batch.num_rows:
-                x = np.array([shared[0].features(t or "") for t in batch.column("__text").to_pylist()], float)
-                arrays = [batch.column(k) for k in keys] + [pa.array(model.score(x))]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keys, "toxicity"])
+                x = np.array([shared[0].features(t or "") for t in batch.column("text").to_pylist()], float)
+                arrays = [*batch.columns, pa.array(model.score(x))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "__toxicity"])
 
-    kept = docs.select(*keys, F.col("text").alias("__text"))
-    kinds = [f"`{k}` {kept.schema[k].dataType.simpleString()}" for k in keys]
-    return kept.mapInArrow(run, ", ".join([*kinds, "toxicity double"]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("__toxicity", DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """``docs`` without the rows that score ``threshold`` or more; all columns are kept."""
-    keys = docs.columns
-    row = docs.select(F.struct(*keys).alias("row"), "text")
-    scored = with_score(row, fit(docs, labels), ["row"])
-    return scored.where(F.col("toxicity") < threshold).select(*[F.col("row").getField(k).alias(k) for k in keys])
+    return with_score(docs, fit(docs, labels)).where(F.col("__toxicity") < threshold).drop("__toxicity")
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Repeated rows each get a row, rows without an id are scored too, an empty table gives none."""
-    out = with_score(docs, fit(docs, labels), ["doc_id"])
+    out = with_score(docs.select("doc_id", "text"), fit(docs, labels))
     return out.select(
-        "doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("toxicity").alias("score"),
-        F.when(F.col("toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
+        "doc_id", (id_remainder(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("__toxicity").alias("score"),
+        F.when(F.col("__toxicity") >= 0.5, 1).otherwise(0).alias("predicted"),
     )
