@@ -94,7 +94,11 @@ _GEODESIC = T.StructType(
 
 
 def geodesic_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
-    """Distance (m) and forward azimuth (degrees 0-360) on the WGS84 ellipsoid (Vincenty)."""
+    """Distance (m) and forward azimuth (degrees 0-360) on the WGS84 ellipsoid.
+
+    Vincenty's iteration, and for nearly opposite points, where it does not settle, a
+    bisection on the azimuth.
+    """
     f, a = C.WGS84_F, C.WGS84_A
     b = a * (1 - f)
     u1 = np.arctan((1 - f) * np.tan(np.radians(lat1)))
@@ -114,9 +118,9 @@ def geodesic_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
             cm = np.where(ca2 == 0, 0.0, cs - 2 * s1 * s2 / np.where(ca2 == 0, 1.0, ca2))
             cc = f / 16 * ca2 * (4 + f * (4 - 3 * ca2))
             nxt = big_l + (1 - cc) * f * sa * (sig + cc * ss * (cm + cc * cs * (2 * cm * cm - 1)))
-            done = np.nanmax(np.abs(nxt - lam), initial=0.0) < 1e-13
+            moved = np.abs(nxt - lam)
             lam = nxt
-            if done:
+            if np.nanmax(moved, initial=0.0) < 1e-13:
                 break
         usq = ca2 * (a * a - b * b) / (b * b)
         big_a = 1 + usq / 16384 * (4096 + usq * (-768 + usq * (320 - 175 * usq)))
@@ -126,9 +130,56 @@ def geodesic_inverse(lon1, lat1, lon2, lat2) -> tuple[np.ndarray, np.ndarray]:
         )
         dist = b * big_a * (sig - ds)
         az = np.degrees(np.arctan2(c2 * np.sin(lam), c1 * s2 - s1 * c2 * np.cos(lam))) % 360.0
+    known = np.isfinite(big_l + u1 + u2)
+    open_pairs = known & ~((moved < 1e-12) & (np.abs(lam) <= np.pi) & np.isfinite(dist))
+    if open_pairs.any():
+        dist, az = np.array(dist), np.array(az)
+        dist[open_pairs], az[open_pairs] = _opposite_points(u1[open_pairs], u2[open_pairs], big_l[open_pairs])
     return dist, az
 
 
+def _opposite_points(u1: np.ndarray, u2: np.ndarray, big_l: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distance and forward azimuth between nearly opposite points of reduced latitude (Karney, 2013).
+
+    With the point of larger latitude first and put south, the difference of longitude
+    reached at the second latitude grows with the first azimuth, so halving its interval
+    finds it. The two integrals along the great ellipse are Gaussian sums.
+    """
+    f, b = C.WGS84_F, C.WGS84_A * (1 - C.WGS84_F)
+    swap = np.abs(u1) < np.abs(u2)
+    first, second = np.where(swap, u2, u1), np.where(swap, u1, u2)
+    flip = np.where(first > 0, -1.0, 1.0)
+    # A point on the equator counts as just south of it, so that every azimuth has one direction there.
+    first, second = np.minimum(first * flip, -1e-12), second * flip
+    target, east = np.abs(big_l), np.where(big_l < 0, -1.0, 1.0)
+    nodes, weights = np.polynomial.legendre.leggauss(48)
+    second_ecc = f * (2 - f) / (1 - f) ** 2
+
+    def along(azimuth: np.ndarray):
+        sin1, cos1 = np.sin(azimuth), np.cos(azimuth)
+        sin0 = sin1 * np.cos(first)
+        cos2 = np.sqrt(np.maximum(0.0, (cos1 * np.cos(first)) ** 2 + np.cos(second) ** 2 - np.cos(first) ** 2)) / np.cos(second)
+        sin2 = sin0 / np.cos(second)
+        s1, s2 = np.arctan2(np.sin(first), cos1 * np.cos(first)), np.arctan2(np.sin(second), cos2 * np.cos(second))
+        w1 = np.arctan2(sin0 * np.sin(first), cos1 * np.cos(first))
+        w2 = np.arctan2(sin0 * np.sin(second), cos2 * np.cos(second))
+        half, middle = (s2 - s1) / 2, (s2 + s1) / 2
+        root = np.sqrt(1 + second_ecc * (1 - sin0**2)[:, None] * np.sin(middle[:, None] + half[:, None] * nodes) ** 2)
+        lag = half * ((2 - f) / (1 + (1 - f) * root) @ weights)
+        return (w2 - w1) - f * sin0 * lag, b * half * (root @ weights), sin2, cos2
+
+    low, high = np.zeros_like(first), np.full_like(first, np.pi)
+    for _ in range(80):
+        mid = (low + high) / 2
+        short = along(mid)[0] < target
+        low, high = np.where(short, mid, low), np.where(short, high, mid)
+    mid = (low + high) / 2
+    _, dist, sin2, cos2 = along(mid)
+    sin1, cos1 = np.where(swap, sin2, np.sin(mid)), np.where(swap, cos2, np.cos(mid))
+    turned = np.where(swap, -1.0, 1.0)
+    return dist, np.degrees(np.arctan2(sin1 * east, cos1 * turned * flip)) % 360.0
+
+
 @F.pandas_udf(_GEODESIC)
 def geodesic(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series) -> pd.DataFrame:
     d, az = geodesic_inverse(*(s.to_numpy(dtype=float) for s in (lon1, lat1, lon2, lat2)))

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 # Words that claim proximity, and phrases that may not appear.
 PROXIMITY = r"(?i)\b(nearest|closest|closer|farther|farthest)\b"
 BANNED = ("closer in both", "both distance and angle")
@@ -38,34 +40,62 @@ def unsupported(citations: DataFrame, features: DataFrame) -> DataFrame:
     return citations.join(features.select("layer", "feature_id").distinct(), ["layer", "feature_id"], "left_anti")
 
 
-def json_leaves(docs: DataFrame, key: str, doc: str, depth: int = 3) -> DataFrame:
-    """(key, path, value) rows of JSON objects down to ``depth`` levels; deeper parts stay text.
+def _json_type(v: Column) -> Column:
+    """object, list, string, boolean, null, integer or float."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "list").when(t == "STRING", "string")
+        .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t == "BIGINT", "integer").otherwise("float")
+    )
+
 
-    Each level opens the objects of the level above in place, so the documents
-    are read once.
-    """
-    level = docs.select(key, F.lit("$").alias("path"), F.col(doc).alias("v"))
-    for _ in range(depth):
-        obj = F.coalesce(F.startswith(F.ltrim("v"), F.lit("{")), F.lit(False))
-        inner = F.map_entries(F.from_json(F.when(obj, F.col("v")), "map<string,string>"))
-        opened = F.transform(
-            inner, lambda e: F.struct(F.concat(F.col("path"), F.lit("."), e["key"]).alias("path"), e["value"].alias("v"))
-        )
-        level = level.select(
-            key, F.explode(F.when(obj, opened).otherwise(F.array(F.struct("path", "v")))).alias("e")
-        ).select(key, "e.path", "e.v")
-    return level
+def _length(v: Column) -> Column:
+    return F.size(F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _children(level: DataFrame, key: str, side: str) -> DataFrame:
+    """Members of every object and list of one side: ``key, path, v``; a list counts its members in brackets."""
+    tvf = level.sparkSession.tvf
+    opened = level.select(key, "path", side).lateralJoin(tvf.variant_explode(F.col(side).outer()).toDF("pos", "member", "v"))
+    step = F.when(F.col("member").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "member"))
+    return opened.select(key, F.concat("path", step).alias("path"), "v")
 
 
 def first_difference(expected: DataFrame, got: DataFrame, key: str, doc: str) -> DataFrame:
-    """First diverging path per document: a side without the path, or unequal values."""
-    a = json_leaves(expected, key, doc).withColumnRenamed("v", "want").withColumn("_a", F.lit(True))
-    b = json_leaves(got, key, doc).withColumnRenamed("v", "have").withColumn("_b", F.lit(True))
-    j = a.join(b, [key, "path"], "full_outer")
-    kind = F.when(F.col("_b").isNull(), "missing in got").when(F.col("_a").isNull(), "missing in expected").when(
-        ~F.col("want").eqNullSafe(F.col("have")), "value")
-    d = j.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return d.groupBy(key).agg(F.count("*").alias("n_diff"), F.min_by(F.struct("path", "kind"), F.col("path")).alias("f")).select(
+    """First diverging path per document and the number of divergences, at any depth.
+
+    Both sides are opened together, level by level, until nothing is left to open. A
+    member that one side lacks, another type, another list length or another value is a
+    divergence, and nothing below it is compared. A document of one side only, or one
+    that is not JSON, diverges at ``$``. Integers and floats are different types, as are
+    a list and an object; the order of members does not matter. Starts one job per level.
+    """
+    a = expected.select(key, F.try_parse_json(doc).alias("a"), F.lit(True).alias("in_a"))
+    b = got.select(key, F.try_parse_json(doc).alias("b"), F.lit(True).alias("in_b"))
+    level = a.join(b, key, "full_outer").withColumn("path", F.lit("$"))
+    found: list[DataFrame] = []
+    while True:
+        ta, tb = _json_type(F.col("a")), _json_type(F.col("b"))
+        same_length = (ta != "list") | (_length(F.col("a")) == _length(F.col("b")))
+        equal = F.when(
+            ta == "float", F.try_variant_get("a", "$", "double") == F.try_variant_get("b", "$", "double")
+        ).otherwise(F.to_json("a") == F.to_json("b"))
+        kind = (
+            F.when(F.col("in_b").isNull(), "missing in got").when(F.col("in_a").isNull(), "missing in expected")
+            .when(F.col("a").isNull() | F.col("b").isNull(), F.when(F.col("a").isNull() & F.col("b").isNull(), "same").otherwise("type"))
+            .when(ta != tb, "type").when(~same_length, "length").when(ta.isin("object", "list"), "open")
+            .when(equal, "same").otherwise("value")
+        )
+        level = cut_lineage(level.withColumn("kind", kind).where("kind <> 'same'"))
+        found.append(level.where("kind <> 'open'").select(key, "path", "kind"))
+        below = level.where("kind = 'open'")
+        if below.isEmpty():
+            break
+        a = _children(below, key, "a").select(key, "path", F.col("v").alias("a"), F.lit(True).alias("in_a"))
+        b = _children(below, key, "b").select(key, "path", F.col("v").alias("b"), F.lit(True).alias("in_b"))
+        level = a.join(b, [key, "path"], "full_outer")
+    every = reduce(DataFrame.unionByName, found)
+    return every.groupBy(key).agg(F.count("*").alias("n_diff"), F.min_by(F.struct("path", "kind"), F.col("path")).alias("f")).select(
         key, "n_diff", "f.path", "f.kind")
 
 
@@ -77,14 +107,14 @@ def dedupe_citations(refs: DataFrame) -> DataFrame:
     ).select("ident", "r.*")
 
 
-def claim_checks(claims: DataFrame, table: DataFrame) -> DataFrame:
+def claim_checks(claims: DataFrame, table: DataFrame, id_label: str = "OGIM_ID") -> DataFrame:
     """Proximity wording against the computed candidate table.
 
     ``claims``: ``event_id, claim_id, text``; ``table``: ``event_id, top_id,
-    near_id``. A proximity claim must name a feature that is one of the two.
+    near_id``. A proximity claim must name, after ``id_label``, a feature that is one of the two.
     """
     t = F.col("text")
-    named = F.regexp_extract(t, r"OGIM_ID (\d+)", 1)
+    named = F.regexp_extract(t, rf"{id_label} (\d+)", 1)
     j = claims.join(table, "event_id", "left")
     claim = t.rlike(PROXIMITY)
     banned = reduce(lambda x, y: x | y, [F.contains(F.lower(t), F.lit(b)) for b in BANNED])

@@ -71,7 +71,7 @@ def _relax(edges: DataFrame, small: bool) -> DataFrame:
     return pairs.distinct()
 
 
-def region_roots(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def region_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Smallest node of each node's region: ``(scene_id, node, root)``.
 
     Alternates large-star and small-star steps over all scenes at once. Only a
@@ -81,14 +81,12 @@ def region_roots(nodes: DataFrame, edges: DataFrame, max_rounds: int = 100) -> D
     current = cut_lineage(edges.select("scene_id", F.col("a").alias("u"), F.col("b").alias("v")))
     stamp = F.sum(F.xxhash64("scene_id", "u", "v").cast("decimal(38,0)"))
     before = None
-    for _ in range(max_rounds):
+    while True:
         current = cut_lineage(_relax(_relax(current, small=False), small=True))
         now = tuple(current.agg(F.count("*"), stamp).first())
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("region labelling did not settle")
     roots = current.select("scene_id", F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.select("scene_id", "node").join(roots, ["scene_id", "node"], "left").select(
         "scene_id", "node", F.coalesce("root", "node").alias("root")

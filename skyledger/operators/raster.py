@@ -27,19 +27,25 @@ def orthorectify(raw: DataFrame, glt: DataFrame, extents: DataFrame) -> DataFram
 
 
 def pair_rasters(own: DataFrame, ref: DataFrame) -> DataFrame:
-    """Pixel-aligned pairs ``(scene_id, r, c, own, ref)``; a shape mismatch gives a status per scene."""
+    """Pixel-aligned pairs ``(scene_id, r, c, own, ref)`` with a status per scene.
+
+    Scenes of different shape are ``grid mismatch``. A scene of one product only keeps
+    its pixels, with NULL on the other side, as ``no own scene`` or ``no reference scene``.
+    """
     ext = lambda d, p: d.groupBy("scene_id").agg(
         F.max("r").alias(f"{p}_r"), F.max("c").alias(f"{p}_c")
     )
-    shape = ext(own, "o").join(ext(ref, "f"), "scene_id").select(
+    shape = ext(own, "o").join(ext(ref, "f"), "scene_id", "full_outer").select(
         "scene_id",
-        F.when((F.col("o_r") == F.col("f_r")) & (F.col("o_c") == F.col("f_c")), "ok")
+        F.when(F.col("o_r").isNull(), "no own scene").when(F.col("f_r").isNull(), "no reference scene")
+        .when((F.col("o_r") == F.col("f_r")) & (F.col("o_c") == F.col("f_c")), "ok")
         .otherwise("grid mismatch").alias("status"),
     )
-    pairs = own.withColumnRenamed("value", "own").join(
-        ref.withColumnRenamed("value", "ref"), ["scene_id", "r", "c"]
+    pairs = own.withColumnRenamed("value", "own").withColumn("_o", F.lit(True)).join(
+        ref.withColumnRenamed("value", "ref").withColumn("_f", F.lit(True)), ["scene_id", "r", "c"], "full_outer"
     )
-    return pairs.join(shape, "scene_id")
+    kept = (F.col("_o") & F.col("_f")) | F.col("status").startswith("no ")
+    return pairs.join(shape, "scene_id").where(kept).drop("_o", "_f")
 
 
 def affine_sample(points: DataFrame, raster: DataFrame, affine: DataFrame) -> DataFrame:

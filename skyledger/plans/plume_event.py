@@ -62,8 +62,8 @@ def quantify_scenes(own: DataFrame, ref: DataFrame, affine: DataFrame, boxes: Da
 
 
 def _wind_at(points: DataFrame, state: DataFrame, weather: DataFrame) -> DataFrame:
-    """Wind at a point per scene at its overpass time, from the nearest quarter-degree cell."""
+    """Wind at a point per scene at its overpass time, from the nearest quarter-degree cell; without a sample, NULL and a status."""
     j = points.join(state.select("scene_id", "t", "glat0", "glon0"), "scene_id")
     j = j.withColumn("cell_i", raster.nearest_index(F.col("lat"), F.col("glat0"), 0.25)).withColumn(
         "cell_j", raster.nearest_index(F.col("lon"), F.col("glon0"), 0.25)).withColumn("request_id", F.col("scene_id"))
-    return asof.bracket_interpolate(j, weather, ["cell_i", "cell_j"], ["u", "v"]).where("status = 'ok'")
+    return asof.bracket_interpolate(j, weather, ["cell_i", "cell_j"], ["u", "v"])

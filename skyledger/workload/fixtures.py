@@ -211,8 +211,8 @@ def v_weather(spark, sf):
 
 def v_overpass(spark, sf):
     """Requests at exact event times near station cells, on the -180..180 convention."""
-    e = table(spark, sf, "events", ["event_id", "user_id", "ts", "event_type"])
-    return e.where("event_type = 'error'").select(
+    e = table(spark, sf, "events", ["event_id", "user_id", "ts"])
+    return e.select(
         F.col("event_id").alias("request_id"),
         F.expr("10.0D + 0.25D * ((user_id div 15) % 20) + (event_id % 7 - 3) * 0.03D").alias("lat"),
         F.expr("-10.0D + 0.25D * ((user_id div 15) div 20) + (event_id % 5 - 2) * 0.04D").alias("lon"),
@@ -467,7 +467,7 @@ SQL: dict[str, str] = {
         FROM events GROUP BY ALL)""",
     "v_overpass": """SELECT event_id AS request_id, 10.0::DOUBLE + 0.25::DOUBLE * ((user_id // 15) % 20) + (event_id % 7 - 3) * 0.03::DOUBLE AS lat,
   -10.0::DOUBLE + 0.25::DOUBLE * ((user_id // 15) // 20) + (event_id % 5 - 2) * 0.04::DOUBLE AS lon, epoch(date_trunc('second', ts))::BIGINT AS t
-  FROM events WHERE event_type = 'error'""",
+  FROM events""",
     "v_points": """SELECT c_mktsegment AS layer, c_custkey AS feature_id, -20.0::DOUBLE + (c_custkey * 37 % 3600) / 90.0::DOUBLE AS lon,
   20.0::DOUBLE + (c_custkey * 53 % 1200) / 40.0::DOUBLE AS lat, 'LEASE ' || (c_custkey % 40)::VARCHAR || ' #' || c_custkey::VARCHAR AS name, c_acctbal AS bal FROM customer
   UNION ALL SELECT 'FACILITY', s_suppkey + 1000000000, -20.0::DOUBLE + ((s_suppkey * 11 + 3) * 37 % 3600) / 90.0::DOUBLE,

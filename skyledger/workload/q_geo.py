@@ -170,13 +170,12 @@ def h2(spark, sf):
 
 
 @query("h1_field_hypotheses", "v_wedges v_polys", _PIP + f""",
-ct AS (SELECT event_id, count(*) FILTER (odd) > 0 AS contained FROM (SELECT event_id, poly_id, count(*) FILTER ((e.b > apex_lat - 0.4) <> (e.d > apex_lat - 0.4) AND apex_lon - 3.7 < (e.c - e.a) * (apex_lat - 0.4 - e.b) / (e.d - e.b) + e.a) % 2 = 1 AS odd FROM v_wedges, ed WHERE poly_id % 7 = 3 GROUP BY ALL) GROUP BY 1),
+ct AS (SELECT event_id, count(*) FILTER (odd) > 0 AS contained FROM (SELECT event_id, poly_id, count(*) FILTER ((e.b > apex_lat - 0.4) <> (e.d > apex_lat - 0.4) AND apex_lon - 3.7 < (e.c - e.a) * (apex_lat - 0.4 - e.b) / (e.d - e.b) + e.a) % 2 = 1 AS odd FROM v_wedges, ed GROUP BY ALL) GROUP BY 1),
 h AS (SELECT event_id, hyp, rank, round_even(0.6::DOUBLE * CASE WHEN hyp = 'H1' AND NOT contained THEN 0.5 ELSE s END + 0.25::DOUBLE * t + 0.15::DOUBLE * m, 4) AS score FROM ct, (VALUES ('H1', 1, 0.85::DOUBLE, 0.9::DOUBLE, 0.9::DOUBLE), ('H2', 2, 0.3, 0.9, 0.9), ('H3', 3, 0.5, 0.15, 0.4)) v(hyp, rank, s, t, m))
 SELECT event_id, hyp, rank, score, CASE WHEN score >= 0.55 THEN 'MODERATE' WHEN score >= 0.30 THEN 'LOW' ELSE 'INSUFFICIENT' END AS tier, score >= 0.80 AS capped FROM h""")
 def h1(spark, sf):
     w = X.v_wedges(spark, sf).select("event_id", (F.col("apex_lon") - 3.7).alias("lon"), (F.col("apex_lat") - 0.4).alias("lat"))
-    named = X.v_polys(spark, sf).where("poly_id % 7 = 3")
-    hit = spatial.points_in_polygons(w.withColumnRenamed("event_id", "point_id"), named).select(F.col("point_id").alias("event_id")).distinct()
+    hit = spatial.points_in_polygons(w.withColumnRenamed("event_id", "point_id"), X.v_polys(spark, sf)).select(F.col("point_id").alias("event_id")).distinct()
     s = w.join(hit.withColumn("_h", F.lit(True)), "event_id", "left").withColumn("contained", F.coalesce("_h", F.lit(False)))
     return attribution.field_hypotheses(s).select("event_id", "hyp", "rank", "score", "tier", "capped")
 
@@ -215,24 +214,36 @@ def j4(spark, sf):
     return _requests(spark, sf).select("request_id", "cell_i", "cell_j")
 
 
-@query("j5_bracket_interpolation", "v_overpass v_weather", """
+_BRACKET = """
 rq AS (SELECT *, ceil((lat - 10.0) / 0.25 - 0.5)::BIGINT AS cell_i, ceil((lon + 360 - 350.0) / 0.25 - 0.5)::BIGINT AS cell_j FROM v_overpass),
-nb AS (SELECT rq.request_id, rq.t, max(ts) FILTER (ts <= t) AS ta, min(ts) FILTER (ts >= t) AS tb FROM rq LEFT JOIN v_weather w ON w.cell_i = rq.cell_i AND w.cell_j = rq.cell_j AND abs(ts - t) <= 3600 GROUP BY ALL),
-jn AS (SELECT nb.*, a.u AS ua, a.v AS va, b.u AS ub, b.v AS vb, a.sp AS pa, b.sp AS pb FROM nb JOIN rq USING (request_id) LEFT JOIN v_weather a ON a.cell_i = rq.cell_i AND a.cell_j = rq.cell_j AND a.ts = ta LEFT JOIN v_weather b ON b.cell_i = rq.cell_i AND b.cell_j = rq.cell_j AND b.ts = tb),
-ip AS (SELECT *, CASE WHEN tb > ta THEN (t - ta)::DOUBLE / (tb - ta) ELSE 0 END AS fr, CASE WHEN ta IS NULL THEN tb WHEN tb IS NULL THEN ta WHEN t - ta <= tb - t THEN ta ELSE tb END AS near FROM jn)
-SELECT request_id, round(CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN ua + (ub - ua) * fr ELSE coalesce(ua, ub) END, 9) AS u, round(CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN va + (vb - va) * fr ELSE coalesce(va, vb) END, 9) AS v,
-round(CASE WHEN ta IS NOT NULL AND tb IS NOT NULL THEN pa + (pb - pa) * fr ELSE coalesce(pa, pb) END, 4) AS sp, round(abs(near - t) / 3600.0::DOUBLE, 6) AS hour_distance, CASE WHEN ta IS NULL AND tb IS NULL THEN 'no sample' ELSE 'ok' END AS status FROM ip""")
+sm AS (SELECT cell_i, cell_j, ts, {'ts': ts, 'u': u, 'v': v, 'sp': sp} AS s FROM v_weather),
+nb AS (SELECT cell_i, cell_j, ts, s, lag(s) OVER k AS p, lead(s) OVER k AS n FROM sm WINDOW k AS (PARTITION BY cell_i, cell_j ORDER BY ts)),
+be AS (SELECT rq.*, a.s AS a, a.p AS ap FROM rq ASOF LEFT JOIN nb a ON a.cell_i = rq.cell_i AND a.cell_j = rq.cell_j AND rq.t >= a.ts),
+bo AS (SELECT be.*, b.s AS b, b.n AS bn FROM be ASOF LEFT JOIN nb b ON b.cell_i = be.cell_i AND b.cell_j = be.cell_j AND be.t <= b.ts),
+ln AS (SELECT *, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN a WHEN a IS NULL THEN b WHEN ap IS NOT NULL THEN ap ELSE a END AS x,
+ CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN b WHEN a IS NULL THEN bn WHEN ap IS NOT NULL THEN a END AS y,
+ CASE WHEN a IS NULL THEN b.ts WHEN b IS NULL THEN a.ts WHEN t - a.ts <= b.ts - t THEN a.ts ELSE b.ts END AS near FROM bo),
+ip AS (SELECT request_id, t, near, x, y, coalesce(abs(near - t) <= 3600, false) AS ok, CASE WHEN y.ts > x.ts THEN (t - x.ts)::DOUBLE / (y.ts - x.ts) END AS fr FROM ln),
+vl AS (SELECT request_id, ok, CASE WHEN ok THEN abs(near - t) / 3600.0::DOUBLE END AS d, CASE WHEN ok THEN coalesce(x.u + (y.u - x.u) * fr, x.u) END AS u, CASE WHEN ok THEN coalesce(x.v + (y.v - x.v) * fr, x.v) END AS v,
+ CASE WHEN ok THEN coalesce(x.sp + (y.sp - x.sp) * fr, x.sp) END AS sp FROM ip)
+"""
+
+
+@query("j5_bracket_interpolation", "v_overpass v_weather", _BRACKET + """
+SELECT request_id, round(u, 11) AS u, round(v, 11) AS v, round(sqrt(u * u + v * v), 11) AS speed, round(sp, 4) AS sp, round(d, 6) AS hour_distance, CASE WHEN ok THEN 'ok' ELSE 'no sample' END AS status FROM vl""")
 def j5(spark, sf):
     out = asof.bracket_interpolate(_requests(spark, sf), X.v_weather(spark, sf), ["cell_i", "cell_j"], ["u", "v", "sp", "t2m"])
-    return out.select("request_id", rnd("u", 9).alias("u"), rnd("v", 9).alias("v"), rnd("sp", 4).alias("sp"), rnd("hour_distance").alias("hour_distance"), "status")
+    return out.select(
+        "request_id", rnd("u", 11).alias("u"), rnd("v", 11).alias("v"), rnd(F.hypot("u", "v"), 11).alias("speed"), rnd("sp", 4).alias("sp"),
+        rnd("hour_distance").alias("hour_distance"), "status",
+    )
 
 
-@query("f8_wind_sample_sigma", "v_overpass v_weather", """
-rq AS (SELECT *, ceil((lat - 10.0) / 0.25 - 0.5)::BIGINT AS cell_i, ceil((lon + 360 - 350.0) / 0.25 - 0.5)::BIGINT AS cell_j FROM v_overpass),
-nb AS (SELECT rq.request_id, min(abs(ts - t)) / 3600.0::DOUBLE AS d FROM rq JOIN v_weather w ON w.cell_i = rq.cell_i AND w.cell_j = rq.cell_j AND abs(ts - t) <= 3600 GROUP BY ALL)
-SELECT request_id, round(least(3.0::DOUBLE, 1.6::DOUBLE + 0.4::DOUBLE * d), 6) AS u10_sigma FROM nb""")
+@query("f8_wind_sample_sigma", "v_overpass v_weather", _BRACKET + """
+SELECT request_id, round(CASE WHEN ok THEN least(3.0::DOUBLE, 1.6::DOUBLE + 0.4::DOUBLE * d) END, 6) AS u10_sigma FROM vl""")
 def f8(spark, sf):
     from ..functions import physics as P
 
     out = asof.bracket_interpolate(_requests(spark, sf), X.v_weather(spark, sf), ["cell_i", "cell_j"], ["u", "v"])
-    return out.where("status = 'ok'").select("request_id", rnd(P.u10_sample_sigma(F.col("hour_distance"))).alias("u10_sigma"))
+    sigma = F.when(F.col("status") == "ok", P.u10_sample_sigma(F.col("hour_distance")))
+    return out.select("request_id", rnd(sigma).alias("u10_sigma"))

@@ -243,21 +243,29 @@ def j22(spark, sf):
 
 
 @query("f21_structural_diff", "", """
-x AS (SELECT event_id AS k, CAST(json_extract(props, '$.k') AS INTEGER) AS v FROM events)
-SELECT k AS event_id, CASE WHEN k % 5 = 0 AND k % 3 = 0 THEN 3 WHEN k % 5 = 0 THEN 2 ELSE 1 END::BIGINT AS n_diff, CASE WHEN k % 5 = 0 THEN '$.a.gone' ELSE '$.b' END AS path, CASE WHEN k % 5 = 0 THEN 'missing in got' ELSE 'value' END AS kind
-FROM x WHERE k % 3 = 0 OR k % 5 = 0""".replace("x AS", "WITH x AS", 1))
+WITH x AS (SELECT event_id AS k FROM events), d AS (
+ SELECT k, unnest([
+  {'path': '$.a.b.c.d.e', 'kind': CASE WHEN k % 3 = 0 THEN 'value' WHEN k % 3 = 1 AND k % 2 = 0 THEN 'type' END},
+  {'path': '$.a.gone', 'kind': CASE WHEN k % 5 = 0 THEN 'missing in got' END},
+  {'path': '$.c', 'kind': CASE WHEN k % 7 = 0 THEN 'missing in expected' END},
+  {'path': '$.l', 'kind': CASE WHEN k % 11 = 0 THEN 'length' END},
+  {'path': '$.l[1].m', 'kind': CASE WHEN k % 11 <> 0 AND k % 4 = 0 THEN 'value' END},
+  {'path': '$.o', 'kind': CASE WHEN k % 13 = 0 THEN 'type' END}]) AS e FROM x)
+SELECT k AS event_id, count(*) AS n_diff, min(e.path) AS path, arg_min(e.kind, e.path) AS kind FROM d WHERE e.kind IS NOT NULL GROUP BY k""")
 def f21(spark, sf):
     e = X.table(spark, sf, "events", ["event_id", "props"])
-    k = F.get_json_object("props", "$.k")
-    want = e.select("event_id", F.concat(F.lit('{"a":{"n":'), k, F.expr("case when event_id % 5 = 0 then ',\"gone\":1' else '' end"), F.lit('},"b":'), k, F.lit("}")).alias("doc"))
-    got = e.select("event_id", F.concat(F.lit('{"a":{"n":'), k, F.lit('},"b":'), F.expr("case when event_id % 3 = 0 then '-1' else get_json_object(props, '$.k') end"),
-                                        F.expr("case when event_id % 5 = 0 then ',\"c\":2' else '' end"), F.lit("}")).alias("doc"))
+    own = e.withColumn("n", F.get_json_object("props", "$.k"))
+    want = own.select("event_id", F.expr("""concat('{"a":{"b":{"c":{"d":{"e":', n, '}}}', if(event_id % 5 = 0, ',"gone":{"x":[]}', ''), '},"l":[1,{"m":', n, '}],"o":{}}')""").alias("doc"))
+    got = own.select("event_id", F.expr("""concat(
+        '{"o":', if(event_id % 13 = 0, '[]', '{}'), if(event_id % 7 = 0, ',"c":{"y":1}', ''),
+        ',"l":[1', if(event_id % 11 = 0, '', concat(',{"m":', if(event_id % 4 = 0, '-1', n), '}')),
+        '],"a":{"b":{"c":{"d":{"e":', case when event_id % 3 = 0 then '-1' when event_id % 3 = 1 and event_id % 2 = 0 then concat('"', n, '"') else n end, '}}}}}')""").alias("doc"))
     return audit.first_difference(want, got, "event_id", "doc")
 
 
 _CLAIMS = """
-cl AS (SELECT doc_id AS claim_id, doc_id % 20 AS event_id, text || CASE doc_id % 6 WHEN 0 THEN ' the nearest well (OGIM_ID ' || doc_id % 7 || ')' WHEN 1 THEN ' the CLOSEST pad' WHEN 2 THEN ' it is closer in both senses' ELSE '' END AS t FROM documents),
-tb AS (SELECT n_nationkey AS event_id, (n_nationkey % 7)::BIGINT AS top_id, ((n_nationkey + 3) % 7)::BIGINT AS near_id FROM nation WHERE n_nationkey < 16)
+cl AS (SELECT doc_id AS claim_id, doc_id % 30 AS event_id, text || CASE doc_id % 6 WHEN 0 THEN ' the nearest well (OGIM_ID ' || doc_id % 7 || ')' WHEN 1 THEN ' the CLOSEST pad' WHEN 2 THEN ' it is closer in both senses' ELSE '' END AS t FROM documents),
+tb AS (SELECT n_nationkey AS event_id, (n_nationkey % 7)::BIGINT AS top_id, ((n_nationkey + 3) % 7)::BIGINT AS near_id FROM nation)
 """
 
 
@@ -266,9 +274,9 @@ SELECT event_id, claim_id, CASE WHEN contains(lower(t), 'closer in both') OR con
 WHEN regexp_extract(t, 'OGIM_ID (\\d+)', 1) = '' THEN 'no identifiable candidate' WHEN regexp_extract(t, 'OGIM_ID (\\d+)', 1)::BIGINT IN (top_id, near_id) THEN 'supported' ELSE 'contradicted' END AS status FROM cl LEFT JOIN tb USING (event_id)""")
 def f22(spark, sf):
     d = X.table(spark, sf, "documents", ["doc_id", "text"])
-    claims = d.select(F.expr("doc_id % 20").alias("event_id"), F.col("doc_id").alias("claim_id"), F.concat("text", F.expr(
+    claims = d.select(F.expr("doc_id % 30").alias("event_id"), F.col("doc_id").alias("claim_id"), F.concat("text", F.expr(
         "case doc_id % 6 when 0 then concat(' the nearest well (OGIM_ID ', doc_id % 7, ')') when 1 then ' the CLOSEST pad' when 2 then ' it is closer in both senses' else '' end")).alias("text"))
-    tb = X.table(spark, sf, "nation", ["n_nationkey"]).where("n_nationkey < 16").select(F.col("n_nationkey").cast("bigint").alias("event_id"), F.expr("cast(n_nationkey % 7 as bigint)").alias("top_id"), F.expr("cast((n_nationkey + 3) % 7 as bigint)").alias("near_id"))
+    tb = X.table(spark, sf, "nation", ["n_nationkey"]).select(F.col("n_nationkey").cast("bigint").alias("event_id"), F.expr("cast(n_nationkey % 7 as bigint)").alias("top_id"), F.expr("cast((n_nationkey + 3) % 7 as bigint)").alias("near_id"))
     return audit.claim_checks(claims, tb)
 
 

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyledger.functions import calendar as K
-from skyledger.operators import asof, attribution, audit, climate, matching, quality, runs, spatial, surface
+from skyledger.functions.numeric import geodesic_inverse
+from skyledger.operators import asof, attribution, audit, climate, matching, quality, raster, runs, spatial, surface
 from skyledger.session import scratch_path
 from skyledger.sources import catalogue, grids, stations
 
@@ -70,12 +71,13 @@ def test_leap_day_has_no_position(spark):
 
 
 def test_bracket_interpolation(spark):
-    s = spark.createDataFrame([(0, 0, 0.0), (0, 3600, 10.0), (0, 20000, 5.0)], "k long, ts long, u double")
-    r = spark.createDataFrame([(0, 1, 900), (0, 2, 3600), (0, 3, 9000), (0, 4, 20500), (1, 5, 0)], "k long, request_id long, t long")
-    got = {x.request_id: (x.u, x.status, x.hour_distance) for x in asof.bracket_interpolate(r, s, ["k"], ["u"]).collect()}
-    assert got[1] == (2.5, "ok", 0.25) and got[2] == (10.0, "ok", 0.0)
-    assert got[3][1] == "no sample" and got[5][1] == "no sample"
-    assert got[4][:2] == (5.0, "ok")
+    s = spark.createDataFrame([(0, 0, 0.0), (0, 3600, 10.0), (0, 20000, 5.0), (2, 3600, 0.0), (2, 10800, 10.0), (3, 0, 0.0), (3, 3600, 10.0), (4, 50, 7.0)], "k long, ts long, u double")
+    r = spark.createDataFrame([(0, 1, 900), (0, 2, 3600), (0, 3, 9000), (1, 5, 0), (2, 6, 5400), (3, 7, 5400), (4, 8, 0), (3, 9, -1800)], "k long, request_id long, t long")
+    for block in (asof.BLOCK_S, 1000):
+        got = {x.request_id: (x.u, x.status, x.hour_distance) for x in asof.bracket_interpolate(r, s, ["k"], ["u"], block_s=block).collect()}
+        assert got[1] == (2.5, "ok", 0.25) and got[2] == (10.0, "ok", 0.0)
+        assert got[3] == (None, "no sample", None) and got[5] == (None, "no sample", None)
+        assert got[6][0] == 2.5 and got[7][0] == 15.0 and got[8][0] == 7.0 and got[9][0] == -5.0
 
 
 def test_wedge_across_the_date_line(spark):
@@ -186,11 +188,30 @@ def test_rules_report_each_breach(spark):
     assert sorted((r.key, r.rule) for r in v) == [("2", "score range"), ("3", "at least one diagnostic"), ("3", "score range")]
 
 
-def test_json_difference_points_at_the_path(spark):
-    a = spark.createDataFrame([(1, '{"a":{"b":1,"c":[1,2]},"d":null}'), (2, '{"a":1}')], "k long, doc string")
-    b = spark.createDataFrame([(1, '{"a":{"b":1,"c":[1,3]},"d":null}'), (2, '{"a":1}')], "k long, doc string")
-    got = audit.first_difference(a, b, "k", "doc").collect()
-    assert [(r.k, r.n_diff, r.path, r.kind) for r in got] == [(1, 1, "$.a.c", "value")]
+@pytest.mark.parametrize("want,got,path,kind", [
+    ('{"a":{"b":1,"c":[1,2]},"d":null}', '{"d":null,"a":{"c":[1,3],"b":1}}', "$.a.c[1]", "value"),
+    ('{"a":1}', '{"a":"1"}', "$.a", "type"), ('{"a":{}}', "{}", "$.a", "missing in got"), ("{}", '{"a":[]}', "$.a", "missing in expected"),
+    ('{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":{"b":{"c":{"d":{"e":2}}}}}', "$.a.b.c.d.e", "value"), ("[1,2]", "[1]", "$", "length"),
+    ('{"a":[{"x":1,"y":2}]}', '{"a":[{"y":2,"x":1}]}', None, None), ("[]", "{}", "$", "type"), ("1", "1.5", "$", "type"), ("1.50", "1.5", None, None),
+    ('{"a":[[[{"k":true}]]]}', '{"a":[[[{"k":false}]]]}', "$.a[0][0][0].k", "value"), ('{"a":null}', '{"a":0}', "$.a", "type"),
+])
+def test_json_difference_points_at_the_path(spark, want, got, path, kind):
+    a = spark.createDataFrame([(1, want), (2, '{"a":1}')], "k long, doc string")
+    b = spark.createDataFrame([(1, got), (2, '{"a":1}')], "k long, doc string")
+    rows = [(r.k, r.path, r.kind) for r in audit.first_difference(a, b, "k", "doc").collect()]
+    assert rows == ([(1, path, kind)] if path else [])
+
+
+def test_scene_of_one_product_keeps_a_status(spark):
+    own = spark.createDataFrame([(1, 0, 0, 1.0), (2, 0, 0, 2.0), (4, 0, 0, 1.0), (4, 0, 1, 1.0)], "scene_id long, r long, c long, value double")
+    ref = spark.createDataFrame([(1, 0, 0, 3.0), (3, 0, 0, 4.0), (4, 0, 0, 5.0)], "scene_id long, r long, c long, value double")
+    got = sorted((r.scene_id, r.own, r.ref, r.status) for r in raster.pair_rasters(own, ref).collect())
+    assert got == [(1, 1.0, 3.0, "ok"), (2, 2.0, None, "no reference scene"), (3, None, 4.0, "no own scene"), (4, 1.0, 5.0, "grid mismatch")]
+
+
+def test_geodesic_of_nearly_opposite_points():
+    d, az = geodesic_inverse(*(np.array(x, float) for x in ([0, 0], [0, 10], [179.7, 0], [0.5, 10])))
+    assert d[0] == pytest.approx(19944127.42, abs=0.01) and d[1] == pytest.approx(0.0, abs=1e-6) and az[0] == pytest.approx(15.556883, abs=1e-5)
 
 
 def test_factor_ladder_and_ranks(spark):
