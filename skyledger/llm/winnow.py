@@ -142,18 +142,20 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     sent = base.select(
         F.col("before_id").alias("id"),
         F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_chars") / 4).cast("int")).alias("head"),
+        F.col("fingerprint").alias("next_fingerprint"),
         F.col("hashes").alias("next_hashes"),
     )
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head")
     met = base.join(sent, F.col("doc_id") == F.col("id")).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_hashes"
+        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_fingerprint", "next_hashes"
     )
     met = met.select("*", selected(F.col("edited"), gram, window).alias("edited_kept"))
     return met.select(
         "doc_id", "n_chars", "edited", "fingerprint", digest(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), hashes(F.col("edited_kept"))).alias("near_edited"),
-        likeness(F.col("hashes"), F.col("next_hashes")).alias("near_next"),
+        F.when(F.col("fingerprint") == F.col("next_fingerprint"), F.lit(1.0))
+        .otherwise(likeness(F.col("hashes"), F.col("next_hashes"))).alias("near_next"),
     )
 
 
