@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from .common import WORD
 
 #: Candidate offsets of one source; the one whose sample comes nearest the target is its random offset.
 OFFSETS = 16
+#: A document is in the first stratum for which so many of it exceed its source's target, or in the last one.
+STRATA = (4, 20, 100)
 
 
 def n_words(text: Column) -> Column:
@@ -65,67 +69,95 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     ``docs`` has ``doc_id, source, size`` and any other columns, which are kept.
     Added: ``source_size``, ``target`` and ``copies`` (0 to ``cap``).
 
-    Every document of a source expects ``target / source_size`` copies. Within the
-    source, documents stand in the order of (size, doc_id); the prefix sums of the
-    expected copies, plus one offset per source, give a copy for each integer crossed.
-    Neighbours in that order have nearly equal sizes, so the words taken come near the
-    target whatever the spread of sizes. The order is global: rows are range-partitioned
-    by (source, size, doc_id), a source of any size spreads over many partitions, and a
-    document's rank is its place in its partition plus the counts of those before.
-
-    Rows without a source are a source of their own, the last. Equal rows are separate
-    documents. Empty texts have size 0 and may be taken. An empty table gives no rows.
+    Within a source, documents stand in the order of (size, doc_id); the prefix sums of
+    their expected copies, plus one offset per source, give a copy for each integer
+    crossed. Neighbours in that order have nearly equal sizes, so the words taken come
+    near what is expected whatever the spread of sizes. This is done in ``STRATA``, the
+    largest documents first: each stratum expects what is left of the target over the
+    words that are left, so a giant document does not carry its source past the target.
+
+    The order is global: rows are range-partitioned by (source, size, doc_id), a source of
+    any size spreads over many partitions, and a document's rank is its place in its
+    partition plus the counts of those before. Rows without a source are a source of
+    their own, the last. Equal rows are separate documents. Empty texts have size 0 and
+    may be taken. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     ranged = (
         docs.repartitionByRange("source", "size", "doc_id")
         .sortWithinPartitions("source", "size", "doc_id")
         .withColumn("__place", F.monotonically_increasing_id())
     )
     placed = materialise(ranged, "mix")
-    part = F.shiftright("__place", 33)
-    runs = placed.groupBy("source", part.alias("__part")).agg(
-        F.count("*").alias("n"), F.min("__place").alias("first"), F.sum("size").alias("size")
+    sums = materialise(placed.groupBy("source").agg(F.sum("size").alias("size")), "mix_sources")
+    targets = source_targets(sums, weights, share, cap)
+    targets = targets.select(
+        F.col("source").alias("__source"), F.col("source_size").alias("__words"), F.col("target").alias("__target")
     )
-    runs = materialise(runs, "mix_runs")
-    targets = source_targets(runs, weights, share, cap)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    t, r = targets.alias("t"), runs.alias("r")
-    runs = r.join(t, F.expr("r.source <=> t.source")).select(
-        F.col("r.source").alias("__source"), F.col("r.__part").alias("__run"), F.col("r.first").alias("__first"),
-        F.col("r.before").alias("__before"), "t.source_size", "t.target", rate.alias("__rate"),
+    targets = materialise(targets, "mix_targets")
+
+    def tagged(rows: DataFrame) -> DataFrame:
+        found = rows.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
+        return found.withColumn("__stratum", stratum(F.col("size"), F.col("__target")))
+
+    light = tagged(placed.select("source", "size", "__place"))
+    part = F.shiftright("__place", 33)
+    runs = light.groupBy("source", "__stratum", part.alias("__part")).agg(F.count("*").alias("n"), F.min("__place").alias("first"))
+    before = Window.partitionBy("source", "__stratum").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(
+        F.col("source").alias("__name"), F.col("__stratum").alias("__level"), F.col("__part").alias("__run"),
+        (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("__shift"),
     )
     runs = materialise(runs, "mix_runs")
 
-    light = _ranked(placed.select("source", "size", "__place"), runs)
-    bases = [(offset_base(F.col("source")) + F.lit(j / OFFSETS)) % F.lit(1.0) for j in range(OFFSETS)]
-    taken = light.groupBy("source").agg(
-        F.first("target").alias("target"),
-        F.array(*[F.sum(copies(F.col("__rank"), F.col("__rate"), b, cap) * F.col("size")) for b in bases]).alias("taken"),
-    )
-    tries = F.arrays_zip(
-        F.transform("taken", lambda x: F.abs(x.cast("double") - F.col("target"))).alias("off"),
-        F.array(*[F.lit(j) for j in range(OFFSETS)]).alias("j"),
-    )
-    chosen = taken.select(
-        F.col("source").alias("__name"), F.array_min(tries)["j"].alias("__try")
-    )
-    chosen = materialise(chosen, "mix_offsets")
-    offset = (offset_base(F.col("source")) + F.col("__try") / F.lit(float(OFFSETS))) % F.lit(1.0)
-    full = _ranked(placed, runs).join(chosen, F.col("source").eqNullSafe(F.col("__name")))
+    def ranked(rows: DataFrame) -> DataFrame:
+        on = F.col("source").eqNullSafe(F.col("__name")) & (F.col("__stratum") == F.col("__level")) & (part == F.col("__run"))
+        return rows.join(runs, on).withColumn("__rank", F.col("__place") + F.col("__shift")).drop("__name", "__level", "__run", "__shift")
+
+    state = targets.select("__source", F.col("__target").alias("__left"), F.col("__words").alias("__rest"))
+    plans: list[DataFrame] = []
+    for level in range(len(STRATA) + 1):
+        rate = F.when(F.col("__rest") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("__left") / F.col("__rest"))))
+        state = state.withColumn("__rate", F.coalesce(rate, F.lit(0.0)))
+        here = ranked(light.where(F.col("__stratum") == level)).join(state, F.col("source").eqNullSafe(F.col("__source")))
+        state = state.join(_best_offset(here, cap), F.col("__source").eqNullSafe(F.col("__of")), "left")
+        state = materialise(state, "mix_state")
+        plans.append(state.where("__try is not null").select(
+            F.col("__source").alias("__planned"), F.lit(level).alias("__at"), "__rate", "__try"
+        ))
+        state = state.select(
+            "__source", (F.col("__left") - F.coalesce("__taken", F.lit(0))).alias("__left"),
+            (F.col("__rest") - F.coalesce("__sum", F.lit(0))).alias("__rest"),
+        )
+    plan = materialise(reduce(DataFrame.unionByName, plans), "mix_plan")
+    full = ranked(tagged(placed.drop(*[c for c in ("source_size", "target", "copies") if c in placed.columns])))
+    full = full.join(plan, F.col("source").eqNullSafe(F.col("__planned")) & (F.col("__stratum") == F.col("__at")))
     names = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
-    return full.select(*names, "source_size", "target", copies(F.col("__rank"), F.col("__rate"), offset, cap).alias("copies"))
+    return full.select(
+        *names, F.col("__words").alias("source_size"), F.col("__target").alias("target"),
+        copies(F.col("__rank"), F.col("__rate"), _offset(F.col("__try")), cap).alias("copies"),
+    )
+
+
+def stratum(size: Column, target: Column) -> Column:
+    out = F.lit(len(STRATA))
+    for i, most in reversed(list(enumerate(STRATA))):
+        out = F.when(most * size > target, i).otherwise(out)
+    return out
 
 
-def _ranked(placed: DataFrame, runs: DataFrame) -> DataFrame:
-    """Rows with their rank within the source, from 1."""
-    clash = [c for c in placed.columns if c in ("source_size", "target")]
-    joined = placed.drop(*clash).join(
-        runs, F.col("source").eqNullSafe(F.col("__source")) & (F.shiftright("__place", 33) == F.col("__run"))
+def _offset(j: Column) -> Column:
+    return (offset_base(F.col("source")) + j / F.lit(float(OFFSETS))) % F.lit(1.0)
+
+
+def _best_offset(ranked: DataFrame, cap: int) -> DataFrame:
+    """Per source the offset whose sample comes nearest what is expected: ``__of, __try, __taken, __sum``."""
+    words = [F.sum(copies(F.col("__rank"), F.col("__rate"), _offset(F.lit(j)), cap) * F.col("size")) for j in range(OFFSETS)]
+    per = ranked.groupBy("source").agg(
+        (F.first("__rate") * F.sum("size")).alias("__wanted"), F.array(*words).alias("__tries"), F.sum("size").alias("__sum")
     )
-    return joined.withColumn("__rank", F.col("__place") - F.col("__first") + F.col("__before") + 1)
+    off = F.transform("__tries", lambda x, j: F.struct(F.abs(x.cast("double") - F.col("__wanted")).alias("off"), j.alias("j"), x.alias("x")))
+    best = F.array_min(off)
+    return per.select(F.col("source").alias("__of"), best["j"].alias("__try"), best["x"].alias("__taken"), "__sum")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -145,7 +177,7 @@ def op7(docs: DataFrame) -> DataFrame:
     )
 
 
-OP7_SQL = r"""
+_TARGETS_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
@@ -164,18 +196,37 @@ WITH d AS (
   FROM l
 ), r AS (
   SELECT d.doc_id, d.size, d.source, t.source_size, t.target, t.base,
-    CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
-    row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.doc_id) AS k
+    CASE WHEN 4 * d.size > t.target THEN 0 WHEN 20 * d.size > t.target THEN 1 WHEN 100 * d.size > t.target THEN 2 ELSE 3 END AS s
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), c AS (
-  SELECT r.*, j, least(floor(((base + j / 16.0::DOUBLE) % 1.0::DOUBLE) + k * rate)
-      - floor(((base + j / 16.0::DOUBLE) % 1.0::DOUBLE) + (k - 1) * rate), 2)::BIGINT AS copies
-  FROM r, generate_series(0, 15) g(j)
-), b AS (
-  SELECT source, j, abs(sum(copies * size)::DOUBLE - any_value(target)) AS off FROM c GROUP BY source, j
-), p AS (
-  SELECT source, min_by(j, (off, j)) AS j FROM b GROUP BY source
+), o AS (
+  SELECT q.*, j, (base + j / 16.0::DOUBLE) % 1.0::DOUBLE AS u
+  FROM (SELECT *, row_number() OVER (PARTITION BY source, s ORDER BY size, doc_id) AS k FROM r) q, generate_series(0, 15) g(j)
+), q0 AS (
+  SELECT source, target AS rest, source_size AS others FROM t
+)"""
+
+_LEVEL_SQL = r""", f{i} AS (
+  SELECT *, CASE WHEN others > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, rest / others)) ELSE 0.0::DOUBLE END AS rate FROM q{i}
+), c{i} AS (
+  SELECT o.*, rate, least(floor(u + k * rate) - floor(u + (k - 1) * rate), 2)::BIGINT AS copies
+  FROM o JOIN f{i} f ON o.source IS NOT DISTINCT FROM f.source WHERE s = {i}
+), b{i} AS (
+  SELECT source, j, sum(copies * size)::BIGINT AS taken, sum(size)::BIGINT AS words,
+    abs(sum(copies * size)::DOUBLE - any_value(rate) * sum(size)::BIGINT) AS off FROM c{i} GROUP BY source, j
+), p{i} AS (
+  SELECT source, min_by(j, (off, j)) AS j, min_by(taken, (off, j)) AS taken, any_value(words) AS words FROM b{i} GROUP BY source
+), q{n} AS (
+  SELECT q.source, q.rest - coalesce(p.taken, 0) AS rest, q.others - coalesce(p.words, 0) AS others
+  FROM q{i} q LEFT JOIN p{i} p ON q.source IS NOT DISTINCT FROM p.source
+)"""
+
+OP7_SQL = (
+    _TARGETS_SQL
+    + "".join(_LEVEL_SQL.format(i=i, n=i + 1) for i in range(len(STRATA) + 1))
+    + " UNION ALL ".join(
+        f" SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken, c.copies FROM c{i} c "
+        f"JOIN p{i} p ON c.source IS NOT DISTINCT FROM p.source AND c.j = p.j"
+        for i in range(len(STRATA) + 1)
+    )
 )
-SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken, c.copies
-FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source AND c.j = p.j
-"""
+
