@@ -68,10 +68,13 @@ def target_signature(k: Column, mu: Column) -> Column:
 
 
 def project_bands(pixels: DataFrame, selection: DataFrame) -> DataFrame:
-    """Pixels reduced to the kept bands, one copy per variant in ``selection``."""
+    """Pixels reduced to the kept bands, one copy per variant in ``selection``.
+
+    Pixels of a scene without enough bands stay, with NULL ``x`` and the reason in ``status``.
+    """
     cols = [c for c in ("variant",) if c in selection.columns]
-    sel = selection.where("status = 'ok'").select(*cols, "scene_id", "kept_bands", "kept_k")
-    joined = pixels.join(sel, "scene_id")
+    sel = selection.select(*cols, "scene_id", "kept_bands", "kept_k", F.col("status").alias("_status"))
+    joined = pixels.join(sel, "scene_id", "left").withColumn("status", F.coalesce("_status", F.lit("no bands"))).drop("_status")
     if "variant" not in selection.columns:
         joined = joined.withColumn("variant", F.lit("central"))
     k = F.col("kept_bands")
@@ -82,7 +85,12 @@ def project_bands(pixels: DataFrame, selection: DataFrame) -> DataFrame:
     x = F.when(unbroken & (first + n <= F.size("rad")), F.slice(rad, (first + 1).cast("int"), n)).otherwise(
         F.transform(k, lambda i: F.get(rad, i.cast("int")))
     )
-    return joined.withColumn("x", x)
+    return joined.withColumn("x", F.when(F.col("status") == "ok", x))
+
+
+def good_pixels(projected: DataFrame) -> DataFrame:
+    """The pixels that models are built from."""
+    return projected.where(~F.col("bad") & F.col("x").isNotNull())
 
 
 def _merge(a, b):
@@ -94,8 +102,9 @@ def _merge(a, b):
     return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
 
 
-_BUFFER_ROWS = 1 << 17
-_BUFFER_COLUMNS = 2000
+#: Bytes of pixels read before they are summed, and of summaries held before they are sent on.
+_BUFFER_BYTES = 48 << 20
+_HELD_BYTES = 96 << 20
 
 
 def _column_groups(batches):
@@ -119,7 +128,7 @@ def _column_groups(batches):
 
 
 def _partial_moments(batches):
-    """Per-task column summaries; bounded by rows buffered and columns held."""
+    """Per-task column summaries; bounded by the bytes buffered and held."""
     acc: dict[tuple, tuple] = {}
     held: list = []
 
@@ -139,16 +148,16 @@ def _partial_moments(batches):
             names=[*_KEYS, "n", "mean", "m2"],
         )
 
-    rows = 0
+    size = 0
     for batch in batches:
         if batch.num_rows == 0:
             continue
         held.append(batch)
-        rows += batch.num_rows
-        if rows >= _BUFFER_ROWS:
+        size += batch.nbytes
+        if size >= _BUFFER_BYTES:
             absorb()
-            rows = 0
-            if len(acc) > _BUFFER_COLUMNS:
+            size = 0
+            if sum(m2.nbytes for _, _, m2 in acc.values()) > _HELD_BYTES:
                 yield flush()
     if held:
         absorb()
@@ -227,8 +236,8 @@ def column_models(
 
 
 def apply_filter(projected: DataFrame, models: DataFrame, scale: float = C.PPM_SCALE) -> DataFrame:
-    """Enhancement per pixel; excluded pixels and skipped columns are NULL."""
-    w = models.select(*_KEYS, "mu", "z")
+    """Enhancement per pixel with a status; excluded pixels and skipped columns and scenes are NULL."""
+    w = models.select(*_KEYS, "mu", "z", F.col("status").alias("_model"))
     score = F.aggregate(
         F.zip_with(F.zip_with("x", "mu", lambda a, b: a - b), "z", lambda a, b: a * b),
         F.lit(0.0), lambda acc, v: acc + v,
@@ -236,6 +245,8 @@ def apply_filter(projected: DataFrame, models: DataFrame, scale: float = C.PPM_S
     return projected.join(w, _KEYS, "left").select(
         *_KEYS, "line",
         F.when(~F.col("bad") & F.col("z").isNotNull(), score * scale).alias("enh"),
+        F.when(F.col("status") != "ok", F.col("status")).when(F.col("bad"), "bad pixel")
+        .otherwise(F.coalesce("_model", F.lit("no good pixels"))).alias("status"),
     )
 
 
@@ -314,14 +325,14 @@ def matched_filter(
     """Per-column matched filter over all scenes. ``alpha="loocv"`` selects it per column."""
     selection = select_bands(bands, windows)
     projected = project_bands(pixels, selection)
-    good = projected.where(~F.col("bad"))
+    good = good_pixels(projected)
     moments = column_moments(good)
     if alpha == "loocv":
         # Selection and solution both read the moments.
         moments = materialise(moments, "moments")
         alpha = loo_alpha(good, moments)
     # Written once: its true size decides whether the weights are broadcast or joined by shuffle.
-    models = materialise(column_models(moments, selection, alpha, target).select(*_KEYS, "mu", "z"), "column-weights")
+    models = materialise(column_models(moments, selection, alpha, target).select(*_KEYS, "mu", "z", "status"), "column-weights")
     return apply_filter(projected, models, scale)
 
 

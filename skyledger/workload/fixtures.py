@@ -152,9 +152,9 @@ def v_mask(spark, sf):
 def v_bands(spark, sf):
     scenes = table(spark, sf, "embeddings", ["vec_id"]).select(F.expr("vec_id div 500").alias("scene_id")).distinct()
     return scenes.select(
-        "scene_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(15).cast("bigint"))).alias("band")
+        "scene_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(63).cast("bigint"))).alias("band")
     ).select(
-        "scene_id", "band", (2000.0 + 50.0 * F.col("band")).alias("wl"), F.lit(8.5).alias("fwhm"),
+        "scene_id", "band", (2000.0 + 12.5 * F.col("band")).alias("wl"), F.lit(8.5).alias("fwhm"),
         F.expr("-(1.0D + (band * 7) % 5) / 1000.0D").alias("k"),
     )
 
@@ -163,8 +163,8 @@ def v_pixels(spark, sf):
     e = table(spark, sf, "embeddings", ["vec_id", "label", "embedding"])
     return e.select(
         F.expr("vec_id div 500").alias("scene_id"), F.col("vec_id").alias("line"),
-        F.col("label").cast("bigint").alias("xtrack"),
-        F.expr("transform(slice(embedding, 1, 16), x -> 2.0D + cast(x as double))").alias("rad"),
+        F.expr("cast(label as bigint) % 4").alias("xtrack"),
+        F.expr("transform(embedding, x -> 2.0D + cast(x as double))").alias("rad"),
         F.expr("array(0, 0, 0, 0, case when vec_id % 13 = 0 then 1 else 0 end, 0, cast(vec_id % 3 as int))").alias("flags"),
     ).withColumn("bad", F.get("flags", F.lit(4)) != 0)
 
@@ -453,9 +453,9 @@ SQL: dict[str, str] = {
     "v_glt": f"""SELECT scene_id, oy, ox, (ox * 5 + oy) % 51 AS glt_x, (oy * 7 + ox) % 50 AS glt_y
   FROM v_extent, (SELECT unnest(range({SIDE})) AS oy), (SELECT unnest(range({SIDE})) AS ox)""",
     "v_mask": "SELECT scene_id, r, c, own, ref, lon, lat FROM v_raster WHERE own > 60.0",
-    "v_bands": """SELECT scene_id, band, 2000.0::DOUBLE + 50.0::DOUBLE * band AS wl, 8.5::DOUBLE AS fwhm, -(1.0::DOUBLE + (band * 7) % 5) / 1000.0::DOUBLE AS k
-  FROM (SELECT DISTINCT vec_id // 500 AS scene_id FROM embeddings), (SELECT unnest(range(16)) AS band)""",
-    "v_pixels": """SELECT vec_id // 500 AS scene_id, vec_id AS line, label::BIGINT AS xtrack, list_transform(embedding[1:16], lambda x: 2.0::DOUBLE + x::DOUBLE) AS rad,
+    "v_bands": """SELECT scene_id, band, 2000.0::DOUBLE + 12.5::DOUBLE * band AS wl, 8.5::DOUBLE AS fwhm, -(1.0::DOUBLE + (band * 7) % 5) / 1000.0::DOUBLE AS k
+  FROM (SELECT DISTINCT vec_id // 500 AS scene_id FROM embeddings), (SELECT unnest(range(64)) AS band)""",
+    "v_pixels": """SELECT vec_id // 500 AS scene_id, vec_id AS line, label::BIGINT % 4 AS xtrack, list_transform(embedding, lambda x: 2.0::DOUBLE + x::DOUBLE) AS rad,
   [0, 0, 0, 0, CASE WHEN vec_id % 13 = 0 THEN 1 ELSE 0 END, 0, (vec_id % 3)::INTEGER] AS flags, vec_id % 13 = 0 AS bad FROM embeddings""",
     "v_hires": """SELECT p_partkey // 2000 AS scene_id, 2100.0::DOUBLE + (p_partkey % 2000) * 0.2::DOUBLE + ((p_partkey * 7) % 3) * 0.01::DOUBLE AS nm, p_size * 1e-22::DOUBLE AS kx FROM part""",
     "v_hbands": """SELECT scene_id, band, 2100.0::DOUBLE + 10.0::DOUBLE * band AS wl, 8.0::DOUBLE + band % 3 AS fwhm

@@ -13,12 +13,12 @@ from ..session import materialise
 from . import fixtures as X
 from .registry import query, rnd
 
-TWO = ((2140.0, 2210.0),)
+TWO = ((2150.0, 2150.0), (2200.0, 2200.0))
 
 _TWO_SQL = """
-g AS (SELECT scene_id, xtrack, line, rad[4] AS x1, rad[5] AS x2, bad FROM v_pixels),
+g AS (SELECT scene_id, xtrack, line, rad[13] AS x1, rad[17] AS x2, bad FROM v_pixels),
 m AS (SELECT scene_id, xtrack, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, var_samp(x1) AS a, var_samp(x2) AS d, covar_samp(x1, x2) * (1 - 1e-9::DOUBLE) AS b FROM g WHERE NOT bad GROUP BY ALL),
-s AS (SELECT *, -(1.0::DOUBLE + 21 % 5) / 1000 * m1 AS s1, -(1.0::DOUBLE + 28 % 5) / 1000 * m2 AS s2, a * d - b * b AS det FROM m),
+s AS (SELECT *, -(1.0::DOUBLE + 84 % 5) / 1000 * m1 AS s1, -(1.0::DOUBLE + 112 % 5) / 1000 * m2 AS s2, a * d - b * b AS det FROM m),
 z AS (SELECT *, (d * s1 - b * s2) / det AS z1, (a * s2 - b * s1) / det AS z2 FROM s)
 """
 
@@ -40,7 +40,7 @@ def p2(spark, sf):
 def _good(spark, sf, windows):
     sel = M.select_bands(X.v_bands(spark, sf), windows)
     proj = M.project_bands(X.v_pixels(spark, sf), sel)
-    return sel, proj, proj.where(~F.col("bad"))
+    return sel, proj, M.good_pixels(proj)
 
 
 @query("a2_target_signature", "v_pixels v_bands", """
@@ -112,7 +112,7 @@ def a48(spark, sf):
         one = M.select_bands(bands, win, out).withColumn("variant", F.lit(name))
         sel = one if sel is None else sel.unionByName(one)
     proj = M.project_bands(pixels, sel)
-    models = M.column_models(M.column_moments(proj.where(~F.col("bad"))), sel)
+    models = M.column_models(M.column_moments(M.good_pixels(proj)), sel)
     enh = materialise(M.apply_filter(proj, models), "variant-enhancement")
     ref = enh.where("variant = 'narrow'").select("scene_id", "line", F.col("enh").alias("ref"))
     p = exact_percentiles(enh, ["variant", "scene_id"], F.col("enh"), {"p1": 0.01, "p50": 0.5, "p99": 0.99})
