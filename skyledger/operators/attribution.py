@@ -90,17 +90,16 @@ def facility_summary(ranked: DataFrame) -> DataFrame:
 def alternatives(ranked: DataFrame, summary: DataFrame, cap: int = C.RENDER_CAP) -> DataFrame:
     """First ``cap`` candidates off the leading pad, with the number of all of them."""
     lease = F.trim(F.substring_index("name", " #", 1))
-    s = summary.select("event_id", "top_lease", "top_operator")
+    s = summary.select("event_id", "top_lease", "top_operator", "n_pad")
     other = ranked.withColumn("lease", lease).join(s, "event_id").where(
         ~((F.col("lease") == F.col("top_lease")) & (F.col("operator") == F.col("top_operator")))
     )
     n = other.groupBy("event_id").agg(F.count("*").alias("n_other"))
-    first = other.groupBy("event_id", F.floor((F.col("rank") - 1) / 1024).alias("_b")).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("rank", "feature_id"))), 1, cap).alias("_s")
-    ).groupBy("event_id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("_s"))), 1, cap).alias("_s"))
-    return first.join(n, "event_id").select("event_id", "n_other", F.posexplode("_s").alias("pos", "a")).select(
-        "event_id", "n_other", (F.col("pos") + 1).cast("bigint").alias("alt"), "a.feature_id"
-    )
+    # The last one wanted cannot lie deeper than the whole leading pad before it.
+    near = other.where(F.col("rank") <= cap + F.col("n_pad"))
+    alt = F.row_number().over(W.partitionBy("event_id").orderBy("rank")).cast("bigint")
+    first = near.select("event_id", "feature_id", alt.alias("alt")).where(F.col("alt") <= cap)
+    return first.join(n, "event_id").select("event_id", "n_other", "alt", "feature_id")
 
 
 def window_means(daily: DataFrame, keys: list[str]) -> DataFrame:

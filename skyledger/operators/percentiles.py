@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _ACCURACY = 10000
+_RANGE_ROWS = 50_000
 
 
 def exact_percentiles(
@@ -79,14 +80,18 @@ def exact_percentiles(
 
 
 def exact_row_number(
-    df: DataFrame, keys: list[str], order: list[Column], lead: Column, out: str, splits: int = 64
+    df: DataFrame, keys: list[str], order: list[Column], lead: Column, out: str, splits: int | None = None
 ) -> DataFrame:
     """Row number per group in the order ``order``, without one task per group.
 
     ``lead`` is the first ordering key as an ascending double. Groups are cut
-    into ``splits`` value ranges; numbering runs inside a range and is shifted
-    by the rows of the ranges before it.
+    into ``splits`` value ranges, by default so many that a range of the largest
+    group holds about ``_RANGE_ROWS`` rows; numbering runs inside a range and is
+    shifted by the rows of the ranges before it.
     """
+    if splits is None:
+        most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        splits = max(2, -(-most // _RANGE_ROWS))
     probs = [i / splits for i in range(1, splits)]
     rows = df.withColumn("_lead", lead.cast("double"))
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("_lead", probs, 1000).alias("_cuts"))

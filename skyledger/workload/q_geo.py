@@ -55,7 +55,7 @@ def _wedges(spark, sf):
 
 
 def _related(spark, sf, layer="true"):
-    return spatial.relate_to_wedges(X.v_points(spark, sf).where(layer), _wedges(spark, sf), cell_deg=2.0)
+    return spatial.relate_to_wedges(X.v_points(spark, sf).where(layer), _wedges(spark, sf), cell_deg=2.0, salts=4)
 
 
 def _wells(spark, sf):

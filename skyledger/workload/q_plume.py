@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
@@ -99,13 +100,14 @@ def j2(spark, sf):
 
 
 @query("j3_affine_sample", "v_extent v_raster", """
-pt AS (SELECT p_partkey AS point_id, p_partkey % 2 AS scene_id, 53.0::DOUBLE + (p_partkey % 2) * 0.5::DOUBLE + (p_partkey % 53 - 2) * 0.0101::DOUBLE AS lon, 39.5::DOUBLE - (p_partkey % 51 - 1) * 0.0099::DOUBLE AS lat FROM part)
+pt AS (SELECT p_partkey AS point_id, p_partkey % n AS scene_id, 53.0::DOUBLE + (p_partkey % n) * 0.5::DOUBLE + (p_partkey % 53 - 2) * 0.0101::DOUBLE AS lon, 39.5::DOUBLE - (p_partkey % 51 - 1) * 0.0099::DOUBLE AS lat FROM part, (SELECT max(scene_id) + 1 AS n FROM v_extent))
 SELECT point_id, p.scene_id, round(r.own, 6) AS value FROM pt p JOIN v_extent e USING (scene_id) LEFT JOIN v_raster r ON r.scene_id = p.scene_id
 AND r.c = round_even((lon - lon0) / dlon, 0)::BIGINT AND r.r = round_even((p.lat - lat0) / dlat, 0)::BIGINT""".replace("r.own", "r.own").replace("(lon - lon0)", "(p.lon - lon0)"))
 def j3(spark, sf):
+    n = X.v_extent(spark, sf).agg(F.max("scene_id") + 1).first()[0] or 1
     p = X.table(spark, sf, "part", ["p_partkey"]).select(
-        F.col("p_partkey").alias("point_id"), F.expr("p_partkey % 2").alias("scene_id"),
-        F.expr("53.0D + (p_partkey % 2) * 0.5D + (p_partkey % 53 - 2) * 0.0101D").alias("lon"),
+        F.col("p_partkey").alias("point_id"), F.expr(f"p_partkey % {n}").alias("scene_id"),
+        F.expr(f"53.0D + (p_partkey % {n}) * 0.5D + (p_partkey % 53 - 2) * 0.0101D").alias("lon"),
         F.expr("39.5D - (p_partkey % 51 - 1) * 0.0099D").alias("lat"))
     aff = X.v_extent(spark, sf).select("scene_id", F.col("lon0").alias("x0"), F.col("dlon").alias("dx"), F.col("lat0").alias("y0"), F.col("dlat").alias("dy"))
     r = X.v_raster(spark, sf).select("scene_id", "r", "c", "own")
@@ -322,8 +324,8 @@ def g1(spark, sf):
 SELECT scene_id, label, n_cells FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY n_cells DESC, label) AS rk FROM (SELECT scene_id, label, count(*) AS n_cells FROM v_lab GROUP BY ALL)) WHERE rk <= 10""")
 def t7(spark, sf):
     n = G.label_regions(X.v_mask(spark, sf)).groupBy("scene_id", "label").agg(F.count("*").alias("n_cells"))
-    top = n.groupBy("scene_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n_cells")).alias("m"), "label"))), 1, 10).alias("t"))
-    return top.select("scene_id", F.explode("t").alias("t")).select("scene_id", "t.label", (-F.col("t.m")).alias("n_cells"))
+    rank = F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("n_cells"), "label"))
+    return n.withColumn("rank", rank).where("rank <= 10").drop("rank")
 
 
 @query("g2_label_at_point", "v_lab v_extent", """
