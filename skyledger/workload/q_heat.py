@@ -356,6 +356,13 @@ def t5(spark, sf):
     return runs.top_rows(s, [F.col("score").desc(), F.col("region_id"), F.col("family"), F.col("start_pos")], 50)
 
 
+@query("t5_top_days", "v_days v_pool v_land v_landtotal", _RECORDS + """
+SELECT region_id, year, day_idx, area_frac, severity FROM rec WHERE family = 'absolute' ORDER BY area_frac DESC, region_id, year, day_idx LIMIT 50""")
+def t5_days(spark, sf):
+    d = _records(spark, sf).where("family = 'absolute'").select("region_id", "year", "day_idx", "area_frac", "severity")
+    return runs.top_rows(d, [F.col("area_frac").desc(), F.col("region_id"), F.col("year"), F.col("day_idx")], 50)
+
+
 # ------------------------------------------------------------------ stations
 
 
