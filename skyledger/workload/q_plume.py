@@ -232,23 +232,41 @@ def a16(spark, sf):
         F.col("top.c").alias("top_cols"), rnd(share).alias("top_pct"))
 
 
-@query("a18_distribution", "v_box", """
-SELECT scene_id, round(min(own), 6) AS min, round(max(own), 6) AS max, round(avg(own), 6) AS mean, round(quantile_cont(own, 0.001), 6) AS p0_1, round(quantile_cont(own, 0.5), 6) AS p50, round(quantile_cont(own, 0.999), 6) AS p99_9,
-round(quantile_cont(abs(own), 0.99), 6) AS abs_p99, round(max(abs(own)) / max(abs(ref)), 6) AS ratio_max, round(avg(abs(own)) / avg(abs(ref)), 6) AS ratio_mean,
+PERCENTS = (0.1, 1, 5, 50, 95, 99, 99.9)
+
+
+def _p(prefix: str, percent: float) -> str:
+    return f"{prefix}{percent:g}".replace(".", "_")
+
+
+_PERCENT_SQL = ", ".join(
+    f"round(quantile_cont({value}, {percent / 100:g}), 6) AS {_p(prefix, percent)}"
+    for value, prefix in (("own", "p"), ("abs(own)", "abs_p"), ("ref", "ref_p"))
+    for percent in PERCENTS
+)
+
+
+@query("a18_distribution", "v_box", f"""
+SELECT scene_id, count(own) AS n_own, count(ref) AS n_ref, round(min(own), 6) AS min, round(max(own), 6) AS max, round(avg(own), 6) AS mean, round(min(ref), 6) AS ref_min, round(max(ref), 6) AS ref_max, round(avg(ref), 6) AS ref_mean,
+{_PERCENT_SQL}, round(max(abs(own)) / max(abs(ref)), 6) AS ratio_max, round(avg(abs(own)) / avg(abs(ref)), 6) AS ratio_mean,
 round(avg(CASE WHEN own > 0 THEN 1 ELSE 0 END) FILTER (ref > 150 AND own IS NOT NULL), 6) AS positive, round(avg(CASE WHEN abs(own - ref) / greatest(abs(ref), 1e-9) < 0.5 THEN 1 ELSE 0 END) FILTER (ref > 150 AND own IS NOT NULL), 6) AS within_half
 FROM v_box GROUP BY 1""")
 def a18(spark, sf):
-    x = _box(spark, sf)
+    x = materialise(_box(spark, sf).select("scene_id", "own", "ref"), "distribution")
     o, r = F.col("own"), F.col("ref")
     hit = (r > 150) & o.isNotNull()
     s = x.groupBy("scene_id").agg(
-        F.min(o).alias("min"), F.max(o).alias("max"), F.avg(o).alias("mean"), (F.max(F.abs(o)) / F.max(F.abs(r))).alias("ratio_max"),
+        F.count(o).alias("n_own"), F.count(r).alias("n_ref"), F.min(o).alias("min"), F.max(o).alias("max"), F.avg(o).alias("mean"),
+        F.min(r).alias("ref_min"), F.max(r).alias("ref_max"), F.avg(r).alias("ref_mean"), (F.max(F.abs(o)) / F.max(F.abs(r))).alias("ratio_max"),
         (F.avg(F.abs(o)) / F.avg(F.abs(r))).alias("ratio_mean"), F.avg(F.when(hit, (o > 0).cast("double"))).alias("positive"),
         F.avg(F.when(hit, (F.abs(o - r) / F.greatest(F.abs(r), F.lit(1e-9)) < 0.5).cast("double"))).alias("within_half"))
-    p = exact_percentiles(x, ["scene_id"], o, {"p0_1": 0.001, "p50": 0.5, "p99_9": 0.999})
-    q = exact_percentiles(x, ["scene_id"], F.abs(o), {"abs_p99": 0.99}).drop("n_values")
-    j = s.join(p, "scene_id").join(q, "scene_id")
-    return j.select("scene_id", *[rnd(c).alias(c) for c in ("min", "max", "mean", "p0_1", "p50", "p99_9", "abs_p99", "ratio_max", "ratio_mean", "positive", "within_half")])
+    out, names = s, []
+    for value, prefix in ((o, "p"), (F.abs(o), "abs_p"), (r, "ref_p")):
+        probs = {_p(prefix, q): q / 100 for q in PERCENTS}
+        out = out.join(exact_percentiles(x, ["scene_id"], value, probs).drop("n_values"), "scene_id", "left")
+        names += list(probs)
+    rounded = ["min", "max", "mean", "ref_min", "ref_max", "ref_mean", *names, "ratio_max", "ratio_mean", "positive", "within_half"]
+    return out.select("scene_id", "n_own", "n_ref", *[rnd(c).alias(c) for c in rounded])
 
 
 @query("f20_value_limits", "v_box", """
