@@ -14,6 +14,7 @@ TEMPLATES = [
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause Simplified License"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause New or Revised License"),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-SA-4.0", "This work is licensed under the Creative Commons Attribution ShareAlike 4.0 International License"),
     ("CC0-1.0", "Dedicated to the public domain under the Creative Commons Zero 1.0 Universal"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
@@ -155,3 +156,61 @@ def document_path(doc_id: Column, source: Column, lang: Column) -> Column:
 def op3(docs: DataFrame) -> DataFrame:
     files = docs.select("doc_id", document_path(F.col("doc_id"), F.col("source"), F.col("lang")).alias("file"), "text")
     return scan(files).select(F.col("row.doc_id").alias("doc_id"), "file", "license", "cosine", "how", "licensed_by")
+
+
+_TOKENS = r"regexp_extract_all(lower(segment), '[\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*')"
+_VALUES = ", ".join("('%s', '%s')" % pair for pair in TEMPLATES)
+OP3_SQL = rf"""
+WITH tp(license, segment) AS (VALUES {_VALUES}),
+d AS (
+  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'),
+    coalesce((doc_id // 512)::VARCHAR, 'none'), coalesce((doc_id // 32)::VARCHAR, 'none'), coalesce(doc_id::VARCHAR, 'none') || '.txt') AS file
+  FROM documents
+), li AS (
+  SELECT file, unnest(string_split(text, chr(10))) AS line FROM d
+), wd AS (
+  SELECT file, regexp_extract_all(line, '{WORD}') AS w FROM li WHERE regexp_matches(line, '{CUE}')
+), sg AS (
+  SELECT file, array_to_string(list_slice(w, s, s + {WINDOW - 1}), ' ') AS segment
+  FROM (SELECT file, w, unnest(range(1, greatest(len(w) - {WINDOW - STRIDE}, 1) + 1, {STRIDE})) AS s FROM wd)
+), ct AS (
+  SELECT file, segment, count(*) AS times FROM sg WHERE regexp_matches(segment, '{CUE}') GROUP BY ALL
+), tx AS (
+  SELECT DISTINCT segment FROM ct
+), tt AS (
+  SELECT license, term, count(*) AS tf FROM (SELECT license, unnest({_TOKENS}) AS term FROM tp) GROUP BY ALL
+), kn AS (
+  SELECT term, count(*) AS m FROM tt GROUP BY term
+), st AS (
+  SELECT segment, term, count(*) AS tf FROM (SELECT segment, unnest({_TOKENS}) AS term FROM tx) SEMI JOIN kn USING (term) GROUP BY ALL
+), idf AS (
+  SELECT term, ln(((SELECT count(*) FROM tx) + {len(TEMPLATES)} + 1)::DOUBLE / (m + coalesce(n, 0))) AS idf
+  FROM kn LEFT JOIN (SELECT term, count(*) AS n FROM st GROUP BY term) USING (term)
+), tw AS (
+  SELECT license, term, tf * idf AS tw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY license)) AS tn FROM tt JOIN idf USING (term)
+), sw AS (
+  SELECT segment, term, tf * idf AS sw, sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY segment)) AS sn FROM st JOIN idf USING (term)
+), cs AS (
+  SELECT segment, license, round(sum(sw * tw) / (any_value(tn) * any_value(sn)), 6) AS cosine FROM sw JOIN tw USING (term) GROUP BY ALL
+), be AS (
+  SELECT segment, arg_min(license, {{'a': -cosine, 'b': license}}) AS license, max(cosine) AS cosine FROM cs WHERE cosine >= {SIMILAR} GROUP BY segment
+), own AS (
+  SELECT file, arg_min(license, {{'a': -cosine, 'b': license}}) AS license, max(cosine) AS cosine, sum(times * len(string_split(segment, ' '))) AS covered
+  FROM ct JOIN be USING (segment) GROUP BY file
+), sd AS (
+  SELECT d.doc_id, d.file, own.license, own.cosine, regexp_replace(d.file, '/?[^/]*$', '') AS folder,
+    CASE WHEN own.file IS NOT NULL THEN CASE WHEN 2 * covered >= len(regexp_extract_all(d.text, '{WORD}')) THEN 'file' ELSE 'header' END END AS how
+  FROM d LEFT JOIN own ON own.file = d.file
+), gr AS (
+  SELECT folder AS up, min({{'a': -cosine, 'license': license, 'file': file}}) AS g FROM sd WHERE how = 'file' GROUP BY folder
+), fo AS (
+  SELECT DISTINCT folder, string_split(folder, '/') AS parts FROM sd WHERE how IS NULL
+), ab AS (
+  SELECT folder, unnest(list_append(list_transform(range(1, len(parts) + 1), lambda n: array_to_string(parts[1:n], '/')), '')) AS up FROM fo
+), nr AS (
+  SELECT folder, arg_max(g, length(up)) AS g FROM ab JOIN gr USING (up) GROUP BY folder
+)
+SELECT doc_id, file, coalesce(license, g.license) AS license, coalesce(cosine, -g.a) AS cosine,
+  coalesce(how, CASE WHEN g IS NOT NULL THEN 'inherited' END) AS how, CASE WHEN how IS NOT NULL THEN file ELSE g.file END AS licensed_by
+FROM sd LEFT JOIN nr ON how IS NULL AND nr.folder = sd.folder
+"""

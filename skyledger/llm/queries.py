@@ -28,4 +28,4 @@ QUERIES: dict[str, Query] = {
     "op9_packing": _over_documents(packing.op9),
     "op10_winnowing": _over_documents(winnow.op10),
 }
-TWINS: dict[str, str] = {"op7_mix": mixing.OP7_SQL}
+TWINS: dict[str, str] = {"op3_licenses": licenses.OP3_SQL, "op7_mix": mixing.OP7_SQL}
