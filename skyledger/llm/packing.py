@@ -20,7 +20,7 @@ from ..session import materialise
 CAPACITY = 1024
 END_ID = 2
 #: Entries of a worker's table of encoded chunks; beyond it the table is started anew.
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 200_000
 #: Characters that form a pre-token of their own after a letter.
 TRAILING = ".,!*#$%&|;:"
 
@@ -171,7 +171,7 @@ def encoder(path: str, ranks: str | None) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def groups(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def groups(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batches put together until they hold about ``size`` bytes."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
