@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..session import materialise
 from .common import per_text
 from .graph import components
+from .minhash import without_near_duplicates  # noqa: F401
 
 BITS = 64
 #: Words of a shingle and seed of its hash.
@@ -119,13 +120,6 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return rows.join(every, F.col("fp") == F.col("__fp")).select("doc_id", "fp", "component_id")
 
 
-def without_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each component, one whose doc_id names it. Rows without a doc_id stay."""
-    keep = near_duplicates(docs, distance).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def op1(docs: DataFrame) -> DataFrame:
     out = near_duplicates(docs)
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
