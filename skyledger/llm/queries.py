@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compression, licenses, mixing, packing, pii, rules, simhash, token_counts, toxicity, winnow
+from . import bpe, collocations, compression, licenses, mixing, packing, pii, rules, simhash, token_counts, toxicity, variants, winnow
 from .common import documents, labels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,5 +27,8 @@ QUERIES: dict[str, Query] = {
     "op8_pii": _over_documents(pii.op8),
     "op9_packing": _over_documents(packing.op9),
     "op10_winnowing": _over_documents(winnow.op10),
+    "op11_collocations": _over_documents(collocations.op11),
+    "op12_bpe": _over_documents(bpe.op12),
+    "op13_spelling": _over_documents(variants.op13),
 }
-TWINS: dict[str, str] = {"op3_licenses": licenses.OP3_SQL, "op7_mix": mixing.OP7_SQL}
+TWINS: dict[str, str] = {"op3_licenses": licenses.OP3_SQL, "op7_mix": mixing.OP7_SQL, "op11_collocations": collocations.OP11_SQL}
