@@ -13,8 +13,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a worker's table of encoded pre-tokens (keys and ids, with what Python adds), and of the longest one kept there.
-TABLE_BYTES, KEPT_BYTES = 48 << 20, 64
+#: Bytes of each of a worker's two tables of encoded pre-tokens (keys and ids, with what Python adds), and characters of the longest one kept there.
+TABLE_BYTES, KEPT = 64 << 20, 64
 #: Characters of a text that are split into pre-tokens at once.
 SLICE = 1 << 18
 _NONE = 1 << 62
@@ -38,50 +38,49 @@ def merged(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     A segment tree over byte positions has at each leaf the rank of the pair whose first
     token begins there (with the position, so that a minimum is the leftmost of equals), and at
     its root the next pair to merge. A merge takes the second token's leaf out and renews the
-    leaves of the new token and of the one before it: three updates of logarithmic cost, so a
-    pre-token of n bytes takes O(n log n), and about 40 bytes of memory a byte.
+    leaves of the new token and of the one before it; the three climb to the root together, as
+    tokens are short and their paths soon meet. A pre-token of n bytes takes O(n log n).
     """
     known = ranks.get(piece)
     if known is not None:
         return (known,)
-    n = len(piece)
-    width, shift = 1 << (n - 1).bit_length(), n.bit_length()
+    get, n = ranks.get, len(piece)
+    shift = n.bit_length()
     place = (1 << shift) - 1
-    ends, before = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-    tree = array("q", [_NONE]) * (2 * width)
-
-    def pair(i: int) -> int:
-        """The leaf of the token that begins at ``i``."""
-        j = ends[i]
-        rank = ranks.get(piece[i : ends[j]]) if j < n else None
-        return _NONE if rank is None else rank << shift | i
-
-    def renew(i: int, value: int) -> None:
-        i += width
-        tree[i] = value
-        i >>= 1
-        while i:
-            a, b = tree[2 * i], tree[2 * i + 1]
-            low = a if a < b else b
-            if tree[i] == low:
-                return
-            tree[i] = low
-            i >>= 1
-
+    ends, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    # Long pre-tokens: 8 bytes a node instead of an object.
+    tree = [_NONE] * (2 * n) if n < 1 << 16 else array("q", [_NONE]) * (2 * n)
     for i in range(n - 1):
-        tree[width + i] = pair(i)
-    for i in range(width - 1, 0, -1):
-        tree[i] = min(tree[2 * i], tree[2 * i + 1])
+        rank = get(piece[i : i + 2])
+        if rank is not None:
+            tree[n + i] = rank << shift | i
+    for i in range(n - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
     while tree[1] < _NONE:
         i = tree[1] & place
         j = ends[i]
-        ends[i] = ends[j]
-        if ends[j] < n:
-            before[ends[j]] = i
-        renew(j, _NONE)
-        renew(i, pair(i))
+        end = ends[i] = ends[j]
+        low, high = n + i, n + j
+        tree[high] = tree[low] = _NONE
+        if end < n:
+            before[end] = i
+            rank = get(piece[i : ends[end]])
+            if rank is not None:
+                tree[low] = rank << shift | i
         if i:
-            renew(before[i], pair(before[i]))
+            h = before[i]
+            low = n + h
+            rank = get(piece[h:end])
+            tree[low] = _NONE if rank is None else rank << shift | h
+        while high > 1:
+            low >>= 1
+            high >>= 1
+            k = low or 1
+            while k <= high:
+                a, b = tree[2 * k], tree[2 * k + 1]
+                tree[k] = a if a < b else b
+                k += 1
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : ends[i]]])
@@ -108,7 +107,11 @@ _CUT = regex.compile(r"(?<=\S)\s")
 
 
 class Codec(dict):
-    """Encoder and decoder of one vocabulary; as a dictionary, the ids of the pre-tokens met so far."""
+    """Encoder and decoder of one vocabulary; as a dictionary, the ids of the pre-tokens met lately.
+
+    A full table becomes the older one: what is met again moves back, the rest goes when the
+    table is full once more. So common pre-tokens stay, and both hold bounded bytes.
+    """
 
     def __init__(self, ranks: str, split: str):
         super().__init__()
@@ -117,15 +120,18 @@ class Codec(dict):
         self.bytes = {rank: token for token, rank in self.ranks.items()}
         self.split = regex.compile(split)
         self.held = 0
+        self.older: dict[str, tuple[int, ...]] = {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
-        raw = piece.encode()
-        ids = merged(raw, self.ranks)
-        if len(raw) <= KEPT_BYTES:
+        ids = self.older.get(piece)
+        if ids is None:
+            ids = merged(piece.encode(), self.ranks)
+        if len(piece) <= KEPT:
             if self.held > TABLE_BYTES:
+                self.older = dict(self)
                 self.clear()
                 self.held = 0
-            self.held += 200 + len(raw) + 16 * len(ids)
+            self.held += 200 + len(piece) + 16 * len(ids)
             self[piece] = ids
         return ids
 
