@@ -5,20 +5,26 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .packing import groups
 
 #: Words of the longest phrase, least count of a phrase, phrases of a language in the report.
 MAX_WORDS, LEAST, TOP = 3, 10, 2000
 #: A word whose CRC-32 is divisible by this starts a chunk; a chunk also ends after so many words of its own.
-TRIGGER, LONGEST = 8, 512
+TRIGGER, LONGEST = 16, 512
 #: Ends a piece inside a chunk. No word can hold it, because it separates pieces.
 END = "."
-#: Bytes and entries of the chunks a task adds up before it hands them on.
-HELD_BYTES, HELD = 24 << 20, 250_000
+#: Characters and number of the chunks or n-grams a task adds up before it hands them on.
+HELD_BYTES, HELD = 32 << 20, 400_000
+#: Buckets for pairs of words, as a power of two, and the blocks in which their counters travel.
+BUCKET_BITS, BLOCKS = 26, 64
+#: Odd factors of a multiplicative hash.
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
 _SEPARATORS = b".,;:!?\n\x0b\x0c\r"
 _PREPARED = bytes(10 if i in _SEPARATORS else i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -42,11 +48,11 @@ def pieces(text: str) -> Iterator[list[bytes]]:
             yield words
 
 
-def chunks(words: list[bytes], starts: dict[bytes, bool], overlap: int) -> Iterator[tuple[bytes, int]]:
-    """A piece as overlapping chunks, with the number of words that are each chunk's own.
+def chunks(words: list[bytes], starts: dict[bytes, bool], overlap: int) -> Iterator[bytes]:
+    """A piece as overlapping chunks.
 
     A chunk runs from one trigger word to the next and ``overlap`` words beyond; in the last
-    chunk ``overlap`` end signs stand there. An n-gram of at most ``overlap + 1`` words
+    chunk ``overlap`` end signs stand there. The others are its own: an n-gram of at most ``overlap + 1`` words
     belongs to the one chunk in whose own words it begins, and lies wholly inside it.
     """
     cuts = [0]
@@ -56,72 +62,161 @@ def chunks(words: list[bytes], starts: dict[bytes, bool], overlap: int) -> Itera
     n = len(words)
     words = words + [END.encode()] * overlap
     for a, b in zip(cuts, cuts[1:] + [n]):
-        yield b" ".join(words[a : b + overlap]), b - a
+        yield b" ".join(words[a : b + overlap])
 
 
 def parse(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
-    """The dictionary of the parse: ``lang, chunk, own, times`` for every distinct chunk of a language.
+    """The dictionary of the parse: ``lang, chunk, times`` for every distinct chunk of a language and how often the parse holds it.
 
-    ``own`` is the number of words that are the chunk's own, ``times`` how often the parse
-    holds it. NULL languages count as ``und``, NULL texts as empty. Tasks add up chunks in
-    a table of bounded size, so a passage in thousands of copies is few rows before the
-    shuffle; only ``lang`` and ``text`` of ``docs`` are read.
+    NULL languages count as ``und``, NULL texts as empty. Tasks add up chunks in a table of
+    bounded size, so a passage in thousands of copies is few rows before the shuffle; only
+    ``lang`` and ``text`` of ``docs`` are read.
     """
     overlap = max_words - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, held, size = _Starts(), {}, 0
-
-        def emptied() -> pa.RecordBatch:
-            keys = list(held)
-            cols = [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1].decode() for k in keys], pa.string()),
-                    pa.array([k[2] for k in keys], pa.int64()), pa.array(list(held.values()), pa.int64())]
-            held.clear()
-            return pa.RecordBatch.from_arrays(cols, names=["lang", "chunk", "own", "times"])
-
+        starts, held = _Starts(), _Held("chunk")
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 for words in pieces(text or ""):
-                    for chunk, own in chunks(words, starts, overlap):
-                        key = (lang, chunk, own)
-                        if key in held:
-                            held[key] += 1
-                        else:
-                            held[key] = 1
-                            size += len(chunk)
-                    if size > HELD_BYTES or len(held) > HELD:
-                        yield emptied()
-                        size = 0
-        if held:
-            yield emptied()
-
-    rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    found = rows.mapInArrow(run, "lang string, chunk string, own bigint, times bigint")
-    return found.groupBy("lang", "chunk", "own").agg(F.sum("times").alias("times"))
+                    for chunk in chunks(words, starts, overlap):
+                        held.add(lang, chunk.decode(), 1)
+                    if held.full():
+                        yield held.emptied()
+        yield held.emptied()
+
+    texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
+    found = texts.mapInArrow(run, "lang string, chunk string, times bigint")
+    return found.groupBy("lang", "chunk").agg(F.sum("times").alias("times"))
+
+
+class _Held:
+    """Counts per language and text, added up in a table of bounded size."""
+
+    def __init__(self, name: str):
+        self.counts: dict[str, dict[str, int]] = {}
+        self.names = ["lang", name, "times"]
+        self.size = self.entries = 0
+
+    def add(self, lang: str, text: str, times: int) -> None:
+        own = self.counts.get(lang)
+        if own is None:
+            own = self.counts[lang] = {}
+        if text in own:
+            own[text] += times
+        else:
+            own[text] = times
+            self.size += len(text)
+            self.entries += 1
+
+    def full(self) -> bool:
+        return self.size > HELD_BYTES or self.entries > HELD
+
+    def emptied(self) -> pa.RecordBatch:
+        langs = [lang for lang, own in self.counts.items() for _ in own]
+        texts = [t for own in self.counts.values() for t in own]
+        times = [n for own in self.counts.values() for n in own.values()]
+        self.counts, self.size, self.entries = {}, 0, 0
+        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(times, pa.int64())], names=self.names)
+
+
+class _Hashes(dict):
+    def __missing__(self, word: str) -> int:
+        if len(self) > HELD:
+            self.clear()
+        self[word] = zlib.crc32(word.encode())
+        return self[word]
+
+
+def _placed(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Chunks of one language at a time: ``lang, words, times, own, pair, bucket``, the last four for each word.
+
+    ``own`` marks a chunk's own words, ``pair`` those followed by a word in their piece, and
+    ``bucket`` is where the pair of the two words is counted.
+    """
+    known = _Hashes()
+    for batch in groups(batches, 1 << 20):
+        by_lang: dict[str, list[tuple[list[str], int]]] = {}
+        for lang, chunk, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "times"))):
+            by_lang.setdefault(lang, []).append((chunk.split(" "), times))
+        for lang, rows in by_lang.items():
+            words = [w for split, _ in rows for w in split]
+            sizes = np.array([len(split) for split, _ in rows])
+            ended = np.array([split[-1] == END for split, _ in rows])
+            ends = np.cumsum(sizes)
+            place = np.arange(len(words))
+            own = place < np.repeat(ends - overlap, sizes)
+            pair = place + 1 < np.repeat(ends - overlap * ended, sizes)
+            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+            mixed = (h * _MIX[0] + np.roll(h, -1) + np.uint64(zlib.crc32(lang.encode()))) * _MIX[1]
+            yield lang, words, np.repeat([n for _, n in rows], sizes), own, pair, (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+
+
+def busy_buckets(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> bytes:
+    """A bitmap of ``2 ** BUCKET_BITS`` bits: the buckets whose pairs of words occur at least ``least`` times together.
+
+    Every pair of words is counted in the bucket of its hash, so a frequent pair is always in
+    a busy bucket. The bitmap has one size for any input; the fuller the buckets, the less
+    it sorts out, and nothing else depends on it. Tasks hand on compressed blocks of
+    counters that stop at ``least`` (or 255).
+    """
+    overlap, stop = max_words - 1, min(least, 255)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(1 << BUCKET_BITS, np.uint8)
+        for _, _, times, own, pair, bucket in _placed(batches, overlap):
+            found, place = np.unique(bucket[own & pair], return_inverse=True)
+            sums = np.bincount(place, weights=np.minimum(times[own & pair], stop), minlength=len(found))
+            counters[found] = np.minimum(counters[found] + sums, stop)
+        for i, block in enumerate(counters.reshape(BLOCKS, -1)):
+            if block.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block, 1)], pa.binary())], names=["block", "counters"])
+
+    def merge(group: pa.Table) -> pa.Table:
+        total = np.zeros((1 << BUCKET_BITS) // BLOCKS, np.uint16)
+        for counters in group.column("counters"):
+            total = np.minimum(total + np.frombuffer(zlib.decompress(counters.as_py()), np.uint8), stop)
+        return pa.table({"block": group.column("block")[:1], "bits": pa.array([np.packbits(total >= stop).tobytes()], pa.binary())})
+
+    blocks = parsed.mapInArrow(count, "block int, counters binary").groupBy("block").applyInArrow(merge, "block int, bits binary")
+    bits = {r["block"]: r["bits"] for r in blocks.collect()}
+    nothing = bytes((1 << BUCKET_BITS) // BLOCKS // 8)
+    return b"".join(bits.get(i, nothing) for i in range(BLOCKS))
 
 
 def phrase_counts(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> DataFrame:
     """``lang, phrase, words, f``: every run of 1 to ``max_words`` words that occurs at least ``least`` times.
 
     N-grams are taken from the distinct chunks of :func:`parse` and weighed by how often
-    each occurs; they begin in a chunk's own words, so no overlap counts twice.
+    each occurs; they begin in a chunk's own words, so no overlap counts twice. The row of the
+    empty phrase has a language's number of words. A phrase is only as frequent as its
+    rarest pair of neighbours, so n-grams with a pair outside :func:`busy_buckets` are not
+    counted: most of them, and none that could be frequent. ``parsed`` is read twice.
     """
-    words = F.split("chunk", " ", -1)
-    w = F.col("w")
-
-    def of_length(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.col("own").cast("int")), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))
+    overlap = max_words - 1
+    busy = parsed.sparkSession.sparkContext.broadcast(busy_buckets(parsed, max_words, least))
 
-    cut = parsed.select("lang", "own", "times", words.alias("w"))
-    counted = None
-    for n in range(1, max_words + 1):
-        grams = cut.select("lang", "times", F.explode(of_length(n)).alias("phrase"))
-        if n > 1:
-            grams = grams.where(~F.col("phrase").endswith(END))
-        part = grams.groupBy("lang", "phrase").agg(F.sum("times").alias("f")).where(F.col("f") >= least)
-        part = part.select("lang", "phrase", F.lit(n).alias("words"), "f")
-        counted = part if counted is None else counted.unionByName(part)
-    return counted
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, held = np.frombuffer(busy.value, np.uint8), _Held("phrase")
+        for lang, words, times, own, pair, bucket in _placed(batches, overlap):
+            weights = times.tolist()
+            held.add(lang, "", int(times[own].sum()))
+            for i in np.flatnonzero(own).tolist():
+                held.add(lang, words[i], weights[i])
+            link = np.zeros(len(words) + overlap, bool)
+            link[: len(words)] = pair & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            chain = own.copy()
+            for n in range(2, max_words + 1):
+                chain = chain & link[n - 2 : n - 2 + len(words)]
+                for i in np.flatnonzero(chain).tolist():
+                    held.add(lang, " ".join(words[i : i + n]), weights[i])
+            if held.full():
+                yield held.emptied()
+        yield held.emptied()
+
+    found = parsed.mapInArrow(run, "lang string, phrase string, times bigint").groupBy("lang", "phrase").agg(F.sum("times").alias("f"))
+    words = F.when(F.col("phrase") == "", F.lit(0)).otherwise(F.size(F.split("phrase", " ", -1)))
+    return found.where(F.col("f") >= least).select("lang", "phrase", words.alias("words"), "f")
 
 
 def _words(phrase: Column, start: Column, length: Column) -> Column:
@@ -141,6 +236,7 @@ def weakest_cuts(counts: DataFrame) -> DataFrame:
     The cut with the lowest score counts, the earliest of equal ones. Both parts of a
     frequent phrase are at least as frequent, so ``counts`` holds them.
     """
+    counts = counts.where("words > 0")
     long = counts.where("words > 1").select("lang", "phrase", "words", F.col("f").alias("a"))
     cuts = long.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
     cuts = cuts.withColumn("first", _words(F.col("phrase"), F.lit(1), F.col("k")))
@@ -178,8 +274,8 @@ def collocations(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST
     length are parsed whole; without words, or in an empty table, there are no rows.
     """
     parsed = materialise(parse(docs, max_words), "phrase_chunks")
-    totals = parsed.groupBy(F.col("lang").alias("of_lang")).agg(F.sum(F.col("own") * F.col("times")).alias("n"))
     counts = materialise(phrase_counts(parsed, max_words, least), "phrase_counts")
+    totals = counts.where("words = 0").select(F.col("lang").alias("of_lang"), F.col("f").alias("n"))
     scored = materialise(weakest_cuts(counts), "phrase_scores")
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     best = independent(scored, percent).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
