@@ -250,72 +250,171 @@ def apply_filter(projected: DataFrame, models: DataFrame, scale: float = C.PPM_S
     )
 
 
-def loo_alpha(good: DataFrame, moments: DataFrame, centred: bool = False, chunk: int = 4096) -> DataFrame:
-    """Leave-one-out shrinkage per column, from whitened eigen-systems.
+#: Bytes of eigen-systems that one join may broadcast; a larger archive is worked through in rounds of whole scenes.
+EIGEN_BYTES = 192 << 20
+_STEPS = int(round((C.LOO_LOG10_MAX - C.LOO_LOG10_MIN) / C.LOO_LOG10_STEP)) + 1
+_GRID = 10.0 ** (C.LOO_LOG10_MIN + C.LOO_LOG10_STEP * np.arange(_STEPS))
+_EIGEN = (
+    "variant string, scene_id bigint, xtrack bigint, n bigint, b int, mean array<double>, root array<double>, "
+    "lam array<double>, vec array<double>, logdet array<double>"
+)
+_BLOCKS = "variant string, scene_id bigint, xtrack bigint, m bigint, x array<double>"
+_TERMS = "variant string, scene_id bigint, xtrack bigint, term array<double>"
+
+
+def eigen_systems(moments: DataFrame) -> DataFrame:
+    """Whitened eigen-system of every column's scatter and the log-determinant for every candidate, as a table.
 
-    A column with many pixels is cut into chunks of about ``chunk`` pixels; each
-    chunk returns its sum of the per-pixel term for every candidate, and the
-    sums are added in the engine. Columns with no valid candidate get 0.
+    A column with fewer than two pixels or a band without spread has no system and no row.
     """
-    chunks = moments.select(*_KEYS, F.greatest(F.ceil(F.col("n") / chunk), F.lit(1)).cast("int").alias("_k"))
-    cut = good.join(chunks, _KEYS).select(
-        *_KEYS, F.pmod(F.xxhash64("line"), F.col("_k")).cast("int").alias("_c"), "x"
-    )
-    stats = moments.join(chunks, _KEYS).withColumn("_c", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    steps = int(round((C.LOO_LOG10_MAX - C.LOO_LOG10_MIN) / C.LOO_LOG10_STEP)) + 1
-    grid = 10.0 ** (C.LOO_LOG10_MIN + C.LOO_LOG10_STEP * np.arange(steps))
-    out = "variant string, scene_id bigint, xtrack bigint, alpha double, n bigint, b int, logdet double, term double"
-
-    def terms(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame(columns=[c.split(" ")[0] for c in out.split(", ")])
-        rec = right.iloc[0]
-        n = int(rec.n)
-        mu = np.asarray(rec["mean"], dtype=float)
-        b = len(mu)
-        cov = np.asarray(rec.m2, dtype=float).reshape(b, b) / (n - 1) * C.LOO_DATA_SCALE**2
-        var = np.diag(cov)
-        x = np.stack(left["x"].to_numpy()).astype(float)
-        x = (x - mu if centred else x) * C.LOO_DATA_SCALE
-        if np.any(var <= 0):
-            term = np.full(steps, np.nan)
-            logdet = np.full(steps, np.nan)
-        else:
-            root = np.sqrt(var)
-            lam, vec = np.linalg.eigh(cov / np.outer(root, root))
-            y2 = ((x / root) @ vec) ** 2
-            beta = (1.0 - grid) / (n - 1.0)
-            spread = n * np.outer(lam, beta) + grid
-            with np.errstate(divide="ignore", invalid="ignore"):
-                r = y2 @ (1.0 / spread)
-                q = 1.0 - beta * r
-                term = np.where(np.any(q <= 0, axis=0), np.nan, (np.log(q) + r / q).sum(axis=0))
-                logdet = np.where(np.any(spread <= 0, axis=0), np.nan, np.log(spread).sum(axis=0)) + np.log(var).sum()
-        return pd.DataFrame({
-            "variant": rec.variant, "scene_id": int(rec.scene_id), "xtrack": int(rec.xtrack),
-            "alpha": grid, "n": n, "b": b, "logdet": logdet, "term": term,
-        })
-
-    parts = cut.groupBy(*_KEYS, "_c").cogroup(stats.groupBy(*_KEYS, "_c")).applyInPandas(terms, out)
-    nll = (
-        parts.groupBy(*_KEYS, "alpha")
-        .agg(
-            F.sum("term").alias("_t"), F.max("logdet").alias("_d"), F.max("n").alias("_n"), F.max("b").alias("_b"),
-            F.count(F.when(F.isnan("term") | F.isnan("logdet") | F.col("term").isNull() | F.col("logdet").isNull(), 1)).alias("_void"),
-        )
-        .withColumn(
-            "nll",
-            F.when(
-                F.col("_void") == 0,
-                0.5 * (F.col("_b") * float(np.log(2 * np.pi)) + F.col("_d")) + F.col("_t") / (2 * F.col("_n")),
-            ),
-        )
-    )
-    best = F.min_by(
-        F.when(F.col("nll").isNotNull(), F.col("alpha")),
-        F.struct(F.coalesce("nll", F.lit(float("inf"))).alias("nll"), F.col("alpha")),
-    )
-    return nll.groupBy(*_KEYS).agg(F.coalesce(best, F.lit(0.0)).alias("alpha"))
+
+    def solve(frames):
+        for pdf in frames:
+            rows = []
+            for rec in pdf.itertuples(index=False):
+                mu = np.asarray(rec.mean, dtype=float)
+                b, n = len(mu), int(rec.n)
+                if n < 2 or not b:
+                    continue
+                cov = np.asarray(rec.m2, dtype=float).reshape(b, b) / (n - 1) * C.LOO_DATA_SCALE**2
+                var = np.diag(cov)
+                if np.any(~(var > 0)):
+                    continue
+                root = np.sqrt(var)
+                lam, vec = np.linalg.eigh(cov / np.outer(root, root))
+                spread = n * np.outer(lam, (1.0 - _GRID) / (n - 1.0)) + _GRID
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    det = np.where(np.any(spread <= 0, axis=0), np.nan, np.log(spread).sum(axis=0)) + np.log(var).sum()
+                rows.append((rec.variant, rec.scene_id, rec.xtrack, n, b, mu.tolist(), root.tolist(), lam.tolist(), vec.ravel().tolist(), det.tolist()))
+            yield pd.DataFrame(rows, columns=[c.split(" ")[0] for c in _EIGEN.split(", ")])
+
+    return materialise(moments.select(*_KEYS, "n", "mean", "m2").mapInPandas(solve, _EIGEN), "eigen")
+
+
+def _column_blocks(batches):
+    """A task's pixels as one matrix per column and buffer, so that a join meets blocks and not pixels."""
+
+    def blocks(held):
+        keys, xs = [], []
+        for key, x in _column_groups(held):
+            keys.append((*key, len(x)))
+            xs.append(x.ravel())
+        cols = list(zip(*keys, strict=True))
+        offsets = np.cumsum([0, *map(len, xs)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(cols[0], pa.string()), *[pa.array(c, pa.int64()) for c in cols[1:]],
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(xs).astype(float)))],
+            names=[*_KEYS, "m", "x"],
+        )
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= _BUFFER_BYTES:
+            yield blocks(held)
+            held, size = [], 0
+    if held:
+        yield blocks(held)
+
+
+def _block_terms(centred: bool):
+    """Sums of the leave-one-out term for every candidate, added up per column within a task."""
+
+    def run(batches):
+        acc: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {name: batch.column(name)[r] for name in ("n", "b", "m", "mean", "root", "lam", "vec", "x")}
+                n, b, m = (row[k].as_py() for k in ("n", "b", "m"))
+                mean, root, lam, vec, x = (row[k].values.to_numpy() for k in ("mean", "root", "lam", "vec", "x"))
+                x = x.reshape(m, b)
+                y2 = (((x - mean if centred else x) * C.LOO_DATA_SCALE / root) @ vec.reshape(b, b)) ** 2
+                beta = (1.0 - _GRID) / (n - 1.0)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    near = y2 @ (1.0 / (n * np.outer(lam, beta) + _GRID))
+                    q = 1.0 - beta * near
+                    term = np.where(np.any(q <= 0, axis=0), np.nan, (np.log(q) + near / q).sum(axis=0))
+                key = tuple(batch.column(k)[r].as_py() for k in _KEYS)
+                acc[key] = acc[key] + term if key in acc else term
+            if len(acc) * _STEPS * 8 > _HELD_BYTES:
+                yield _term_rows(acc)
+        if acc:
+            yield _term_rows(acc)
+
+    return run
+
+
+def _term_rows(acc: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+    cols = list(zip(*acc, strict=True))
+    sums = pa.array([v.tolist() for v in acc.values()], pa.list_(pa.float64()))
+    acc.clear()
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), sums],
+                                      names=[*_KEYS, "term"])
+
+
+def _rounds(systems: DataFrame, limit: int) -> list[tuple[int, int] | None]:
+    """Ranges of scene ids whose eigen-systems stay below ``limit`` bytes; None where one range holds all.
+
+    The driver sees a count per range of scenes, at most 4,096 of them: ranges of equal
+    width, halved until each is light or a single scene.
+    """
+    size = F.sum(F.col("b").cast("bigint") * F.col("b") * 8 + 8 * _STEPS)
+    low, high, total = systems.agg(F.min("scene_id"), F.max("scene_id"), size).first()
+    if total is None or total <= limit:
+        return [None]
+    width = max(1, -(-(high - low + 1) // 4096))
+    per = {r["k"]: r["s"] for r in systems.groupBy(F.floor((F.col("scene_id") - low) / width).alias("k")).agg(size.alias("s")).collect()}
+    out: list[tuple[int, int] | None] = []
+    begin, held = None, 0
+    for k in sorted(per):
+        if begin is not None and held + per[k] > limit:
+            out.append((low + begin * width, low + k * width))
+            begin, held = None, 0
+        begin, held = (k if begin is None else begin), held + per[k]
+    out.append((low + begin * width, high + 1))
+    return out
+
+
+def loo_curve(good: DataFrame, systems: DataFrame, centred: bool = False, limit: int = EIGEN_BYTES) -> DataFrame:
+    """Leave-one-out likelihood per column and candidate: ``variant, scene_id, xtrack, alpha, nll`` (NULL where undefined).
+
+    Pixels stay where they are read: each task turns its own into blocks per column, meets
+    the eigen-systems of :func:`eigen_systems` by a broadcast of at most ``limit`` bytes, and
+    sends on 201 sums per column. Where all systems together are larger, ranges of scenes
+    follow one another, each reading only its scenes' pixels; a single scene is broadcast
+    whole (its columns times the square of its bands).
+    """
+    sums = None
+    for bounds in _rounds(systems, limit):
+        part, mine = good, systems
+        if bounds is not None:
+            within = (F.col("scene_id") >= bounds[0]) & (F.col("scene_id") < bounds[1])
+            part, mine = good.where(within), systems.where(within)
+        blocks = part.select(*_KEYS, "x").mapInArrow(_column_blocks, _BLOCKS)
+        met = blocks.join(F.broadcast(mine.drop("logdet")), _KEYS)
+        terms = met.mapInArrow(_block_terms(centred), _TERMS).select(*_KEYS, F.posexplode("term").alias("i", "term"))
+        terms = terms.groupBy(*_KEYS, "i").agg(F.sum("term").alias("term"))
+        if bounds is not None:
+            terms = materialise(terms, "loo-terms")
+        sums = terms if sums is None else sums.unionByName(terms)
+    of = systems.select(*_KEYS, "n", "b", F.posexplode("logdet").alias("i", "logdet"))
+    nll = 0.5 * (F.col("b") * float(np.log(2 * np.pi)) + F.col("logdet")) + F.col("term") / (2 * F.col("n"))
+    alpha = F.get(F.array(*[F.lit(float(a)) for a in _GRID]), F.col("i"))
+    return sums.join(of, [*_KEYS, "i"]).select(*_KEYS, alpha.alias("alpha"), F.when(~F.isnan(nll), nll).alias("nll"))
+
+
+def loo_alpha(good: DataFrame, moments: DataFrame, centred: bool = False, systems: DataFrame | None = None, limit: int = EIGEN_BYTES) -> DataFrame:
+    """Leave-one-out shrinkage per column: the candidate of least likelihood loss, the smallest of equal ones.
+
+    Columns with no valid candidate, or without an eigen-system, get 0. ``systems`` may be
+    passed where several calls share them.
+    """
+    systems = eigen_systems(moments) if systems is None else systems
+    curve = loo_curve(good, systems, centred, limit).where(F.col("nll").isNotNull())
+    best = curve.groupBy(*_KEYS).agg(F.min(F.struct("nll", "alpha")).alias("_best"))
+    return moments.select(*_KEYS).join(best, _KEYS, "left").select(*_KEYS, F.coalesce("_best.alpha", F.lit(0.0)).alias("alpha"))
 
 
 def matched_filter(

@@ -71,6 +71,32 @@ def a3(spark, sf):
     return M.loo_alpha(good, moments).select("scene_id", "xtrack", "alpha")
 
 
+# Closed form of the leave-one-out likelihood for two bands: the matrix of each candidate is inverted by hand.
+_CURVE_SQL = _TWO_SQL + """,
+cv AS (SELECT scene_id, xtrack, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, 1e4 * var_samp(x1) AS a, 1e4 * covar_samp(x1, x2) AS b, 1e4 * var_samp(x2) AS d
+ FROM g WHERE NOT bad GROUP BY ALL),
+al AS (SELECT i, pow(10.0::DOUBLE, -10 + 0.05::DOUBLE * i) AS alpha FROM range(100, 201, 10) t(i)),
+gm AS (SELECT cv.*, i, alpha, (1 - alpha) / (n - 1) AS beta, n * ((1 - alpha) / (n - 1)) * a + alpha * a AS ga,
+ n * ((1 - alpha) / (n - 1)) * b AS gb, n * ((1 - alpha) / (n - 1)) * d + alpha * d AS gd FROM cv, al),
+rk AS (SELECT gm.*, mode, 1e4 * (gd * y1 * y1 - 2 * gb * y1 * y2 + ga * y2 * y2) / (ga * gd - gb * gb) AS r FROM gm JOIN (
+ SELECT g.scene_id, g.xtrack, unnest([{'mode': 'centred', 'y1': x1 - m1, 'y2': x2 - m2}, {'mode': 'raw', 'y1': x1, 'y2': x2}], recursive := true)
+ FROM g JOIN cv USING (scene_id, xtrack) WHERE NOT bad) px USING (scene_id, xtrack))
+SELECT mode, scene_id, xtrack, i, round(CASE WHEN min(1 - beta * r) > 0 THEN 0.5 * (2 * ln(2 * pi()) + ln(any_value(ga * gd - gb * gb)))
+ + sum(CASE WHEN 1 - beta * r > 0 THEN ln(1 - beta * r) + r / (1 - beta * r) END) / (2 * any_value(n)) END, 6) AS nll
+FROM rk GROUP BY mode, scene_id, xtrack, i"""
+
+
+@query("a3_two_band_curve", "v_pixels", _CURVE_SQL)
+def a3curve(spark, sf):
+    """Likelihood of every tenth candidate of the upper half of the grid, raw and centred, with two bands."""
+    _, _, good = _good(spark, sf, TWO)
+    systems = M.eigen_systems(M.column_moments(good))
+    raw = M.loo_curve(good, systems).withColumn("mode", F.lit("raw"))
+    both = raw.unionByName(M.loo_curve(good, systems, centred=True).withColumn("mode", F.lit("centred")))
+    i = F.round((F.log10("alpha") + 10) / 0.05).cast("bigint")
+    return both.select("mode", "scene_id", "xtrack", i.alias("i"), rnd("nll", 6).alias("nll")).where("i >= 100 and i % 10 = 0")
+
+
 @query("a4_shrinkage_summary")
 def a4(spark, sf):
     a = materialise(a3(spark, sf), "alpha")
@@ -129,8 +155,9 @@ def a49(spark, sf):
         "scene_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda i: F.floor(i * F.col("_m") / 49.0)))).alias("xtrack"))
     some = good.join(span, ["scene_id", "xtrack"], "left_semi")
     mom = materialise(M.column_moments(some), "moments")
-    a = M.loo_alpha(some, mom).withColumn("mode", F.lit("raw"))
-    b = M.loo_alpha(some, mom, centred=True).withColumn("mode", F.lit("centred"))
+    systems = M.eigen_systems(mom)
+    a = M.loo_alpha(some, mom, systems=systems).withColumn("mode", F.lit("raw"))
+    b = M.loo_alpha(some, mom, centred=True, systems=systems).withColumn("mode", F.lit("centred"))
     both = materialise(a.unionByName(b), "alpha")
     p = exact_percentiles(both, ["mode", "scene_id"], F.col("alpha"), {"median": 0.5, "p95": 0.95})
     return both.groupBy("mode", "scene_id").agg(F.min("alpha").alias("min"), F.max("alpha").alias("max")).join(p, ["mode", "scene_id"])

@@ -105,19 +105,45 @@ def loo(x):
     return at
 
 
-@pytest.mark.parametrize("chunk", [4096, 40])
+@pytest.mark.parametrize("buffer", [48 << 20, 2_000])
 @pytest.mark.parametrize("centred", [False, True])
-def test_leave_one_out_matches_direct_search(spark, chunk, centred):
+def test_leave_one_out_matches_direct_search(spark, monkeypatch, buffer, centred):
+    monkeypatch.setattr(M, "_BUFFER_BYTES", buffer)
     cube, _, px, bands = scene(spark, lines=120, seed=8, plume=False)
     sel = M.select_bands(bands, C.CH4_WINDOWS_NM)
     good = M.project_bands(px, sel)
-    got = {r.xtrack: r.alpha for r in M.loo_alpha(good, M.column_moments(good), centred, chunk).collect()}
+    got = {r.xtrack: r.alpha for r in M.loo_alpha(good, M.column_moments(good), centred).collect()}
     keep = (WL >= 2137) & (WL <= 2493)
     for j in range(3):
         x = cube[:, j, keep]
         assert got[j] == pytest.approx(loo(x - x.mean(0) if centred else x), rel=1e-9)
 
 
+def test_leave_one_out_in_rounds_of_scenes(spark):
+    _, _, px, bands = scene(spark, lines=60, seed=4, plume=False)
+    three = [px.withColumn("scene_id", F.lit(i).cast("long")) for i in (0, 7, 8)]
+    px = three[0].unionByName(three[1]).unionByName(three[2])
+    bands = bands.crossJoin(spark.createDataFrame([(0,), (7,), (8,)], "s long")).withColumn("scene_id", F.col("s")).drop("s")
+    good = M.good_pixels(M.project_bands(px, M.select_bands(bands, C.CH4_WINDOWS_NM)))
+    mom = M.column_moments(good)
+    systems = M.eigen_systems(mom)
+    assert M._rounds(systems, 1) == [(0, 7), (7, 8), (8, 9)] and M._rounds(systems, 1 << 30) == [None]
+    at_once = {(r.scene_id, r.xtrack): r.alpha for r in M.loo_alpha(good, mom).collect()}
+    assert {(r.scene_id, r.xtrack): r.alpha for r in M.loo_alpha(good, mom, limit=1).collect()} == at_once
+    assert len(at_once) == 9
+
+
+def test_leave_one_out_moves_no_pixels(spark):
+    _, _, px, bands = scene(spark, lines=60, plume=False)
+    good = M.good_pixels(M.project_bands(px, M.select_bands(bands, C.CH4_WINDOWS_NM)))
+    systems = M.eigen_systems(M.column_moments(good))
+    plan = M.loo_curve(good.coalesce(2), systems)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Inner, " in plan and "strategy=broadcast" in plan
+    flat = px.where("xtrack = 1").withColumn("rad", F.transform("rad", lambda v: F.lit(1.0)))
+    still = M.good_pixels(M.project_bands(flat, M.select_bands(bands, C.CH4_WINDOWS_NM)))
+    assert [r.alpha for r in M.loo_alpha(still, M.column_moments(still)).collect()] == [0.0]
+
+
 def test_moments_do_not_depend_on_partitioning(spark):
     _, _, px, bands = scene(spark)
     sel = M.select_bands(bands, C.CH4_WINDOWS_NM)
