@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -12,47 +14,6 @@ from ..session import cut_lineage
 _ROW = 1 << 32
 
 
-def mask_runs(mask: DataFrame) -> DataFrame:
-    """Horizontal runs of set cells: ``(scene_id, r, c0, c1, node)``.
-
-    ``node`` grows in raster order, so the smallest node of a region is its
-    first cell.
-    """
-    w = W.partitionBy("scene_id", "r").orderBy("c")
-    return (
-        mask.select("scene_id", "r", "c")
-        .withColumn("_island", F.col("c") - F.row_number().over(w))
-        .groupBy("scene_id", "r", "_island")
-        .agg(F.min("c").alias("c0"), F.max("c").alias("c1"))
-        .select("scene_id", "r", "c0", "c1", (F.col("r") * F.lit(_ROW) + F.col("c0")).alias("node"))
-    )
-
-
-def run_edges(runs: DataFrame, reach: int) -> DataFrame:
-    """Links between runs of neighbouring rows; ``reach`` 1 joins diagonals, 0 does not.
-
-    Overlapping runs share at least one column block, so the join is an
-    equality on (scene, row, block) with the exact test after it.
-    """
-    block = 64
-    lo = F.floor((F.col("c0") - reach) / block).cast("bigint")
-    hi = F.floor((F.col("c1") + reach) / block).cast("bigint")
-    upper = runs.select(
-        "scene_id", (F.col("r") + 1).alias("r"), F.col("c0").alias("p0"), F.col("c1").alias("p1"),
-        F.col("node").alias("a"), F.explode(F.sequence(lo, hi)).alias("_b"),
-    )
-    own = F.explode(
-        F.sequence(F.floor(F.col("c0") / block).cast("bigint"), F.floor(F.col("c1") / block).cast("bigint"))
-    )
-    lower = runs.select("scene_id", "r", "c0", "c1", F.col("node").alias("b"), own.alias("_b"))
-    return (
-        lower.join(upper, ["scene_id", "r", "_b"])
-        .where((F.col("p0") <= F.col("c1") + reach) & (F.col("p1") >= F.col("c0") - reach))
-        .select("scene_id", "a", "b")
-        .distinct()
-    )
-
-
 def _relax(edges: DataFrame, small: bool) -> DataFrame:
     """One star step of the alternating contraction (Kiveris et al., 2014)."""
     u, v, m = F.col("u"), F.col("v"), F.col("m")
@@ -93,19 +54,96 @@ def region_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def label_regions(mask: DataFrame, reach: int = 1) -> DataFrame:
-    """Set cells with their region label, numbered per scene in raster order from 1."""
-    runs = cut_lineage(mask_runs(mask))
-    roots = region_roots(runs, run_edges(runs, reach))
+#: Side of a tile in cells; a task labels one tile at a time, so at most its square of cells.
+TILE = 512
+
+
+def _overlaps(r, c0, c1, reach: int):
+    """Index pairs of runs (sorted by row and column) that touch in neighbouring rows."""
+    width = int(c1.max()) + 2 * reach + 2
+    begin, end = r * width + c0, r * width + c1
+    lo = np.searchsorted(end, begin - width - reach, "left")
+    hi = np.searchsorted(begin, end - width + reach, "right")
+    n = np.maximum(hi - lo, 0)
+    below = np.repeat(np.arange(len(r)), n)
+    return below, np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _united(n: int, a, b):
+    """Smallest index of each index's set after uniting ``a[i]`` with ``b[i]``: hook the larger root, then halve paths."""
+    parent = np.arange(n)
+    while True:
+        x, y = parent[a], parent[b]
+        apart = x != y
+        if not apart.any():
+            return parent
+        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
+        while True:
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                break
+            parent = up
+
+
+def tile_pieces(mask: DataFrame, reach: int = 1, tile: int = TILE) -> DataFrame:
+    """Set cells with the piece of a region they form within their tile: ``scene_id, r, c, piece``.
+
+    A piece is named by its first cell in raster order. Each tile is labelled by itself, on its
+    runs of cells, by a union-find over whole arrays.
+    """
+    kind = mask.schema["scene_id"].dataType.simpleString()
+
+    def label(group: pa.Table) -> pa.Table:
+        r, c = group.column("r").to_numpy(), group.column("c").to_numpy()
+        order = np.lexsort((c, r))
+        r, c = r[order], c[order]
+        first = np.r_[True, (np.diff(r) != 0) | (np.diff(c) > 1)]
+        starts = np.flatnonzero(first)
+        run = np.cumsum(first) - 1
+        c0, c1 = c[starts], c[np.r_[starts[1:], len(c)] - 1]
+        r_off, c_off = r.min(), c.min()
+        a, b = _overlaps(r[starts] - r_off + 1, c0 - c_off, c1 - c_off, reach)
+        root = starts[_united(len(starts), a, b)][run]
+        return pa.table({"scene_id": group.column("scene_id").take(pa.array(order)), "r": r, "c": c, "piece": r[root] * _ROW + c[root]})
+
+    r, c = F.col("r").cast("bigint"), F.col("c").cast("bigint")
+    placed = mask.select("scene_id", r.alias("r"), c.alias("c"), F.floor(r / tile).alias("_tr"), F.floor(c / tile).alias("_tc"))
+    return placed.groupBy("scene_id", "_tr", "_tc").applyInArrow(label, f"scene_id {kind}, r bigint, c bigint, piece bigint")
+
+
+def crossing_edges(pieces: DataFrame, reach: int = 1, tile: int = TILE) -> DataFrame:
+    """Links between pieces that touch across a tile border: ``scene_id, a, b``. Only border cells take part."""
+    r, c = F.pmod("r", F.lit(tile)), F.pmod("c", F.lit(tile))
+    border = pieces.where(r.isin(0, tile - 1) | c.isin(0, tile - 1))
+    back = [(-1, 0), (0, -1), (-1, -1), (-1, 1)] if reach else [(-1, 0), (0, -1)]
+    steps = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in back])
+    seen = border.select("scene_id", F.col("r").alias("r0"), F.col("c").alias("c0"), F.col("piece").alias("b"), F.explode(steps).alias("s"))
+    seen = seen.select("scene_id", "r0", "c0", "b", (F.col("r0") + F.col("s.dr")).alias("r"), (F.col("c0") + F.col("s.dc")).alias("c"))
+    tile_of = lambda v: F.floor(F.col(v) / tile)
+    seen = seen.where((tile_of("r") != tile_of("r0")) | (tile_of("c") != tile_of("c0")))
+    met = seen.join(border.select("scene_id", "r", "c", F.col("piece").alias("a")), ["scene_id", "r", "c"])
+    return met.select("scene_id", "a", "b").distinct()
+
+
+def label_regions(mask: DataFrame, reach: int = 1, tile: int = TILE) -> DataFrame:
+    """Set cells with their region label, numbered per scene in raster order from 1.
+
+    Tiles are labelled by themselves; the rounds of :func:`region_roots` see only pieces that
+    touch another tile, and there are none where scenes fit into tiles.
+    """
+    pieces = cut_lineage(tile_pieces(mask, reach, tile))
+    edges = cut_lineage(crossing_edges(pieces, reach, tile))
+    named = pieces.select("scene_id", "piece").distinct()
+    if edges.isEmpty():
+        named = named.withColumn("root", F.col("piece"))
+    else:
+        ends = edges.select("scene_id", F.col("a").alias("node")).union(edges.select("scene_id", "b")).distinct()
+        roots = region_roots(ends, edges).select("scene_id", F.col("node").alias("piece"), "root")
+        named = named.join(roots, ["scene_id", "piece"], "left").withColumn("root", F.coalesce("root", "piece"))
     order = W.partitionBy("scene_id").orderBy("root")
-    numbers = roots.select("scene_id", "root").distinct().withColumn(
-        "label", F.row_number().over(order).cast("bigint")
-    )
-    return (
-        runs.join(roots, ["scene_id", "node"])
-        .join(numbers, ["scene_id", "root"])
-        .select("scene_id", "r", F.explode(F.sequence("c0", "c1")).alias("c"), "label")
-    )
+    numbers = named.withColumn("label", F.dense_rank().over(order).cast("bigint"))
+    return pieces.join(numbers, ["scene_id", "piece"]).select("scene_id", "r", "c", "label")
 
 
 def region_counts(labels: DataFrame, extents: DataFrame) -> DataFrame:

@@ -89,13 +89,14 @@ def snake(n):
     return m
 
 
+@pytest.mark.parametrize("tile", [G.TILE, 7])
 @pytest.mark.parametrize("reach", [1, 0])
-def test_labels_match_flood_fill(spark, reach):
+def test_labels_match_flood_fill(spark, reach, tile):
     rng = np.random.default_rng(11)
     masks = [rng.random((30, 140)) < 0.42, snake(25), np.eye(12, dtype=bool), np.ones((4, 4), bool), rng.random((9, 9)) < 0.2]
     rows = [(s, int(r), int(c)) for s, m in enumerate(masks) for r, c in zip(*np.nonzero(m), strict=True)]
     df = spark.createDataFrame(rows, "scene_id long, r long, c long").repartition(9)
-    got = G.label_regions(df, reach).collect()
+    got = G.label_regions(df, reach, tile).collect()
     for s, m in enumerate(masks):
         want = flood(m, reach == 1)
         have = np.zeros(m.shape, int)
@@ -105,6 +106,16 @@ def test_labels_match_flood_fill(spark, reach):
         assert np.array_equal(have, want), s
 
 
+def test_only_border_pieces_are_linked(spark):
+    """A region inside one tile takes no part in the rounds; one across a corner does, with diagonals only."""
+    cells = [(0, 1, 1), (0, 1, 2), (0, 3, 3), (0, 4, 4), (0, -1, 2), (1, 0, 0)]
+    pieces = G.tile_pieces(spark.createDataFrame(cells, "scene_id long, r long, c long"), 1, 4)
+    assert {(r.r, r.c): r.piece for r in pieces.where("scene_id = 0 and r = 1").collect()} == {(1, 1): (1 << 32) + 1, (1, 2): (1 << 32) + 1}
+    assert [(r.scene_id, r.a, r.b) for r in G.crossing_edges(pieces, 1, 4).collect()] == [(0, 3 * (1 << 32) + 3, 4 * (1 << 32) + 4)]
+    assert G.crossing_edges(pieces, 0, 4).count() == 0
+    assert G.label_regions(spark.createDataFrame([], "scene_id long, r long, c long")).count() == 0
+
+
 def test_labels_do_not_depend_on_partitioning(spark):
     m = np.random.default_rng(2).random((20, 20)) < 0.45
     rows = [(0, int(r), int(c)) for r, c in zip(*np.nonzero(m), strict=True)]
