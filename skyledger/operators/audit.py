@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-
 # Words that claim proximity, and phrases that may not appear.
 PROXIMITY = r"(?i)\b(nearest|closest|closer|farther|farthest)\b"
 BANNED = ("closer in both", "both distance and angle")
@@ -40,63 +41,71 @@ def unsupported(citations: DataFrame, features: DataFrame) -> DataFrame:
     return citations.join(features.select("layer", "feature_id").distinct(), ["layer", "feature_id"], "left_anti")
 
 
-def _json_type(v: Column) -> Column:
-    """object, list, string, boolean, null, integer or float."""
-    t = F.schema_of_variant(v)
-    return (
-        F.when(t.startswith("OBJECT"), "object").when(t.startswith("ARRAY"), "list").when(t == "STRING", "string")
-        .when(t == "BOOLEAN", "boolean").when(t == "VOID", "null").when(t == "BIGINT", "integer").otherwise("float")
-    )
-
-
-def _length(v: Column) -> Column:
-    return F.size(F.try_variant_get(v, "$", "array<variant>"))
-
-
-def _children(level: DataFrame, key: str, side: str) -> DataFrame:
-    """Members of every object and list of one side: ``key, path, v``; a list counts its members in brackets."""
-    tvf = level.sparkSession.tvf
-    opened = level.select(key, "path", side).lateralJoin(tvf.variant_explode(F.col(side).outer()).toDF("pos", "member", "v"))
-    step = F.when(F.col("member").isNull(), F.concat(F.lit("["), "pos", F.lit("]"))).otherwise(F.concat(F.lit("."), "member"))
-    return opened.select(key, F.concat("path", step).alias("path"), "v")
+def _refuse(word: str):
+    raise ValueError(word)
+
+
+def _parsed(doc: str | None) -> tuple[bool, object]:
+    """Whether a text is JSON, and its value. NaN and infinities are not, nor is what nests deeper than Python's parser goes."""
+    try:
+        return doc is not None, json.loads(doc, parse_constant=_refuse) if doc is not None else None
+    except (ValueError, RecursionError):
+        return False, None
+
+
+def _divergences(want: object, got: object) -> Iterator[tuple[tuple[str, ...], str]]:
+    """Steps to every place where two JSON values part, and how; nothing below such a place is compared."""
+    todo: list[tuple[tuple[str, ...], object, object]] = [((), want, got)]
+    while todo:
+        steps, a, b = todo.pop()
+        if type(a) is not type(b):
+            yield steps, "type"
+        elif isinstance(a, dict):
+            for name in a.keys() ^ b.keys():
+                yield (*steps, f".{name}"), "missing in got" if name in a else "missing in expected"
+            todo += [((*steps, f".{name}"), a[name], b[name]) for name in a.keys() & b.keys()]
+        elif isinstance(a, list) and len(a) == len(b):
+            todo += [((*steps, f"[{i}]"), x, y) for i, (x, y) in enumerate(zip(a, b, strict=True))]
+        elif a != b:
+            yield steps, "length" if isinstance(a, list) else "value"
+
+
+def _compare_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        place, counts, paths, kinds = [], [], [], []
+        for i, (a, b, in_a, in_b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "in_a", "in_b")), strict=True)):
+            if in_a and in_b:
+                (good_a, want), (good_b, got) = _parsed(a), _parsed(b)
+                found = list(_divergences(want, got)) if good_a and good_b else [((), "type")] if good_a or good_b else []
+            else:
+                found = [((), "missing in got" if in_a else "missing in expected")]
+            if found:
+                path, kind = min(("$" + "".join(steps), kind) for steps, kind in found)
+                place.append(i)
+                counts.append(len(found))
+                paths.append(path)
+                kinds.append(kind)
+        key = batch.column(0).take(pa.array(place, pa.int64()))
+        yield pa.RecordBatch.from_arrays([key, pa.array(counts, pa.int64()), pa.array(paths, pa.string()), pa.array(kinds, pa.string())],
+                                         names=[batch.schema.names[0], "n_diff", "path", "kind"])
 
 
 def first_difference(expected: DataFrame, got: DataFrame, key: str, doc: str) -> DataFrame:
     """First diverging path per document and the number of divergences, at any depth.
 
-    Both sides are opened together, level by level, until nothing is left to open. A
-    member that one side lacks, another type, another list length or another value is a
+    A member that one side lacks, another type, another list length or another value is a
     divergence, and nothing below it is compared. A document of one side only, or one
-    that is not JSON, diverges at ``$``. Integers and floats are different types, as are
-    a list and an object; the order of members does not matter. Starts one job per level.
+    that is not JSON, diverges at ``$``; two that are not JSON agree. Whole numbers are compared
+    exactly and differ in type from floats, as lists from objects and booleans from numbers; the
+    order of members does not matter. Members meet by their steps, so names may hold points.
+    Equal texts are settled by the join; only the others are opened, batch by batch.
     """
-    a = expected.select(key, F.try_parse_json(doc).alias("a"), F.lit(True).alias("in_a"))
-    b = got.select(key, F.try_parse_json(doc).alias("b"), F.lit(True).alias("in_b"))
-    level = a.join(b, key, "full_outer").withColumn("path", F.lit("$"))
-    found: list[DataFrame] = []
-    while True:
-        ta, tb = _json_type(F.col("a")), _json_type(F.col("b"))
-        same_length = (ta != "list") | (_length(F.col("a")) == _length(F.col("b")))
-        equal = F.when(
-            ta == "float", F.try_variant_get("a", "$", "double") == F.try_variant_get("b", "$", "double")
-        ).otherwise(F.to_json("a") == F.to_json("b"))
-        kind = (
-            F.when(F.col("in_b").isNull(), "missing in got").when(F.col("in_a").isNull(), "missing in expected")
-            .when(F.col("a").isNull() | F.col("b").isNull(), F.when(F.col("a").isNull() & F.col("b").isNull(), "same").otherwise("type"))
-            .when(ta != tb, "type").when(~same_length, "length").when(ta.isin("object", "list"), "open")
-            .when(equal, "same").otherwise("value")
-        )
-        level = cut_lineage(level.withColumn("kind", kind).where("kind <> 'same'"))
-        found.append(level.where("kind <> 'open'").select(key, "path", "kind"))
-        below = level.where("kind = 'open'")
-        if below.isEmpty():
-            break
-        a = _children(below, key, "a").select(key, "path", F.col("v").alias("a"), F.lit(True).alias("in_a"))
-        b = _children(below, key, "b").select(key, "path", F.col("v").alias("b"), F.lit(True).alias("in_b"))
-        level = a.join(b, [key, "path"], "full_outer")
-    every = reduce(DataFrame.unionByName, found)
-    return every.groupBy(key).agg(F.count("*").alias("n_diff"), F.min_by(F.struct("path", "kind"), F.col("path")).alias("f")).select(
-        key, "n_diff", "f.path", "f.kind")
+    a = expected.select(key, F.col(doc).alias("a"), F.lit(True).alias("in_a"))
+    b = got.select(key, F.col(doc).alias("b"), F.lit(True).alias("in_b"))
+    both = a.join(b, key, "full_outer").select(key, "a", "b", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("in_a", "in_b")])
+    differ = both.where(~(F.col("in_a") & F.col("in_b") & F.col("a").eqNullSafe(F.col("b"))))
+    kind = both.schema[key].dataType.simpleString()
+    return differ.mapInArrow(_compare_documents, f"`{key}` {kind}, n_diff bigint, path string, kind string")
 
 
 def dedupe_citations(refs: DataFrame) -> DataFrame:

@@ -10,8 +10,7 @@ from ..operators import attribution, spatial
 from ..session import materialise
 
 
-def attribute_sources(plumes: DataFrame, features: DataFrame, fields: DataFrame, radius_km: float, cell_deg: float = 0.25,
-                      salts: int = 1) -> dict[str, DataFrame]:
+def attribute_sources(plumes: DataFrame, features: DataFrame, fields: DataFrame, radius_km: float, cell_deg: float = 0.25) -> dict[str, DataFrame]:
     """Facility and field hypotheses for every plume.
 
     ``plumes``: ``event_id, apex_lon, apex_lat, u, v, sigma, u_eff, length_m``;
@@ -21,7 +20,7 @@ def attribute_sources(plumes: DataFrame, features: DataFrame, fields: DataFrame,
     g = geo.wedge(F.col("u"), F.col("v"), F.hypot("u", "v"), F.col("sigma"), F.col("u_eff"), F.col("length_m"))
     wedges = plumes.select("event_id", "apex_lon", "apex_lat", g.alias("g")).select(
         "event_id", "apex_lon", "apex_lat", "g.*", F.lit(float(radius_km)).alias("radius_km"))
-    pairs = materialise(spatial.relate_to_wedges(features, wedges, cell_deg, salts).where("in_2s"), "wedge-pairs")
+    pairs = materialise(spatial.relate_to_wedges(features, wedges, cell_deg, only_2s=True), "wedge-pairs")
     ranked = materialise(spatial.rank_candidates(pairs), "ranked")
     summary = attribution.facility_summary(ranked)
     apex = plumes.select(F.col("event_id").alias("point_id"), F.col("apex_lon").alias("lon"), F.col("apex_lat").alias("lat"))

@@ -14,6 +14,7 @@ from ..sources import features
 from . import fixtures as X
 from .registry import query, rnd
 
+#: Radius of the first hundred wedges; later ones are smaller, so that the pairs grow like the tables.
 RADIUS_KM = 250.0
 
 
@@ -42,25 +43,25 @@ def vincenty(source: str, keys: str, rounds: int = 10) -> str:
 _WEDGE = f"""
 wg AS (SELECT *, sqrt(u * u + v * v) AS speed, (degrees(atan2(u, v)) + 360) % 360 AS down, (degrees(atan2(u, v)) + 540) % 360 AS up, degrees(atan2(sigma, sqrt(u * u + v * v))) AS h1,
  degrees(atan2(2 * sigma, sqrt(u * u + v * v))) AS h2 FROM v_wedges),
-pr AS (SELECT event_id, feature_id, layer, name, bal, up, h1, h2, apex_lon AS lon1, apex_lat AS lat1, p.lon AS lon2, p.lat AS lat2 FROM wg, v_points p),
-gd AS ({vincenty('pr', 'event_id, feature_id, layer, name, bal, up, h1, h2')}),
-rel AS (SELECT event_id, feature_id, layer, name, bal, dist_m / 1000 AS dist_km, azimuth, least(abs(azimuth - up), 360 - abs(azimuth - up)) AS dev, h1, h2 FROM gd WHERE dist_m / 1000 <= {RADIUS_KM})
+pr AS (SELECT event_id, feature_id, layer, name, bal, up, h1, h2, {RADIUS_KM}::DOUBLE / (1 + event_id // 100) AS rad, apex_lon AS lon1, apex_lat AS lat1, p.lon AS lon2, p.lat AS lat2 FROM wg, v_points p),
+gd AS ({vincenty('pr', 'event_id, feature_id, layer, name, bal, up, h1, h2, rad')}),
+rel AS (SELECT event_id, feature_id, layer, name, bal, dist_m / 1000 AS dist_km, azimuth, least(abs(azimuth - up), 360 - abs(azimuth - up)) AS dev, h1, h2 FROM gd WHERE dist_m / 1000 <= rad)
 """
 
 
 def _wedges(spark, sf):
     w = X.v_wedges(spark, sf)
     g = geo.wedge(F.col("u"), F.col("v"), F.hypot("u", "v"), F.col("sigma"), F.col("u_eff"), F.col("length_m"))
-    return w.select("*", g.alias("g")).select("event_id", "apex_lon", "apex_lat", "u", "v", "g.*", F.lit(RADIUS_KM).alias("radius_km"))
+    return w.select("*", g.alias("g")).select("event_id", "apex_lon", "apex_lat", "u", "v", "g.*", (F.lit(RADIUS_KM) / (1 + F.floor(F.col("event_id") / 100))).alias("radius_km"))
 
 
-def _related(spark, sf, layer="true"):
-    return spatial.relate_to_wedges(X.v_points(spark, sf).where(layer), _wedges(spark, sf), cell_deg=2.0, salts=4)
+def _related(spark, sf, layer="true", only_2s=False):
+    return spatial.relate_to_wedges(X.v_points(spark, sf).where(layer), _wedges(spark, sf), 2.0, only_2s)
 
 
 def _wells(spark, sf):
     """Ranked candidates; the joined pairs are written once because ranking reads them several times."""
-    pairs = materialise(_related(spark, sf, "layer <> 'FACILITY'").where("in_2s"), "wedge-pairs")
+    pairs = materialise(_related(spark, sf, "layer <> 'FACILITY'", only_2s=True), "wedge-pairs")
     return materialise(spatial.rank_candidates(pairs.withColumn("operator", F.col("layer"))), "ranked")
 
 

@@ -250,14 +250,15 @@ WITH x AS (SELECT event_id AS k FROM events), d AS (
   {'path': '$.c', 'kind': CASE WHEN k % 7 = 0 THEN 'missing in expected' END},
   {'path': '$.l', 'kind': CASE WHEN k % 11 = 0 THEN 'length' END},
   {'path': '$.l[1].m', 'kind': CASE WHEN k % 11 <> 0 AND k % 4 = 0 THEN 'value' END},
+  {'path': '$.n', 'kind': CASE WHEN k % 17 = 0 THEN 'value' END},
   {'path': '$.o', 'kind': CASE WHEN k % 13 = 0 THEN 'type' END}]) AS e FROM x)
 SELECT k AS event_id, count(*) AS n_diff, min(e.path) AS path, arg_min(e.kind, e.path) AS kind FROM d WHERE e.kind IS NOT NULL GROUP BY k""")
 def f21(spark, sf):
     e = X.table(spark, sf, "events", ["event_id", "props"])
     own = e.withColumn("n", F.get_json_object("props", "$.k"))
-    want = own.select("event_id", F.expr("""concat('{"a":{"b":{"c":{"d":{"e":', n, '}}}', if(event_id % 5 = 0, ',"gone":{"x":[]}', ''), '},"l":[1,{"m":', n, '}],"o":{}}')""").alias("doc"))
+    want = own.select("event_id", F.expr("""concat('{"a":{"b":{"c":{"d":{"e":', n, '}}}', if(event_id % 5 = 0, ',"gone":{"x":[]}', ''), '},"l":[1,{"m":', n, '}],"n":10000000000000000000001,"x.y":{"z":1},"x":{"y.z":2},"o":{}}')""").alias("doc"))
     got = own.select("event_id", F.expr("""concat(
-        '{"o":', if(event_id % 13 = 0, '[]', '{}'), if(event_id % 7 = 0, ',"c":{"y":1}', ''),
+        '{"x":{"y.z":2},"x.y":{"z":1},"n":1000000000000000000000', if(event_id % 17 = 0, '2', '1'), ',"o":', if(event_id % 13 = 0, '[]', '{}'), if(event_id % 7 = 0, ',"c":{"y":1}', ''),
         ',"l":[1', if(event_id % 11 = 0, '', concat(',{"m":', if(event_id % 4 = 0, '-1', n), '}')),
         '],"a":{"b":{"c":{"d":{"e":', case when event_id % 3 = 0 then '-1' when event_id % 3 = 1 and event_id % 2 = 0 then concat('"', n, '"') else n end, '}}}}}')""").alias("doc"))
     return audit.first_difference(want, got, "event_id", "doc")

@@ -83,9 +83,45 @@ def test_bracket_interpolation(spark):
 def test_wedge_across_the_date_line(spark):
     f = spark.createDataFrame([("w", 1, -179.9, 0.0), ("w", 2, 179.9, 0.0), ("w", 3, 175.0, 0.0), ("w", 4, 179.99, 0.3)], "layer string, feature_id long, lon double, lat double")
     w = spark.createDataFrame([(7, 179.95, 0.0, 90.0, 10.0, 20.0, 60.0)], "event_id long, apex_lon double, apex_lat double, upwind_deg double, half1_deg double, half2_deg double, radius_km double")
-    for salts in (1, 4):
-        got = {r.feature_id: (r.in_1s, r.in_2s) for r in spatial.relate_to_wedges(f, w, 0.5, salts).collect()}
+    for rows in (1, 4096):
+        got = {r.feature_id: (r.in_1s, r.in_2s) for r in spatial.relate_to_wedges(f, w, 0.5, rows=rows).collect()}
         assert got == {1: (True, True), 2: (False, False), 4: (False, False)}
+        assert [r.feature_id for r in spatial.relate_to_wedges(f, w, 0.5, True, rows).collect()] == [1]
+
+
+def test_crowded_cells_lose_no_pair(spark):
+    rng = np.random.default_rng(6)
+    at = np.r_[rng.normal(0, 0.05, (150, 2)), rng.uniform(-3, 3, (150, 2)), np.tile([[1.0, 1.0]], (40, 1))] + [179.0, 88.0 - 60]
+    f = spark.createDataFrame([("w", i, float((x + 180) % 360 - 180), float(y)) for i, (x, y) in enumerate(at)], "layer string, feature_id long, lon double, lat double")
+    wedges = [(k, float((at[7 * k][0] + 180) % 360 - 180), float(at[7 * k][1]) + 0.01, 37.0 * k % 360, 15.0, 40.0, 20.0 + 9 * k) for k in range(30)]
+    w = spark.createDataFrame(wedges, "event_id long, apex_lon double, apex_lat double, upwind_deg double, half1_deg double, half2_deg double, radius_km double")
+    d, az = geodesic_inverse(*(np.array(x) for x in zip(*[(a[1], a[2], (x + 180) % 360 - 180, y) for a in wedges for x, y in at], strict=True)))
+    pairs = [(a[0], i, a[3], a[5], a[6]) for a in wedges for i in range(len(at))]
+    near = {(e, i): min(abs(z - up), 360 - abs(z - up)) <= h for (e, i, up, h, rad), m, z in zip(pairs, d, az, strict=True) if m / 1000 <= rad}
+    for rows in (5, 4096):
+        got = [(r.event_id, r.feature_id, r.in_2s) for r in spatial.relate_to_wedges(f, w, 1.0, rows=rows).collect()]
+        assert len(got) == len(near) and {(e, i): s for e, i, s in got} == near
+        wide = [(r.event_id, r.feature_id) for r in spatial.relate_to_wedges(f, w, 1.0, True, rows).collect()]
+        assert sorted(wide) == sorted(k for k, s in near.items() if s)
+    tree, leaves = spatial.cell_tree(f, 1.0, True, 5)
+    assert max(r["count"] for r in tree.groupBy("_level", "_i", "_j", "_salt").count().collect()) <= 20 and leaves.where("_level > 3").count()
+
+
+def test_polygons_cut_to_crowded_cells(spark):
+    rng = np.random.default_rng(4)
+    at = np.r_[rng.uniform(-6, 6, (300, 2)), np.tile([[0.5, 0.5]], (30, 1)), rng.integers(-3, 4, (60, 2))]
+    polys = []
+    for k in range(25):
+        turn = np.sort(rng.uniform(0, 2 * np.pi, 9))
+        ring = rng.uniform(-3, 3, 2) + rng.uniform(0.2, 4, (9, 1)) * np.c_[np.cos(turn), np.sin(turn)]
+        polys.append((k, [np.r_[ring, ring[:1]].tolist()]))
+    polys.append((25, [[[-3.0, -3.0], [3.0, -3.0], [3.0, 3.0], [-3.0, 3.0], [-3.0, -3.0]]]))
+    pts = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(at)], "point_id long, lon double, lat double")
+    shape = spark.createDataFrame([(k, [[{"lon": x, "lat": y} for x, y in r] for r in rings]) for k, rings in polys], "poly_id long, rings array<array<struct<lon:double,lat:double>>>")
+    want = sorted((i, k) for i, (x, y) in enumerate(at) for k, (ring,) in polys
+                  if sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:], strict=False)) % 2)
+    for rows in (3, 4096):
+        assert sorted(map(tuple, spatial.points_in_polygons(pts, shape, 2.0, rows).collect())) == want
 
 
 def test_concave_polygon(spark):
@@ -193,6 +229,9 @@ def test_rules_report_each_breach(spark):
     ('{"a":1}', '{"a":"1"}', "$.a", "type"), ('{"a":{}}', "{}", "$.a", "missing in got"), ("{}", '{"a":[]}', "$.a", "missing in expected"),
     ('{"a":{"b":{"c":{"d":{"e":1}}}}}', '{"a":{"b":{"c":{"d":{"e":2}}}}}', "$.a.b.c.d.e", "value"), ("[1,2]", "[1]", "$", "length"),
     ('{"a":[{"x":1,"y":2}]}', '{"a":[{"y":2,"x":1}]}', None, None), ("[]", "{}", "$", "type"), ("1", "1.5", "$", "type"), ("1.50", "1.5", None, None),
+    ('{"a":10000000000000000000001}', '{"a":10000000000000000000002}', "$.a", "value"), ('{"a":10000000000000000000001}', '{"a":1e22}', "$.a", "type"),
+    ('{"a.b":{"c":1},"a":{"b.c":2}}', '{"a":{"b.c":2},"a.b":{"c":1}}', None, None), ("true", "1", "$", "type"), ("{", "{}", "$", "type"), ("{", "[", None, None),
+    ('{"a":NaN}', '{"a":1}', "$", "type"), ("1e400", "1e400", None, None), (None, "null", "$", "type"), ("[" * 5000, "[]", "$", "type"),
     ('{"a":[[[{"k":true}]]]}', '{"a":[[[{"k":false}]]]}', "$.a[0][0][0].k", "value"), ('{"a":null}', '{"a":0}', "$.a", "type"),
 ])
 def test_json_difference_points_at_the_path(spark, want, got, path, kind):
