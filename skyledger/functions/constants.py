@@ -27,6 +27,8 @@ LOO_DATA_SCALE = 100.0
 # Plume segmentation.
 NEIGHBOURHOOD = 5
 T_TEST_P = 0.05
+SEG_P_VALUES = (0.01, 0.05, 0.10)
+LAND_FRACTION = 0.5
 MEDIAN_SIZE = 3
 GAUSS_SIGMA = 2.0
 SMOOTHED_THRESHOLD = 0.5

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
-from ..functions.physics import cell_area_km2
+from ..functions.physics import cell_area_km2, wind_from_deg
 
 CELL = ["region_id", "lat_i", "lon_i"]
 
@@ -114,6 +114,28 @@ def weighted_mean(v: Column, w: Column) -> Column:
     return F.sum(v * w) / F.sum(F.when(v.isNotNull(), w))
 
 
+def wind_climatology(winds: DataFrame, keys: list[str], event_year: int) -> DataFrame:
+    """Area-mean wind of the event's window against the mean of the earlier years' windows.
+
+    ``winds``: ``keys, year, day, lat, u, v``, one row per cell and day of the window. Days are
+    means over cells weighted by the cosine of latitude, years means over days, the climatology
+    a mean over years. Without an earlier year the climatology is NULL.
+    """
+    w = F.cos(F.radians("lat"))
+    day = winds.groupBy(*keys, "year", "day").agg(weighted_mean(F.col("u"), w).alias("u"), weighted_mean(F.col("v"), w).alias("v"))
+    year = day.groupBy(*keys, "year").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    past, now = F.col("year") < event_year, F.col("year") == event_year
+    both = year.groupBy(*keys).agg(
+        *[F.max(F.when(now, F.col(c))).alias(c) for c in ("u", "v")], *[F.avg(F.when(past, F.col(c))).alias(f"{c}_clim") for c in ("u", "v")],
+        F.count(F.when(past, 1)).alias("n_years"),
+    )
+    du, dv = F.col("u") - F.col("u_clim"), F.col("v") - F.col("v_clim")
+    return both.where(F.col("u").isNotNull()).select(
+        *keys, "n_years", F.hypot("u", "v").alias("speed"), wind_from_deg(F.col("u"), F.col("v")).alias("from_deg"),
+        wind_from_deg(F.col("u_clim"), F.col("v_clim")).alias("clim_from_deg"), du.alias("du"), dv.alias("dv"), F.hypot(du, dv).alias("anomaly"),
+    )
+
+
 def lane_cells(clim: DataFrame, land: DataFrame, offset_k: float = C.KELVIN) -> DataFrame:
     """Cell-days of a lane with area, anomaly and the qualifying flag, land cells only."""
     return (

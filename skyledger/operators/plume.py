@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions import physics as P
 from ..functions.numeric import t_upper_tail
+from ..session import materialise
 from . import stencil
 from .components import label_regions
 from .percentiles import exact_percentiles
@@ -32,14 +34,21 @@ def welch(n: Column, mean: Column, var: Column, bg_n: Column, bg_mean: Column, b
     return t, F.when(den > 0, (a + b) * (a + b) / den)
 
 
-def candidates(dense: DataFrame, bg: DataFrame, p_value: float = C.T_TEST_P) -> DataFrame:
-    """Pixels whose 5x5 neighbourhood is significantly above background."""
+def tested(dense: DataFrame, bg: DataFrame) -> DataFrame:
+    """Every pixel with the one-sided p-value of its 5x5 neighbourhood against the background."""
     local = stencil.box_moments(dense, F.col("value"), C.NEIGHBOURHOOD).join(bg, "scene_id")
     t, df = welch(*[F.col(c) for c in ("n_local", "mean_local", "var_local", "bg_n", "bg_mean", "bg_var")])
-    tested = local.withColumn("t_stat", t).withColumn("df", df).withColumn("p", t_upper_tail("t_stat", "df"))
-    half = C.NEIGHBOURHOOD**2 / 2
-    hit = (F.col("p") < p_value) & (F.col("n_local") >= half) & F.col("value").isNotNull()
-    return tested.withColumn("candidate", F.coalesce(hit & (F.col("status") == "ok"), F.lit(False)))
+    return local.withColumn("t_stat", t).withColumn("df", df).withColumn("p", t_upper_tail("t_stat", "df"))
+
+
+def _significant(p_value: Column) -> Column:
+    hit = (F.col("p") < p_value) & (F.col("n_local") >= C.NEIGHBOURHOOD**2 / 2) & F.col("value").isNotNull()
+    return F.coalesce(hit & (F.col("status") == "ok"), F.lit(False))
+
+
+def candidates(dense: DataFrame, bg: DataFrame, p_value: float = C.T_TEST_P) -> DataFrame:
+    """Pixels whose 5x5 neighbourhood is significantly above background."""
+    return tested(dense, bg).withColumn("candidate", _significant(F.lit(p_value)))
 
 
 def smooth_mask(cand: DataFrame) -> DataFrame:
@@ -139,6 +148,40 @@ def upwind_source(cells: DataFrame, wind: DataFrame) -> DataFrame:
     return top.withColumn("dist_km", F.hypot(dx, dy) / 1000.0)
 
 
+def p_value_sweep(dense: DataFrame, is_background: Column, facts: DataFrame, p_values: tuple[float, ...] = C.SEG_P_VALUES,
+                  central: float = C.T_TEST_P, min_px: int = 10) -> DataFrame:
+    """The plume's rate for every significance level: ``scene_id, p_value, n_px, q_t_h, spread``.
+
+    ``facts``: ``scene_id, r, c, inside`` and what :func:`quantify` needs. The p-values are computed
+    once; all levels then pass the smoothing and the labelling together, as variants of each scene. The
+    plume of a level is its largest region by cells inside the box (ties: lowest label). Masks
+    below ``min_px`` pixels have no rate; ``spread`` is (max - min) / the central rate over the
+    others, 0 with fewer than two of them or without a central rate above 0. Every scene of
+    ``dense`` has a row for every level.
+    """
+    pixels = materialise(tested(dense, background(dense, is_background)), "p-values")
+    levels = F.array(*map(F.lit, p_values))
+    variants = pixels.select("*", F.posexplode(levels).alias("_i", "_level")).withColumn("candidate", _significant(F.col("_level")))
+    # A variant of a scene is a scene of its own to the stencils and the labelling: "<level>:<scene>".
+    kind = dense.schema["scene_id"].dataType
+    variants = variants.withColumn("scene_id", F.concat_ws(":", "_i", F.col("scene_id").cast("string")))
+    labels = label_regions(smooth_mask(variants).where("plume"), reach=1)
+    level = F.get(levels, F.substring_index("scene_id", ":", 1).cast("int"))
+    scene = F.regexp_replace("scene_id", "^[0-9]+:", "").cast(kind)
+    cells = labels.select(scene.alias("scene_id"), level.alias("p_value"), "r", "c", "label").join(facts, ["scene_id", "r", "c"])
+    cells = materialise(cells, "sweep-cells")
+    keys = ["scene_id", "p_value"]
+    inside = cells.where("inside").groupBy(*keys, "label").agg(F.count("*").alias("_n"))
+    best = inside.groupBy(*keys).agg(F.max_by("label", F.struct(F.col("_n"), -F.col("label"))).alias("label"))
+    rates = quantify(cells.join(best, [*keys, "label"]), keys).select(*keys, "n_px", F.when(F.col("n_px") >= min_px, F.col("q_t_h")).alias("q_t_h"))
+    every = pixels.select("scene_id").distinct().select("scene_id", F.explode(levels).alias("p_value"))
+    out = every.join(rates, keys, "left").withColumn("n_px", F.coalesce("n_px", F.lit(0)))
+    w = W.partitionBy("scene_id")
+    middle = F.max(F.when(F.col("p_value") == central, F.col("q_t_h"))).over(w)
+    wide = F.when((F.count("q_t_h").over(w) >= 2) & (middle > 0), (F.max("q_t_h").over(w) - F.min("q_t_h").over(w)) / middle)
+    return out.select(*keys, "n_px", "q_t_h", F.coalesce(wide, F.lit(0.0)).alias("spread"))
+
+
 def sweep_spread(rates: DataFrame, keys: list[str], q: str, n_px: str, min_px: int, central: DataFrame) -> DataFrame:
     """Relative spread of the rate over a parameter sweep; small masks are left out."""
     usable = F.when(F.col(n_px) >= min_px, F.col(q))

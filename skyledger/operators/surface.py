@@ -58,6 +58,21 @@ def mean_view_time(views: DataFrame, granule: list[str], keys: list[str]) -> Dat
     return per.groupBy(*keys).agg(F.avg("_v").alias("view_time_h"), F.count("_v").alias("n_granules"))
 
 
+def skin_consistency(granules: DataFrame, skin: DataFrame, overpass: DataFrame) -> DataFrame:
+    """Satellite minus reanalysed skin temperature at the overpass hour, over the days that have both.
+
+    ``granules``: ``day, k, n`` (mean and number of valid pixels of a granule); ``skin``: ``day,
+    hour, k, lsm``, one row per cell and UTC hour; ``overpass``: one row, ``hour_utc``. A day's
+    satellite value weighs granules by their pixels; the reanalysis counts land cells alone.
+    """
+    sat = granules.where("n > 0").groupBy("day").agg((F.sum(F.col("k") * F.col("n")) / F.sum("n")).alias("_sat"))
+    land = skin.join(overpass.select(F.col("hour_utc").alias("hour")), "hour").where(F.col("lsm") > C.LAND_FRACTION)
+    at_hour = land.groupBy("day", "hour").agg(F.avg("k").alias("_skin")).where(F.col("_skin").isNotNull())
+    diff = F.col("_sat") - F.col("_skin")
+    return sat.join(at_hour, "day").groupBy(F.col("hour").alias("hour_utc")).agg(
+        F.count("*").alias("n_days"), F.avg(diff).alias("mean_diff"), F.stddev_pop(diff).alias("std_diff"))
+
+
 def urban_contrast(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Urban minus rural mean per group; too few cells on either side gives NULL.
 

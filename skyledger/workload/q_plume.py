@@ -479,6 +479,36 @@ def w17(spark, sf):
     return _spread(spark, sf).withColumn("spread", rnd("spread"))
 
 
+_SWEEP = """
+pv AS (SELECT * FROM (VALUES (0, 0.01::DOUBLE), (1, 0.05), (2, 0.1)) t(i, level)),
+cd AS (SELECT scene_id, i, r, c, coalesce(p < level AND n_local >= 12.5 AND own IS NOT NULL, false) AS candidate FROM v_welch, pv),
+mj AS (SELECT a.scene_id, a.i, a.r, a.c, count(*) FILTER (b.candidate) >= 5 AS majority FROM (SELECT scene_id, i, r, c, least(greatest(r + dr, 0), 47) AS rr, least(greatest(c + dc, 0), 47) AS cc
+  FROM cd, (SELECT unnest(range(-1, 2)) AS dr), (SELECT unnest(range(-1, 2)) AS dc)) a JOIN cd b ON b.scene_id = a.scene_id AND b.i = a.i AND b.r = a.rr AND b.c = a.cc GROUP BY ALL),
+gs AS (SELECT d, exp(-d * d / 8.0::DOUBLE) / (SELECT sum(exp(-k * k / 8.0::DOUBLE)) FROM (SELECT unnest(range(-8, 9)) AS k)) AS w FROM (SELECT unnest(range(-8, 9)) AS d)),
+g1 AS (SELECT a.scene_id, a.i, a.r, a.c, sum(b.majority::INTEGER * w) AS s FROM (SELECT scene_id, i, r, c, w, CASE WHEN c + d < 0 THEN -1 - c - d WHEN c + d > 47 THEN 95 - c - d ELSE c + d END AS cc FROM mj, gs) a
+  JOIN mj b ON b.scene_id = a.scene_id AND b.i = a.i AND b.r = a.r AND b.c = a.cc GROUP BY ALL),
+g2 AS (SELECT a.scene_id, a.i, a.r, a.c, sum(b.s * w) AS s FROM (SELECT scene_id, i, r, c, w, CASE WHEN r + d < 0 THEN -1 - r - d WHEN r + d > 47 THEN 95 - r - d ELSE r + d END AS rr FROM g1, gs) a
+  JOIN g1 b ON b.scene_id = a.scene_id AND b.i = a.i AND b.r = a.rr AND b.c = a.c GROUP BY ALL),
+pl AS (SELECT scene_id, i, r * 48 + c AS x, r, c FROM g2 WHERE s > 0.5),
+aj AS (SELECT p.scene_id, p.i, p.x, q.x AS y FROM pl p JOIN pl q ON p.scene_id = q.scene_id AND p.i = q.i AND abs(p.r - q.r) <= 1 AND abs(p.c - q.c) <= 1),
+re AS (SELECT scene_id, i, x AS a, x AS b FROM aj UNION SELECT s.scene_id, s.i, s.a, j.y FROM re s JOIN aj j ON j.scene_id = s.scene_id AND j.i = s.i AND j.x = s.b),
+lb AS (SELECT scene_id, i, b // 48 AS r, b % 48 AS c, dense_rank() OVER (PARTITION BY scene_id, i ORDER BY root) AS label FROM (SELECT scene_id, i, b, min(a) AS root FROM re GROUP BY ALL)),
+bx AS (SELECT lb.*, inside, own, area_m2, n_air, u10 FROM lb JOIN v_box USING (scene_id, r, c)),
+be AS (SELECT scene_id, i, label, count(*) AS n FROM bx WHERE inside GROUP BY scene_id, i, label QUALIFY row_number() OVER (PARTITION BY scene_id, i ORDER BY count(*) DESC, label) = 1),
+qu AS (SELECT scene_id, i, count(*) AS n_px, CASE WHEN count(*) >= 10 THEN (ln(any_value(u10)) + 0.6::DOUBLE) * (coalesce(sum(own * 1e-6::DOUBLE * 0.01604::DOUBLE * area_m2), 0) * any_value(n_air)) / sqrt(sum(area_m2)) * 3.6::DOUBLE END AS q
+  FROM bx JOIN be USING (scene_id, i, label) GROUP BY ALL),
+ev AS (SELECT s.scene_id, pv.i, level AS p_value, coalesce(n_px, 0) AS n_px, q FROM (SELECT DISTINCT scene_id FROM v_box) s CROSS JOIN pv LEFT JOIN qu ON qu.scene_id = s.scene_id AND qu.i = pv.i)
+SELECT scene_id, p_value, n_px, round(q, 6) AS q_t_h, round(coalesce(CASE WHEN count(q) OVER w >= 2 AND max(q) FILTER (i = 1) OVER w > 0 THEN (max(q) OVER w - min(q) OVER w) / max(q) FILTER (i = 1) OVER w END, 0), 6) AS spread
+FROM ev WINDOW w AS (PARTITION BY scene_id)"""
+
+
+@query("w17_p_value_sweep", "v_welch v_box", _SWEEP)
+def w17p(spark, sf):
+    facts = _box(spark, sf).select("scene_id", "r", "c", "inside", F.col("own").alias("enh"), "area_m2", "n_air", "u10", "u10_sigma")
+    out = plume.p_value_sweep(_dense(spark, sf), ~_inside(), facts)
+    return out.select("scene_id", "p_value", "n_px", rnd("q_t_h").alias("q_t_h"), rnd("spread").alias("spread"))
+
+
 @query("f9_rate_bounds", "v_quant", _SPREAD + """,
 t AS (SELECT *, sqrt(wind_total ** 2 + (spread / 2) ** 2) AS s FROM v_quant JOIN sp USING (scene_id) WHERE thr = 100)
 SELECT scene_id, round(s, 6) AS sigma, round(q_t_h / bias * (1 - s), 6) AS low, round(q_t_h * (1 + s), 6) AS high FROM t""")

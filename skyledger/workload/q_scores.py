@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..functions import physics as P
 from ..functions import scoring as S
-from ..operators import attribution, plume, quality, reporting
+from ..operators import attribution, climate, plume, quality, reporting
 from ..session import materialise
 from . import fixtures as X
 from .registry import query, rnd
@@ -147,17 +147,22 @@ def a40(spark, sf):
     return m.where("year < 2001").join(e, ["region_id", "lat_i", "lon_i"]).groupBy("region_id", "lat_i", "lon_i").agg(attribution.percent_rank(F.col("m"), F.col("e")).alias("pct"))
 
 
-@query("a41_wind_climatology", "v_weather", """
-d AS (SELECT cell_j, (dayofyear(to_timestamp(ts)::TIMESTAMP) - 1) // 5 AS yr, dayofyear(to_timestamp(ts)::TIMESTAMP) AS dd, avg(u) AS u, avg(v) AS v FROM v_weather GROUP BY ALL),
-y AS (SELECT cell_j, yr, avg(u) AS u, avg(v) AS v FROM d GROUP BY ALL), c AS (SELECT cell_j, avg(u) AS uc, avg(v) AS vc FROM y WHERE yr < 5 GROUP BY 1)
-SELECT cell_j, round(sqrt(u * u + v * v), 6) AS speed, round((degrees(atan2(-u, -v)) + 360) % 360, 6) AS from_deg, round((degrees(atan2(-uc, -vc)) + 360) % 360, 6) AS clim_from_deg, round(sqrt((u - uc) ** 2 + (v - vc) ** 2), 6) AS anomaly FROM y JOIN c USING (cell_j) WHERE yr = 5""")
+@query("a41_wind_climatology", "", """
+g AS (SELECT l_suppkey // 50 AS region_id, year(l_shipdate) AS yr, l_shipdate::DATE AS d, 22.0::DOUBLE + 4 * (l_partkey % 4) AS lat, l_suppkey % 4 AS lon_i,
+ avg(l_discount * 100 - 5) AS u, avg(l_tax * 100 - 4) AS v FROM lineitem WHERE month(l_shipdate) IN (6, 7) AND year(l_shipdate) <= 2001 GROUP BY ALL),
+d AS (SELECT region_id, yr, d, sum(u * cos(radians(lat))) / sum(cos(radians(lat))) AS u, sum(v * cos(radians(lat))) / sum(cos(radians(lat))) AS v FROM g GROUP BY ALL),
+y AS (SELECT region_id, yr, avg(u) AS u, avg(v) AS v FROM d GROUP BY ALL),
+c AS (SELECT region_id, avg(u) AS uc, avg(v) AS vc, count(*) AS n_years FROM y WHERE yr < 2001 GROUP BY 1)
+SELECT region_id, coalesce(n_years, 0) AS n_years, round(sqrt(u * u + v * v), 6) AS speed, round((degrees(atan2(-u, -v)) + 360) % 360, 6) AS from_deg, round((degrees(atan2(-uc, -vc)) + 360) % 360, 6) AS clim_from_deg,
+ round(u - uc, 6) AS du, round(v - vc, 6) AS dv, round(sqrt((u - uc) ** 2 + (v - vc) ** 2), 6) AS anomaly FROM y LEFT JOIN c USING (region_id) WHERE yr = 2001""")
 def a41(spark, sf):
-    day = F.dayofyear(F.timestamp_seconds("ts"))
-    d = X.v_weather(spark, sf).groupBy("cell_j", F.floor((day - 1) / 5).alias("yr"), day.alias("dd")).agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
-    y = d.groupBy("cell_j", "yr").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
-    c = y.where("yr < 5").groupBy("cell_j").agg(F.avg("u").alias("uc"), F.avg("v").alias("vc"))
-    u, v, uc, vc = (F.col(x) for x in ("u", "v", "uc", "vc"))
-    return y.where("yr = 5").join(c, "cell_j").select("cell_j", rnd(F.hypot(u, v)).alias("speed"), rnd(P.wind_from_deg(u, v)).alias("from_deg"), rnd(P.wind_from_deg(uc, vc)).alias("clim_from_deg"), rnd(F.hypot(u - uc, v - vc)).alias("anomaly"))
+    li = X.table(spark, sf, "lineitem", ["l_partkey", "l_suppkey", "l_shipdate", "l_discount", "l_tax"])
+    day = F.to_date("l_shipdate")
+    cell = [F.expr("l_suppkey div 50").alias("region_id"), F.year(day).alias("year"), day.alias("day"), F.expr("22.0D + 4 * (l_partkey % 4)").alias("lat"), F.expr("l_suppkey % 4").alias("lon_i")]
+    winds = li.where(F.month(day).isin(6, 7) & (F.year(day) <= 2001)).groupBy(*cell).agg(
+        F.avg(F.col("l_discount") * 100 - 5).alias("u"), F.avg(F.col("l_tax") * 100 - 4).alias("v"))
+    out = climate.wind_climatology(winds, ["region_id"], 2001)
+    return out.select("region_id", "n_years", *[rnd(c).alias(c) for c in ("speed", "from_deg", "clim_from_deg", "du", "dv", "anomaly")])
 
 
 # ------------------------------------------------------------------ factor hypotheses

@@ -93,16 +93,23 @@ def f17(spark, sf):
     return v.select("tile", K.overpass_hour_utc(F.col("view_time_h"), 60.0 + F.col("tile") * 5).alias("hour_utc"))
 
 
-@query("j10_product_consistency", "v_lst v_grid", _LST + """,
+@query("j10_product_consistency", "v_lst v_land", _LST + "," + _VIEW + """,
+oh AS (SELECT CAST(((round_even(avg(v) - 71.5::DOUBLE / 15, 0) % 24) + 24) % 24 AS BIGINT) AS hour FROM vt),
 m AS (SELECT tile, day, avg(lst) AS k, count(lst) AS n FROM daily GROUP BY ALL HAVING count(lst) > 0), md AS (SELECT day, sum(k * n) / sum(n) AS k FROM m GROUP BY 1),
-g AS (SELECT day, avg(tmax) + 273.15::DOUBLE AS s FROM v_grid GROUP BY 1), d AS (SELECT k - s AS x FROM md JOIN g USING (day))
-SELECT count(*) AS n_days, round(avg(x), 4) AS mean_diff, round(stddev_pop(x), 4) AS std_diff FROM d""")
+sk AS (SELECT l_shipdate::DATE AS day, l_orderkey % 24 AS hour, l_suppkey // 50 AS region_id, l_partkey % 4 AS lat_i, l_suppkey % 4 AS lon_i, avg(l_quantity) + 273.15::DOUBLE AS k FROM lineitem GROUP BY ALL),
+g AS (SELECT day, hour, avg(sk.k) AS s FROM sk JOIN oh USING (hour) JOIN v_land USING (region_id, lat_i, lon_i) WHERE lsm > 0.5 GROUP BY ALL),
+d AS (SELECT hour, k - s AS x FROM md JOIN g USING (day))
+SELECT hour AS hour_utc, count(*) AS n_days, round(avg(x), 4) AS mean_diff, round(stddev_pop(x), 4) AS std_diff FROM d GROUP BY 1""")
 def j10(spark, sf):
-    m = _daily(spark, sf).groupBy("tile", "day").agg(F.avg("lst").alias("k"), F.count("lst").alias("n")).where("n > 0")
-    md = m.groupBy("day").agg((F.sum(F.col("k") * F.col("n")) / F.sum("n")).alias("k"))
-    g = X.v_grid(spark, sf).groupBy("day").agg((F.avg("tmax") + 273.15).alias("s"))
-    d = md.join(g, "day").select((F.col("k") - F.col("s")).alias("x"))
-    return d.agg(F.count("*").alias("n_days"), rnd(F.avg("x"), 4).alias("mean_diff"), rnd(F.stddev_pop("x"), 4).alias("std_diff"))
+    daily = _daily(spark, sf)
+    granules = daily.groupBy("tile", "day").agg(F.avg("lst").alias("k"), F.count("lst").alias("n"))
+    hour = surface.mean_view_time(daily.withColumn("all", F.lit(1)), ["tile", "day"], ["all"]).select(K.overpass_hour_utc(F.col("view_time_h"), 71.5).alias("hour_utc"))
+    li = X.table(spark, sf, "lineitem", ["l_orderkey", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity"])
+    cell = [F.expr("l_suppkey div 50").alias("region_id"), F.expr("l_partkey % 4").alias("lat_i"), F.expr("l_suppkey % 4").alias("lon_i")]
+    skin = li.groupBy(F.to_date("l_shipdate").alias("day"), F.expr("l_orderkey % 24").alias("hour"), *cell).agg((F.avg("l_quantity") + 273.15).alias("k"))
+    skin = skin.join(X.v_land(spark, sf).select("region_id", "lat_i", "lon_i", "lsm"), ["region_id", "lat_i", "lon_i"])
+    out = surface.skin_consistency(granules, skin, hour)
+    return out.select("hour_utc", "n_days", rnd("mean_diff", 4).alias("mean_diff"), rnd("std_diff", 4).alias("std_diff"))
 
 
 # ------------------------------------------------------------------ urban contrast
