@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,7 @@ from ..functions import physics as P
 from ..functions.numeric import t_upper_tail
 from ..session import materialise
 from . import stencil
+from .asof import bracket_interpolate
 from .components import label_regions
 from .percentiles import exact_percentiles
 
@@ -148,6 +151,41 @@ def upwind_source(cells: DataFrame, wind: DataFrame) -> DataFrame:
     return top.withColumn("dist_km", F.hypot(dx, dy) / 1000.0)
 
 
+def source_wind_check(cells: DataFrame, when: DataFrame, samples: DataFrame, keys: list[str], place: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rate with the wind at the plume's source against the rate with the wind at its centroid.
+
+    ``cells``: mask cells with ``scene_id, lon, lat, enh, area_m2, n_air``; ``when``: ``scene_id, t``
+    (epoch seconds); ``samples``: ``keys, ts, u, v``; ``place`` adds the sample grid's ``keys`` to rows
+    of ``scene_id, lon, lat``. The wind is interpolated at the centroid; it points to the source,
+    where it is interpolated once more. One row per scene of ``cells``; ``status`` tells where no
+    sample was near in time or the wind stood still, and the values that need it are NULL.
+    """
+
+    def wind_at(points: DataFrame) -> DataFrame:
+        asked = place(points).join(when, "scene_id").select(*keys, F.col("scene_id").alias("request_id"), "t")
+        found = bracket_interpolate(asked, samples, keys, ["u", "v"])
+        speed = F.hypot("u", "v")
+        return materialise(found.where((F.col("status") == "ok") & (speed > 0)).select(
+            F.col("request_id").alias("scene_id"), "u", "v", speed.alias("u10"), P.u10_sample_sigma(F.col("hour_distance")).alias("u10_sigma")
+        ), "wind-at")
+
+    mask = cells.select("scene_id", "lon", "lat", "enh", "area_m2", "n_air")
+    first = wind_at(mask.groupBy("scene_id").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat")))
+    source = materialise(upwind_source(mask.select("scene_id", "lon", "lat"), first.select("scene_id", "u", "v")), "source")
+    second = wind_at(source.select("scene_id", F.col("source_lon").alias("lon"), F.col("source_lat").alias("lat")))
+
+    def rate(wind: DataFrame, end: str) -> DataFrame:
+        q = quantify(mask.join(wind.select("scene_id", "u10", "u10_sigma"), "scene_id"), ["scene_id"])
+        return q.select("scene_id", F.col("u10").alias(f"u10_{end}"), F.col("q_t_h").alias(f"q_{end}"))
+
+    out = mask.select("scene_id").distinct().join(rate(first, "centroid"), "scene_id", "left").join(rate(second, "source"), "scene_id", "left")
+    out = out.join(source.select("scene_id", "source_lon", "source_lat", "dist_km"), "scene_id", "left")
+    rel = F.abs(F.col("q_source") - F.col("q_centroid")) / F.when(F.col("q_centroid") != 0, F.abs("q_centroid"))
+    status = F.when(F.col("q_centroid").isNull(), "no wind at centroid").when(F.col("q_source").isNull(), "no wind at source").otherwise("ok")
+    return out.select("*", (F.col("u10_source") - F.col("u10_centroid")).alias("delta_u10"), rel.alias("rel_delta"),
+                      (rel >= C.MATERIAL_DELTA_Q).alias("material"), status.alias("status"))
+
+
 def p_value_sweep(dense: DataFrame, is_background: Column, facts: DataFrame, p_values: tuple[float, ...] = C.SEG_P_VALUES,
                   central: float = C.T_TEST_P, min_px: int = 10) -> DataFrame:
     """The plume's rate for every significance level: ``scene_id, p_value, n_px, q_t_h, spread``.

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from ..operators import plume, raster, stencil
 from ..operators.percentiles import exact_percentiles
 from ..session import materialise
 from . import fixtures as X
+from .q_geo import _BRACKET
 from .registry import big, query, rnd
 
 THRESHOLDS = (60.0, 100.0, 150.0, 200.0, 900.0)
@@ -448,18 +451,41 @@ def w15(spark, sf):
     return s.select("scene_id", rnd("source_lon").alias("source_lon"), rnd("source_lat").alias("source_lat"), "n_top", rnd("dist_km").alias("dist_km"))
 
 
-@query("w16_source_vs_centroid", "v_foot v_quant", _UPWIND + """,
-s AS (SELECT scene_id, q_t_h, u_eff, q_t_h / u_eff * (ln(u10 + source_lat - src.clat + 0.5::DOUBLE) + 0.6::DOUBLE) AS q_src FROM v_quant JOIN src USING (scene_id) WHERE thr = 100)
-SELECT scene_id, round(q_t_h, 6) AS q_centroid, round(q_src, 6) AS q_source, round(abs(q_src - q_t_h) / q_t_h, 6) AS rel_delta, abs(q_src - q_t_h) / q_t_h >= 0.10 AS material FROM s""")
+_PLACE_SQL = "ceil((lat - 39.07) / 0.03 - 0.5)::BIGINT % 2 AS cell_i, 0 AS cell_j"
+_BANDS_SQL = "(SELECT cell_i % 2 AS cell_i, 0 AS cell_j, ts, avg(u) AS u, avg(v) AS v, 0 AS sp FROM v_weather GROUP BY ALL)"
+
+
+def _bracket(end: str, points: str) -> str:
+    """The bracket join of ``points`` (scene_id, lon, lat) as CTEs whose names begin with ``end``."""
+    text = re.sub(r"\b(rq|sm|nb|be|bo|ln|ip|vl)\b", rf"{end}\1", _BRACKET.strip()).replace("v_weather", _BANDS_SQL)
+    asked = f"{end}rq AS (SELECT scene_id AS request_id, 1704888900 + 3600 * scene_id AS t, {_PLACE_SQL} FROM ({points})),"
+    return asked + text[text.index(f"{end}sm AS") :] + f", {end}w AS (SELECT request_id AS scene_id, u, v, sqrt(u * u + v * v) AS u10 FROM {end}vl WHERE ok AND u * u + v * v > 0)"
+
+
+@query("w16_source_vs_centroid", "v_foot v_weather", f"""
+f AS (SELECT * FROM v_foot WHERE thr = 100), ce AS (SELECT scene_id, avg(lon) AS clon, avg(lat) AS clat FROM f GROUP BY 1),
+{_bracket('a', 'SELECT scene_id, clon AS lon, clat AS lat FROM ce')},
+pr AS (SELECT f.scene_id, lon, lat, clon, clat, ((lon - clon) * 111319.49::DOUBLE * cos(radians(clat)) * -u - (lat - clat) * 111319.49::DOUBLE * v) / aw.u10 AS proj FROM f JOIN ce USING (scene_id) JOIN aw USING (scene_id)),
+cu AS (SELECT scene_id, quantile_cont(proj, 0.95) AS cut FROM pr GROUP BY 1),
+src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_lat FROM pr JOIN cu USING (scene_id) WHERE proj >= cut - 1e-9 GROUP BY ALL),
+{_bracket('b', 'SELECT scene_id, source_lon AS lon, source_lat AS lat FROM src')},
+ms AS (SELECT scene_id, coalesce(sum(enh * 1e-6::DOUBLE * 0.01604::DOUBLE * area_m2), 0) * any_value(n_air) / sqrt(sum(area_m2)) * 3.6::DOUBLE AS m FROM f GROUP BY 1),
+q AS (SELECT ms.scene_id, source_lat, sqrt(((source_lon - clon) * 111319.49 * cos(radians(clat))) ** 2 + ((source_lat - clat) * 111319.49) ** 2) / 1000 AS dist_km, aw.u10 AS ua, bw.u10 AS ub,
+ m * (ln(aw.u10) + 0.6::DOUBLE) AS qa, m * (ln(bw.u10) + 0.6::DOUBLE) AS qb FROM ms LEFT JOIN aw USING (scene_id) LEFT JOIN src USING (scene_id) LEFT JOIN bw USING (scene_id))
+SELECT scene_id, round(dist_km, 6) AS dist_km, round(ua, 6) AS u10_centroid, round(ub, 6) AS u10_source, round(ub - ua, 6) AS delta_u10, round(qa, 6) AS q_centroid, round(qb, 6) AS q_source,
+ round(abs(qb - qa) / abs(qa), 6) AS rel_delta, abs(qb - qa) / abs(qa) >= 0.1 AS material, CASE WHEN qa IS NULL THEN 'no wind at centroid' WHEN qb IS NULL THEN 'no wind at source' ELSE 'ok' END AS status FROM q""")
 def w16(spark, sf):
+    """The weather's even and odd rows lie in turn over narrow bands of every scene; scenes are taken at successive hours."""
+
+    def place(points):
+        return points.withColumn("cell_i", raster.nearest_index(F.col("lat"), 39.07, 0.03) % 2)
+
     cells = materialise(_foot(spark, sf, (CENTRAL,)), "footprint")
-    src = plume.upwind_source(cells.select("scene_id", "lon", "lat"), _wind(spark, sf))
-    # The wind at the source point differs from the centroid's by the offset between them.
-    moved = cells.join(src.select("scene_id", (F.col("source_lat") - F.col("clat") + 0.5).alias("_du")), "scene_id").withColumn("u10", F.col("u10") + F.col("_du"))
-    a = plume.quantify(cells, ["scene_id"]).select("scene_id", F.col("q_t_h").alias("a"))
-    b = plume.quantify(moved, ["scene_id"]).select("scene_id", F.col("q_t_h").alias("b"))
-    rel = F.abs(F.col("b") - F.col("a")) / F.col("a")
-    return a.join(b, "scene_id").select("scene_id", rnd("a").alias("q_centroid"), rnd("b").alias("q_source"), rnd(rel).alias("rel_delta"), (rel >= C.MATERIAL_DELTA_Q).alias("material"))
+    when = X.v_extent(spark, sf).select("scene_id", (1704888900 + 3600 * F.col("scene_id")).alias("t"))
+    bands = X.v_weather(spark, sf).groupBy((F.col("cell_i") % 2).alias("cell_i"), "ts").agg(F.avg("u").alias("u"), F.avg("v").alias("v"))
+    out = plume.source_wind_check(cells, when, bands, ["cell_i"], place)
+    names = ("dist_km", "u10_centroid", "u10_source", "delta_u10", "q_centroid", "q_source", "rel_delta")
+    return out.select("scene_id", *[rnd(c).alias(c) for c in names], "material", "status")
 
 
 def _spread(spark, sf):

@@ -166,3 +166,36 @@ def test_shape_mismatch_is_reported(spark):
     a, b = to_df(spark, np.ones((3, 3))), to_df(spark, np.ones((2, 3)))
     p = raster.pair_rasters(a.select("scene_id", "r", "c", "value"), b.select("scene_id", "r", "c", "value"))
     assert {r.status for r in p.collect()} == {"grid mismatch"}
+
+
+def test_wind_at_the_source_moves_the_rate(spark):
+    """Wind from the west over a mask of one row: the source is its west end, where the wind is three times as strong."""
+    cells = [(s, 10.0 + 0.01 * i, 20.0, 500.0, 3600.0, 40.0) for s in (1, 2, 3) for i in range(40)]
+    cells = spark.createDataFrame(cells, "scene_id long, lon double, lat double, enh double, area_m2 double, n_air double")
+    when = spark.createDataFrame([(1, 1800), (2, 90_000), (3, 1800)], "scene_id long, t long")
+    samples = [(k, t, u, 0.0) for k, u in ((0, 6.0), (1, 2.0)) for t in (0, 3600)]
+    samples = spark.createDataFrame(samples, "k long, ts long, u double, v double")
+    place = lambda p: p.withColumn("k", F.when(F.col("lon") < 10.05, 0).when(F.col("scene_id") == 3, 7).otherwise(1).cast("long"))
+    got = {r.scene_id: r for r in plume.source_wind_check(cells, when, samples, ["k"], place).collect()}
+    assert got[1].status == "ok" and (got[1].u10_centroid, got[1].u10_source, got[1].delta_u10) == (2.0, 6.0, 4.0)
+    assert got[1].source_lon == pytest.approx(10.005, abs=0.006) and got[1].material and got[1].rel_delta == pytest.approx((np.log(6) + 0.6) / (np.log(2) + 0.6) - 1)
+    assert got[2].status == got[3].status == "no wind at centroid" and got[2].q_centroid is None and got[3].dist_km is None
+
+
+def test_significance_levels_share_one_segmentation(spark):
+    rng = np.random.default_rng(9)
+    grid = rng.normal(0, 1, (40, 40))
+    grid[10:22, 10:24] += 1.2
+    dense = [(5, r, c, 40, 40, float(grid[r, c])) for r in range(40) for c in range(40)]
+    dense = spark.createDataFrame(dense, "scene_id long, r long, c long, ny long, nx long, value double")
+    box = F.col("r").between(5, 28) & F.col("c").between(5, 28)
+    facts = dense.select("scene_id", "r", "c", box.alias("inside"), (F.col("value") + 5).alias("enh"), F.lit(3600.0).alias("area_m2"), F.lit(40.0).alias("n_air"), F.lit(4.0).alias("u10"), F.lit(1.0).alias("u10_sigma"))
+    rows = {r.p_value: r for r in plume.p_value_sweep(dense, ~box, facts, (1e-12, 0.01, 0.05, 0.1)).collect()}
+    assert rows[1e-12].n_px == 0 and rows[1e-12].q_t_h is None
+    assert 100 < rows[0.01].n_px <= rows[0.05].n_px <= rows[0.1].n_px
+    rates = [rows[p].q_t_h for p in (0.01, 0.05, 0.1)]
+    assert rows[0.05].spread == pytest.approx((max(rates) - min(rates)) / rows[0.05].q_t_h)
+    for p in (0.01, 0.1):
+        labels = plume.segment(dense, ~box, p).join(facts, ["scene_id", "r", "c"])
+        first = labels.where("inside").groupBy("label").count().orderBy(F.desc("count"), "label").first().label
+        assert labels.where(F.col("label") == first).count() == rows[p].n_px
