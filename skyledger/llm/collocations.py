@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +81,11 @@ def parse(docs: DataFrame, max_words: int = MAX_WORDS) -> DataFrame:
         starts, held = _Starts(), _Held("chunk")
         for batch in batches:
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                for words in pieces(text or ""):
-                    for chunk in chunks(words, starts, overlap):
-                        held.add(lang, chunk.decode(), 1)
-                    if held.full():
-                        yield held.emptied()
+                found = [c for words in pieces(text or "") for c in chunks(words, starts, overlap)]
+                # One decoding for a text: no word holds a line end.
+                held.add(lang, b"\n".join(found).decode().split("\n") if found else [], repeat(1))
+                if held.full():
+                    yield held.emptied()
         yield held.emptied()
 
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
@@ -98,16 +101,15 @@ class _Held:
         self.names = ["lang", name, "times"]
         self.size = self.entries = 0
 
-    def add(self, lang: str, text: str, times: int) -> None:
-        own = self.counts.get(lang)
-        if own is None:
-            own = self.counts[lang] = {}
-        if text in own:
-            own[text] += times
-        else:
-            own[text] = times
-            self.size += len(text)
-            self.entries += 1
+    def add(self, lang: str, texts: list[str], times: Iterable[int]) -> None:
+        own = self.counts.setdefault(lang, {})
+        known, before = own.get, len(own)
+        for text, n in zip(texts, times):
+            own[text] = known(text, 0) + n
+        added = len(own) - before
+        if added:
+            self.entries += added
+            self.size += added * sum(map(len, texts)) // len(texts)
 
     def full(self) -> bool:
         return self.size > HELD_BYTES or self.entries > HELD
@@ -120,36 +122,46 @@ class _Held:
         return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(texts, pa.string()), pa.array(times, pa.int64())], names=self.names)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > HELD:
-            self.clear()
-        self[word] = zlib.crc32(word.encode())
-        return self[word]
+class _Placed(NamedTuple):
+    """The words of a batch of chunks, chunk after chunk; arrays have a value for each word."""
+
+    langs: list[str]
+    names: list[str]
+    lang: np.ndarray
+    code: np.ndarray
+    times: np.ndarray
+    own: np.ndarray
+    pair: np.ndarray
+    bucket: np.ndarray
+
+
+def _crc(words: list[str]) -> np.ndarray:
+    return np.array([zlib.crc32(w.encode()) for w in words], np.uint64)
 
 
-def _placed(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[str, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Chunks of one language at a time: ``lang, words, times, own, pair, bucket``, the last four for each word.
+def _placed(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[_Placed]:
+    """Batches of chunks as arrays: ``lang`` and ``code`` point into ``langs`` and ``names``.
 
     ``own`` marks a chunk's own words, ``pair`` those followed by a word in their piece, and
-    ``bucket`` is where the pair of the two words is counted.
+    ``bucket`` is where the pair of the two words is counted. A word is hashed once per batch.
     """
-    known = _Hashes()
-    for batch in groups(batches, 1 << 20):
-        by_lang: dict[str, list[tuple[list[str], int]]] = {}
-        for lang, chunk, times in zip(*(batch.column(c).to_pylist() for c in ("lang", "chunk", "times"))):
-            by_lang.setdefault(lang, []).append((chunk.split(" "), times))
-        for lang, rows in by_lang.items():
-            words = [w for split, _ in rows for w in split]
-            sizes = np.array([len(split) for split, _ in rows])
-            ended = np.array([split[-1] == END for split, _ in rows])
-            ends = np.cumsum(sizes)
-            place = np.arange(len(words))
-            own = place < np.repeat(ends - overlap, sizes)
-            pair = place + 1 < np.repeat(ends - overlap * ended, sizes)
-            h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-            mixed = (h * _MIX[0] + np.roll(h, -1) + np.uint64(zlib.crc32(lang.encode()))) * _MIX[1]
-            yield lang, words, np.repeat([n for _, n in rows], sizes), own, pair, (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+    for batch in groups(batches, 4 << 20):
+        if not batch.num_rows:
+            continue
+        split = pc.split_pattern(batch.column("chunk").cast(pa.large_string()), " ")
+        coded, langs = split.values.dictionary_encode(), batch.column("lang").dictionary_encode()
+        names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
+        offsets = split.offsets.to_numpy().astype(np.int64)
+        sizes, ends = np.diff(offsets), offsets[1:]
+        ended = code[ends - 1] == (names.index(END) if END in names else -1)
+        lang = np.repeat(langs.indices.to_numpy().astype(np.int64), sizes)
+        place = np.arange(len(code))
+        own = place < np.repeat(ends - overlap, sizes)
+        pair = place + 1 < np.repeat(ends - overlap * ended, sizes)
+        h = _crc(names)[code]
+        mixed = (h * _MIX[0] + np.roll(h, -1) + _crc(langs.dictionary.to_pylist())[lang]) * _MIX[1]
+        bucket = (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        yield _Placed(langs.dictionary.to_pylist(), names, lang, code, np.repeat(batch.column("times").to_numpy(), sizes), own, pair, bucket)
 
 
 def busy_buckets(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> bytes:
@@ -164,9 +176,10 @@ def busy_buckets(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEA
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters = np.zeros(1 << BUCKET_BITS, np.uint8)
-        for _, _, times, own, pair, bucket in _placed(batches, overlap):
-            found, place = np.unique(bucket[own & pair], return_inverse=True)
-            sums = np.bincount(place, weights=np.minimum(times[own & pair], stop), minlength=len(found))
+        for rows in _placed(batches, overlap):
+            counted = rows.own & rows.pair
+            found, place = np.unique(rows.bucket[counted], return_inverse=True)
+            sums = np.bincount(place, weights=np.minimum(rows.times[counted], stop), minlength=len(found))
             counters[found] = np.minimum(counters[found] + sums, stop)
         for i, block in enumerate(counters.reshape(BLOCKS, -1)):
             if block.any():
@@ -198,18 +211,25 @@ def phrase_counts(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, held = np.frombuffer(busy.value, np.uint8), _Held("phrase")
-        for lang, words, times, own, pair, bucket in _placed(batches, overlap):
-            weights = times.tolist()
-            held.add(lang, "", int(times[own].sum()))
-            for i in np.flatnonzero(own).tolist():
-                held.add(lang, words[i], weights[i])
-            link = np.zeros(len(words) + overlap, bool)
-            link[: len(words)] = pair & (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8) & 1).astype(bool)
-            chain = own.copy()
-            for n in range(2, max_words + 1):
-                chain = chain & link[n - 2 : n - 2 + len(words)]
-                for i in np.flatnonzero(chain).tolist():
-                    held.add(lang, " ".join(words[i : i + n]), weights[i])
+        for rows in _placed(batches, overlap):
+            link = rows.pair & (bits[rows.bucket >> 3] >> (7 - (rows.bucket & 7)).astype(np.uint8) & 1).astype(bool)
+            at, size = np.flatnonzero(rows.own), len(rows.names)
+            # An n-gram's code is its place among the batch's distinct ones; the empty phrases of the languages are the first.
+            code, texts, lang = rows.lang[at], [""] * len(rows.langs), np.arange(len(rows.langs))
+            for n in range(max_words + 1):
+                if n > 1:
+                    goes_on = link[at + n - 2]
+                    at, code = at[goes_on], code[goes_on]
+                if n:
+                    found, code = np.unique(code * size + rows.code[at + n - 1], return_inverse=True)
+                    head, tail = found // size, found % size
+                    texts = [f"{texts[i]} {rows.names[j]}" if n > 1 else rows.names[j] for i, j in zip(head.tolist(), tail.tolist())]
+                    lang = lang[head]
+                sums = np.bincount(code, weights=rows.times[at], minlength=len(texts)).astype(np.int64).tolist()
+                ends = np.searchsorted(lang, np.arange(len(rows.langs) + 1)).tolist()
+                for name, i, j in zip(rows.langs, ends, ends[1:]):
+                    if j > i:
+                        held.add(name, texts[i:j], sums[i:j])
             if held.full():
                 yield held.emptied()
         yield held.emptied()
