@@ -8,13 +8,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import apply_runtime_conf
+from ..session import apply_runtime_conf, materialise
 
 #: A word: a run without the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
-#: Bounds of a labelled sample: documents, and bytes of their texts (whole texts, in hash order, until it is full).
-SAMPLE_ROWS, SAMPLE_BYTES = 6_000, 24_000_000
+#: Bounds of a labelled sample: documents, bytes of their texts, and bytes of a single text (longer ones are passed over).
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_LONGEST = 6_000, 24_000_000, 240_000
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -63,17 +63,22 @@ def per_text(
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, n: int, held_out: int, rows: int, size: int) -> list[tuple[str, int]]:
     """Whole texts and labels of at most ``rows`` labelled documents and ``size`` bytes, in the order of a hash of the id.
 
-    Rows whose id has the remainder ``held_out`` by ``n`` are left out, as are rows without an id or a label.
+    Rows whose id has the remainder ``held_out`` by ``n`` are left out, as are rows without
+    an id or a label, and texts of more than ``SAMPLE_LONGEST`` bytes. The bytes are added
+    up over ids and lengths alone; only chosen texts are read. Of several texts of one id
+    the first in their order counts.
     """
     marked = labels.where(id_remainder(F.col("doc_id"), n) != held_out).where(F.col(target).isNotNull())
     marked = marked.groupBy("doc_id").agg(F.max(target).alias("label")).withColumn("order", F.xxhash64("doc_id"))
     marked = marked.orderBy("order", "doc_id").limit(rows)
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(marked), "doc_id")
-    texts = texts.where(F.octet_length("text") <= size)
-    texts = texts.groupBy("doc_id", "order", "label").agg(F.first("text").alias("text"))
-    before = F.sum(F.octet_length("text")).over(Window.orderBy("order", "doc_id"))
-    kept = texts.withColumn("sum", before).where(F.col("sum") <= size).select("text", "label")
-    return [(r["text"], int(r["label"])) for r in kept.toLocalIterator()]
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lengths = texts.select("doc_id", F.octet_length("text").alias("bytes")).join(F.broadcast(marked), "doc_id")
+    lengths = lengths.groupBy("doc_id", "order", "label").agg(F.max("bytes").alias("bytes"))
+    lengths = lengths.where(F.col("bytes") <= min(SAMPLE_LONGEST, size))
+    chosen = lengths.withColumn("sum", F.sum("bytes").over(Window.orderBy("order", "doc_id"))).where(F.col("sum") <= size)
+    chosen = materialise(chosen.select("doc_id", "order", "label"), "labelled_ids")
+    kept = texts.join(F.broadcast(chosen), "doc_id").groupBy("order", "doc_id", "label").agg(F.min("text").alias("text"))
+    return [(r["text"], int(r["label"])) for r in sorted(kept.toLocalIterator(), key=lambda r: (r["order"], r["doc_id"]))]
 
 
 def tree_nodes(tree):

@@ -37,12 +37,12 @@ def tokens(text: Column) -> Column:
 
 
 def segments(files: DataFrame) -> DataFrame:
-    """``file, segment``: the windows of every line that mention a licence; long lines give several."""
+    """``file, version, segment``: the windows of every line that mention a licence; long lines give several."""
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: x.rlike(CUE))
-    line = files.where(F.col("text").rlike(CUE)).select("file", F.explode(lines).alias("line"))
-    words = line.select("file", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("w"))
+    line = files.where(F.col("text").rlike(CUE)).select("file", "version", F.explode(lines).alias("line"))
+    words = line.select("file", "version", F.regexp_extract_all("line", F.lit(WORD), F.lit(0)).alias("w"))
     starts = F.sequence(F.lit(1), F.greatest(F.size("w") - (WINDOW - STRIDE), F.lit(1)), F.lit(STRIDE))
-    cut = words.select("file", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s, WINDOW), " "))).alias("segment"))
+    cut = words.select("file", "version", F.explode(F.transform(starts, lambda s: F.array_join(F.slice("w", s, WINDOW), " "))).alias("segment"))
     return cut.where(F.col("segment").rlike(CUE))
 
 
@@ -106,51 +106,58 @@ def scan(files: DataFrame) -> DataFrame:
     NULL otherwise. Directories, not files, are joined with their ancestors, so a folder
     of millions of files is one row there. Of two licence files in one directory the more
     similar counts, then the first name. Other columns of ``files`` are kept as a struct
-    ``row``. NULL paths and texts are empty; repeated rows each get a row; an empty table
-    gives none.
+    ``row``. A row states what its own text states: rows that share a path are told apart
+    by a hash of the text, and share only their directory. Rows without a path have no
+    directory, so they neither grant nor inherit, and come out
+    with an empty one. NULL texts are empty; repeated rows each
+    get a row; an empty table gives none.
     """
     others = [c for c in files.columns if c not in ("file", "text")]
     row = F.struct(*others) if others else F.struct(F.lit(1).alias("row"))
-    files = files.select(F.coalesce("file", F.lit("")).alias("file"), F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
-    light = materialise(files.select("file", "row", F.regexp_count("text", F.lit(WORD)).alias("n_words")), "license_files")
-    cut = materialise(segments(files).groupBy("file", "segment").agg(F.count("*").alias("times")), "license_segments")
+    files = files.select("file", F.coalesce("text", F.lit("")).alias("text"), row.alias("row"))
+    files = files.withColumn("version", F.xxhash64("file", "text"))
+    light = materialise(files.select("file", "version", "row", F.regexp_count("text", F.lit(WORD)).alias("n_words")), "license_files")
+    cut = materialise(segments(files).groupBy("file", "version", "segment").agg(F.count("*").alias("times")), "license_segments")
     best = materialise(similarity(cut.select("segment").distinct()), "license_best")
     n = F.col("times") * F.size(F.split("segment", " "))
-    own = cut.join(best, "segment").groupBy("file").agg(
+    own = cut.join(best, "segment").groupBy("file", "version").agg(
         F.min(F.struct((-F.col("cosine")).alias("away"), "license")).alias("b"), F.sum(n).alias("covered")
     )
-    own = own.select(F.col("file").alias("own_file"), "b.license", (-F.col("b.away")).alias("cosine"), "covered")
-    named = F.col("file").rlike(r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying)(?:[.-][^/]*)?$")
+    own = own.select(F.col("file").alias("own_file"), F.col("version").alias("own_version"), "b.license", (-F.col("b.away")).alias("cosine"), "covered")
+    named = F.coalesce(F.col("file").rlike(r"(?i)(?:^|/)(?:un)?(?:licen[sc]e|copying)(?:[.-][^/]*)?$"), F.lit(False))
     whole = named | (2 * F.col("covered") >= F.col("n_words"))
-    how = F.when(F.col("own_file").isNotNull(), F.when(whole, "file").otherwise("header"))
-    stated = light.join(own, F.col("file") == F.col("own_file"), "left").select(
+    how = F.when(F.col("own_version").isNotNull(), F.when(whole, "file").otherwise("header"))
+    same = (F.col("version") == F.col("own_version")) & F.col("file").eqNullSafe(F.col("own_file"))
+    stated = light.join(own, same, "left").select(
         "file", "row", "license", "cosine", how.alias("how"), parent(F.col("file")).alias("folder")
     )
     stated = materialise(stated, "license_stated")
-    granted = stated.where("how = 'file'").groupBy("folder").agg(
+    granted = stated.where("how = 'file' and folder is not null").groupBy("folder").agg(
         F.min(F.struct((-F.col("cosine")).alias("away"), "license", "file")).alias("g")
     )
-    above = stated.where("how is null").select("folder").distinct().select("folder", F.explode(ancestors(F.col("folder"))).alias("up"))
+    above = stated.where("how is null and folder is not null").select("folder").distinct().select("folder", F.explode(ancestors(F.col("folder"))).alias("up"))
     near = above.join(granted.select(F.col("folder").alias("up"), "g"), "up").groupBy("folder").agg(
         F.max_by("g", F.length("up")).alias("g")
     )
     near = materialise(near.select(F.col("folder").alias("under"), F.col("g.license").alias("given"), F.col("g.file").alias("giver"), (-F.col("g.away")).alias("given_cosine")), "license_near")
     out = stated.join(near, F.col("how").isNull() & (F.col("folder") == F.col("under")), "left")
+    name = F.coalesce("file", F.lit(""))
     return out.select(
-        "file", "row", F.coalesce("license", "given").alias("license"), F.coalesce("cosine", "given_cosine").alias("cosine"),
+        name.alias("file"), "row", F.coalesce("license", "given").alias("license"), F.coalesce("cosine", "given_cosine").alias("cosine"),
         F.coalesce("how", F.when(F.col("given").isNotNull(), "inherited")).alias("how"),
-        F.when(F.col("how").isNotNull(), F.col("file")).otherwise(F.col("giver")).alias("licensed_by"),
+        F.when(F.col("how").isNotNull(), name).otherwise(F.col("giver")).alias("licensed_by"),
     )
 
 
 def document_path(doc_id: Column, source: Column, lang: Column) -> Column:
-    """A path for a document that has none: source, language, two levels of folders by id."""
+    """A path for a document that has none: source, language, two levels of folders by id; NULL without an id."""
     def part(c: Column) -> Column:
         return F.coalesce(c.cast("string"), F.lit("none"))
 
-    return F.concat_ws(
+    path = F.concat_ws(
         "/", part(source), part(lang), part(F.floor(doc_id / 512)), part(F.floor(doc_id / 32)), F.concat(part(doc_id), F.lit(".txt"))
     )
+    return F.when(doc_id.isNotNull(), path)
 
 
 def op3(docs: DataFrame) -> DataFrame:
@@ -163,18 +170,18 @@ _VALUES = ", ".join("('%s', '%s')" % pair for pair in TEMPLATES)
 OP3_SQL = rf"""
 WITH tp(license, segment) AS (VALUES {_VALUES}),
 d AS (
-  SELECT doc_id, coalesce(text, '') AS text, concat_ws('/', coalesce(source, 'none'), coalesce(lang, 'none'),
-    coalesce((doc_id // 512)::VARCHAR, 'none'), coalesce((doc_id // 32)::VARCHAR, 'none'), coalesce(doc_id::VARCHAR, 'none') || '.txt') AS file
+  SELECT doc_id, coalesce(text, '') AS text, md5(coalesce(text, '')) AS ver, CASE WHEN doc_id IS NOT NULL THEN concat_ws('/', coalesce(source, 'none'),
+    coalesce(lang, 'none'), (doc_id // 512)::VARCHAR, (doc_id // 32)::VARCHAR, doc_id::VARCHAR || '.txt') END AS file
   FROM documents
 ), li AS (
-  SELECT file, unnest(string_split(text, chr(10))) AS line FROM d
+  SELECT file, ver, unnest(string_split(text, chr(10))) AS line FROM d
 ), wd AS (
-  SELECT file, regexp_extract_all(line, '{WORD}') AS w FROM li WHERE regexp_matches(line, '{CUE}')
+  SELECT file, ver, regexp_extract_all(line, '{WORD}') AS w FROM li WHERE regexp_matches(line, '{CUE}')
 ), sg AS (
-  SELECT file, array_to_string(list_slice(w, s, s + {WINDOW - 1}), ' ') AS segment
-  FROM (SELECT file, w, unnest(range(1, greatest(len(w) - {WINDOW - STRIDE}, 1) + 1, {STRIDE})) AS s FROM wd)
+  SELECT file, ver, array_to_string(list_slice(w, s, s + {WINDOW - 1}), ' ') AS segment
+  FROM (SELECT file, ver, w, unnest(range(1, greatest(len(w) - {WINDOW - STRIDE}, 1) + 1, {STRIDE})) AS s FROM wd)
 ), ct AS (
-  SELECT file, segment, count(*) AS times FROM sg WHERE regexp_matches(segment, '{CUE}') GROUP BY ALL
+  SELECT file, ver, segment, count(*) AS times FROM sg WHERE regexp_matches(segment, '{CUE}') GROUP BY ALL
 ), tx AS (
   SELECT DISTINCT segment FROM ct
 ), tt AS (
@@ -195,22 +202,23 @@ d AS (
 ), be AS (
   SELECT segment, arg_min(license, {{'a': -cosine, 'b': license}}) AS license, max(cosine) AS cosine FROM cs WHERE cosine >= {SIMILAR} GROUP BY segment
 ), own AS (
-  SELECT file, arg_min(license, {{'a': -cosine, 'b': license}}) AS license, max(cosine) AS cosine, sum(times * len(string_split(segment, ' '))) AS covered
-  FROM ct JOIN be USING (segment) GROUP BY file
+  SELECT file, ver, arg_min(license, {{'a': -cosine, 'b': license}}) AS license, max(cosine) AS cosine,
+    sum(times * len(string_split(segment, ' '))) AS covered
+  FROM ct JOIN be USING (segment) GROUP BY file, ver
 ), sd AS (
   SELECT d.doc_id, d.file, own.license, own.cosine, regexp_replace(d.file, '/?[^/]*$', '') AS folder,
-    CASE WHEN own.file IS NOT NULL THEN CASE WHEN 2 * covered >= len(regexp_extract_all(d.text, '{WORD}')) THEN 'file' ELSE 'header' END END AS how
-  FROM d LEFT JOIN own ON own.file = d.file
+    CASE WHEN own.ver IS NOT NULL THEN CASE WHEN 2 * covered >= len(regexp_extract_all(d.text, '{WORD}')) THEN 'file' ELSE 'header' END END AS how
+  FROM d LEFT JOIN own ON own.ver = d.ver AND own.file IS NOT DISTINCT FROM d.file
 ), gr AS (
-  SELECT folder AS up, min({{'a': -cosine, 'license': license, 'file': file}}) AS g FROM sd WHERE how = 'file' GROUP BY folder
+  SELECT folder AS up, min({{'a': -cosine, 'license': license, 'file': file}}) AS g FROM sd WHERE how = 'file' AND folder IS NOT NULL GROUP BY folder
 ), fo AS (
-  SELECT DISTINCT folder, string_split(folder, '/') AS parts FROM sd WHERE how IS NULL
+  SELECT DISTINCT folder, string_split(folder, '/') AS parts FROM sd WHERE how IS NULL AND folder IS NOT NULL
 ), ab AS (
   SELECT folder, unnest(list_append(list_transform(range(1, len(parts) + 1), lambda n: array_to_string(parts[1:n], '/')), '')) AS up FROM fo
 ), nr AS (
   SELECT folder, arg_max(g, length(up)) AS g FROM ab JOIN gr USING (up) GROUP BY folder
 )
-SELECT doc_id, file, coalesce(license, g.license) AS license, coalesce(cosine, -g.a) AS cosine,
-  coalesce(how, CASE WHEN g IS NOT NULL THEN 'inherited' END) AS how, CASE WHEN how IS NOT NULL THEN file ELSE g.file END AS licensed_by
+SELECT doc_id, coalesce(file, '') AS file, coalesce(license, g.license) AS license, coalesce(cosine, -g.a) AS cosine,
+  coalesce(how, CASE WHEN g IS NOT NULL THEN 'inherited' END) AS how, CASE WHEN how IS NOT NULL THEN coalesce(file, '') ELSE g.file END AS licensed_by
 FROM sd LEFT JOIN nr ON how IS NULL AND nr.folder = sd.folder
 """

@@ -129,9 +129,12 @@ class ChunkEncoder(dict):
                 table.clear()
         split = pc.split_pattern(texts.cast(pa.large_string()), " ")
         words, bounds = split.values, split.offsets.to_numpy().astype(np.int64)
+        # There are fewer chunks, and fewer ids, than bytes.
+        index = np.int32 if texts.nbytes < 2**31 else np.int64
         coded = words.dictionary_encode()
-        codes = coded.indices.to_numpy().astype(np.int64)
         firsts = words.take(pa.array(bounds[:-1])).to_pylist()
+        del split, words
+        codes = coded.indices.to_numpy().astype(index)
         follow = np.ones(len(codes), bool)
         follow[bounds[:-1]] = False
         used = np.zeros(len(coded.dictionary), bool)
@@ -147,12 +150,17 @@ class ChunkEncoder(dict):
             unsafe[i] = not chunk or chunk[-1].isspace()
             parts.append(b"" if unsafe[i] else self.whole(chunk))
         codes[bounds[:-1]] = np.arange(len(firsts)) + len(used)
-        sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        del coded
+        sizes = np.fromiter(map(len, parts), index, len(parts)) // 4
         pool = np.frombuffer(b"".join(parts), "<u4")
-        begin = np.cumsum(sizes) - sizes
+        del parts
+        begin = np.cumsum(sizes, dtype=index) - sizes
         each = sizes[codes]
-        ends = np.cumsum(each)
-        out = pool[np.repeat(begin[codes] - (ends - each), each) + np.arange(int(each.sum()))]
+        ends = np.cumsum(each, dtype=index)
+        place = np.repeat(begin[codes] - (ends - each), each)
+        place += np.arange(len(place), dtype=index)
+        out = pool[place]
+        del place
         cut = np.concatenate([[0], ends])[bounds]
         bad = np.logical_or.reduceat(unsafe[codes], bounds[:-1]) if len(firsts) else []
         return [
@@ -167,6 +175,8 @@ def encoder(path: str, ranks: str | None) -> ChunkEncoder:
     """The worker's encoder; its table serves the worker's later tasks too."""
     key = (path, ranks)
     if key not in _ENCODERS:
+        # The system's allocator gives the memory of a large group of texts back.
+        pa.set_memory_pool(pa.system_memory_pool())
         _ENCODERS[key] = ChunkEncoder(path, ranks)
     return _ENCODERS[key]
 

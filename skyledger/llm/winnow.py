@@ -98,16 +98,24 @@ def fingerprints(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> Dat
     return docs.select("doc_id", positions(kept).alias("kept"))
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """``n`` (rank by doc_id, from 1) with ``doc_id`` and ``n_chars`` of every row, as a table.
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``doc_id, text, id_key, text_key``: equal rows have equal keys, and no key is NULL."""
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    name = F.concat(F.lit("="), F.col("doc_id").cast("string"))
+    return own.select("*", F.coalesce(name, F.lit("")).alias("id_key"), F.xxhash64("text").alias("text_key"))
 
-    Ids alone are range-partitioned; a rank is the place in its partition plus the counts before.
+
+def _ordered(own: DataFrame) -> DataFrame:
+    """``n`` (rank by doc_id, NULL last, then by a hash of the text, from 1) of every distinct row, as a table.
+
+    With ``id_key, text_key, n_chars`` and ``times``, the number of equal rows. Keys alone are
+    range-partitioned; a rank is the place in its partition plus the counts before.
     """
-    lengths = docs.groupBy("doc_id").agg(F.max(F.length("text")).alias("n_chars"))
-    placed = (
-        lengths.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-        .withColumn("place", F.monotonically_increasing_id())
-    )
+    lengths = own.groupBy("id_key", "text_key").agg(
+        F.max("doc_id").alias("doc_id"), F.max(F.length("text")).alias("n_chars"), F.count("*").alias("times")
+    )
+    by = F.col("doc_id").asc_nulls_last(), F.col("text_key")
+    placed = lengths.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("place", F.monotonically_increasing_id())
     placed = materialise(placed, "winnow_order")
     part = F.shiftright("place", 33)
     runs = placed.groupBy(part.alias("part")).agg(F.count("*").alias("size"), F.min("place").alias("first"))
@@ -115,48 +123,66 @@ def _ordered(docs: DataFrame) -> DataFrame:
     runs = runs.select("part", "first", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
     runs = materialise(runs, "winnow_runs")
     rank = F.col("place") - F.col("first") + F.col("before") + 1
-    return placed.join(runs, part == F.col("part")).select(rank.alias("n"), "doc_id", "n_chars")
+    return placed.join(runs, part == F.col("part")).select(rank.alias("n"), "id_key", "text_key", "n_chars", "times")
 
 
 def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Every document with its fingerprint, its edited text and their likeness.
+    """Every row with its fingerprint, its edited text and their likeness.
 
     ``doc_id, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next``.
     The edited text ends with the first ``floor(n_chars / 4)`` characters (or all) of the
-    next document by doc_id in place of as many of its own; after the last comes the
-    first. A document is told who stands before it and how much of its beginning that one
-    takes, and sends this and its hashes there: texts are dealt once by id, beginnings
-    once more. Rows with one doc_id are one document (any of the rows); rows without a
-    doc_id have no place and are left out. NULL texts are empty, a document alone is its
-    own next, an empty table gives no rows.
+    next row in place of as many of its own; after the last comes the first. Rows are
+    ordered by doc_id, NULL last, those of one doc_id by a hash of the text; equal rows
+    follow each other, and all but their last have themselves as the next. A row is told
+    who stands before it and how much of its beginning that one takes, and sends this and
+    its hashes there: texts are dealt once by key, beginnings once more. NULL texts are
+    empty, a row alone is its own next, an empty table gives no rows.
     """
-    own = docs.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = _keyed(docs)
     order = materialise(_ordered(own), "winnow_ranks")
     total = order.agg(F.max("n")).first()[0] or 1
-    before = order.select((F.col("n") % total + 1).alias("m"), F.col("doc_id").alias("before_id"), F.col("n_chars").alias("before_chars"))
-    told = order.join(before, F.col("n") == F.col("m")).select(F.col("doc_id").alias("id"), "before_id", "before_chars")
-
-    kept = own.select("doc_id", "text", selected(F.col("text"), gram, window).alias("kept"))
-    kept = kept.select("doc_id", "text", digest(F.col("kept")).alias("fingerprint"), hashes(F.col("kept")).alias("hashes"))
-    base = kept.dropDuplicates(["doc_id"]).join(told, F.col("doc_id") == F.col("id")).drop("id")
-    sent = base.select(
-        F.col("before_id").alias("id"),
-        F.substring(F.col("text"), F.lit(1), F.floor(F.col("before_chars") / 4).cast("int")).alias("head"),
+    before = order.select(
+        (F.col("n") % total + 1).alias("m"), F.col("id_key").alias("before_id"), F.col("text_key").alias("before_text"),
+        F.col("n_chars").alias("before_chars"),
+    )
+    told = order.join(before, F.col("n") == F.col("m")).select(
+        "id_key", "text_key", "n_chars", "times", "before_id", "before_text", "before_chars"
+    )
+
+    kept = own.select("*", selected(F.col("text"), gram, window).alias("kept"))
+    kept = kept.withColumn("fingerprint", digest(F.col("kept"))).withColumn("hashes", hashes(F.col("kept"))).drop("kept")
+    base = kept.dropDuplicates(["id_key", "text_key"]).join(told, ["id_key", "text_key"])
+
+    def taker(id_key: str, text_key: str, chars: str, rows: Column) -> Column:
+        cols = F.col(id_key).alias("id"), F.col(text_key).alias("t"), F.col(chars).alias("chars"), rows.alias("rows")
+        return F.struct(*cols)
+
+    takers = F.array(
+        taker("before_id", "before_text", "before_chars", F.lit(1).cast("bigint")),
+        taker("id_key", "text_key", "n_chars", F.col("times") - 1),
+    )
+    sent = base.select("*", F.explode(F.filter(takers, lambda x: x["rows"] > 0)).alias("to"))
+    sent = sent.select(
+        F.col("to.id").alias("to_id"),
+        F.col("to.t").alias("to_text"),
+        F.col("to.rows").alias("rows"),
+        F.substring(F.col("text"), F.lit(1), F.floor(F.col("to.chars") / 4).cast("int")).alias("head"),
         F.col("fingerprint").alias("next_fingerprint"),
         F.col("hashes").alias("next_hashes"),
     )
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head")
-    met = base.join(sent, F.col("doc_id") == F.col("id")).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_fingerprint", "next_hashes"
+    met = base.join(sent, (F.col("id_key") == F.col("to_id")) & (F.col("text_key") == F.col("to_text"))).select(
+        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_fingerprint", "next_hashes", "rows"
     )
     met = met.select("*", selected(F.col("edited"), gram, window).alias("edited_kept"))
-    return met.select(
-        "doc_id", "n_chars", "edited", "fingerprint", digest(F.col("edited_kept")).alias("edited_fingerprint"),
+    out = met.select(
+        "rows", "doc_id", "n_chars", "edited", "fingerprint", digest(F.col("edited_kept")).alias("edited_fingerprint"),
         likeness(F.col("hashes"), hashes(F.col("edited_kept"))).alias("near_edited"),
         F.when(F.col("fingerprint") == F.col("next_fingerprint"), F.lit(1.0))
         .otherwise(likeness(F.col("hashes"), F.col("next_hashes"))).alias("near_next"),
     )
+    return out.select("*", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("rows")))).drop("rows", "col")
 
 
 def op10(docs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 
+import regex
 import xxhash
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,3 +94,48 @@ def base_counts(text: str) -> tuple[int, int, int, int, int, bool]:
     n, r = len(words), len(covered)
     symbols = sum(c in "#*$%&|<>" for c in text)
     return n, sum(map(len, words)), symbols, dup, r, n < 50 or 100 * r > 50 * n
+
+
+UNITS = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}]|[^ \t\n\x0B\f\r\p{Han}\p{Hiragana}\p{Katakana}]{1,16}")
+
+
+def _neighbours(values: list, size: int, join) -> list:
+    step = 1
+    while step < size:
+        if len(values) > step:
+            values = [join(a, b) for a, b in zip(values, values[step:])]
+        step *= 2
+    return values
+
+
+def winnowed(text: str, gram: int = 4, window: int = 8) -> set[int]:
+    """Hashes of the k-grams that winnowing keeps."""
+
+    def two(a: int, b: int) -> int:
+        seed = xxhash.xxh64(a.to_bytes(8, "little"), seed=42).intdigest()
+        return xxhash.xxh64(b.to_bytes(8, "little"), seed=seed).intdigest()
+
+    units = [xxhash.xxh64(u.encode(), seed=42).intdigest() for u in UNITS.findall(text)]
+    grams = [h >> 33 for h in _neighbours(units, gram, two)]
+    return {h for h, _ in _neighbours([(h, -i) for i, h in enumerate(grams)], window, min)}
+
+
+def winnowed_neighbours(rows: list[tuple[int | None, str | None]]) -> list[tuple]:
+    """``doc_id, n_chars, edited_sha256, near_edited, near_next`` of every row."""
+
+    def place(row):
+        h = xxhash.xxh64(row[1].encode(), seed=42).intdigest()
+        return row[0] is None, row[0] or 0, h - (h >> 63 << 64)
+
+    def like(a: set, b: set) -> float:
+        return round(len(a & b) / len(a | b), 9) if a | b else 1.0
+
+    rows = sorted(((i, t or "") for i, t in rows), key=place)
+    out = []
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        cut = len(t) // 4
+        new = t[: len(t) - cut] + after[:cut]
+        digest = hashlib.sha256(new.encode()).hexdigest()
+        out.append((i, len(t), digest, like(winnowed(t), winnowed(new)), like(winnowed(t), winnowed(after))))
+    return out

@@ -110,6 +110,21 @@ def test_edited_texts(spark, sf, texts):
     assert all(len(f) == 1 for f in by_text.values()) and len(set.union(*by_text.values())) == len(by_text)
 
 
+def test_every_row_has_its_neighbour(spark):
+    """Rows without an id and rows that share one, in two orders, against plain Python."""
+    texts = [
+        (7, "the first of two texts under one number, some words long"), (7, "the second text under that number is another one"), (3, None), (4, ""),
+        (8, "three equal rows of ten words or a few more than that"), (8, "three equal rows of ten words or a few more than that"),
+        (8, "three equal rows of ten words or a few more than that"), (None, "no number at all"), (None, "no number at all"), (None, "nor here, yet more words follow it"),
+        (9, "你好世界 and some 漢字かな text, " * 5), (10, "a b c d e f g h i j k l m n o p q r s t"), (11, "a b c d e f g h i j k l m n o p q r s x"),
+    ]
+    want = brute.winnowed_neighbours(texts)
+    for order in (texts, texts[::-1]):
+        got = winnow.op10(spark.createDataFrame(order, "doc_id long, text string").repartition(4)).collect()
+        seen = [(r.doc_id, r.n_chars, r.edited_sha256, round(r.near_edited, 9), round(r.near_next, 9)) for r in got]
+        assert sorted(seen, key=repr) == sorted(want, key=repr)
+
+
 def test_winnowing_keeps_rightmost_minimum_and_its_guarantee(spark):
     rng = np.random.default_rng(2)
     passage = " ".join(map(str, rng.integers(0, 50, winnow.GRAM + winnow.WINDOW - 1)))
@@ -214,6 +229,26 @@ def test_license_cosine(spark):
     assert got["z/e.txt"] == (None, None, None) and got[""] == (None, None, None)
 
 
+def test_license_belongs_to_its_row(spark):
+    mit, prose = "Released under the MIT License", "plain prose that says nothing of the kind"
+    df = spark.createDataFrame([(None, mit), (None, prose), (7, mit), (7, prose), (7, mit)], "doc_id long, text string")
+    got = licenses.op3(df.selectExpr("*", "'s' AS source", "'en' AS lang")).collect()
+    # What a row states is its own; a row with a path still inherits from the directory, one without has none.
+    assert sorted((str(r.doc_id), str(r.license), str(r.how)) for r in got) == [
+        ("7", "MIT", "file"), ("7", "MIT", "file"), ("7", "MIT", "inherited"), ("None", "MIT", "file"), ("None", "None", "None")
+    ]
+
+
+def test_sample_passes_over_very_long_texts(spark):
+    rows = [(i, "word " * 10 if i % 17 else "x" * 20_000_000) for i in range(1, 301) if i % 17 or i == 17]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    marks = docs.selectExpr("doc_id", "CAST(doc_id % 2 AS INT) AS toxic")
+    got = common.labelled_sample(docs, marks, "toxic", 5, 0, 6_000, 20_000_100)
+    want = [i for i, t in rows if zlib.crc32(str(i).encode()) % 5 and len(t) < 1_000]
+    assert len(got) == len(want) and {label for _, label in got} == {0, 1}
+    assert len(common.labelled_sample(docs, marks, "toxic", 5, 0, 6_000, 505)) == 10
+
+
 def test_every_numbered_query_is_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert xxhash.xxh64(b"a", seed=42).intdigest() != 0 and common.WORD == brute.WORDS.pattern

@@ -45,7 +45,7 @@ def marks(spark):
 
 OPS = {
     "op1": (simhash.op1, len(ROWS)), "op3": (licenses.op3, len(ROWS)), "op4": (rules.op4, len(ROWS)), "op6": (token_counts.op6, len(ROWS)),
-    "op7": (mixing.op7, len(ROWS)), "op8": (pii.op8, len(ROWS)), "op10": (winnow.op10, 9),
+    "op7": (mixing.op7, len(ROWS)), "op8": (pii.op8, len(ROWS)), "op10": (winnow.op10, len(ROWS)),
 }
 
 
