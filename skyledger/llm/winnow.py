@@ -150,8 +150,9 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
     )
 
     kept = own.select("*", selected(F.col("text"), gram, window).alias("kept"))
-    kept = kept.withColumn("fingerprint", digest(F.col("kept"))).withColumn("hashes", hashes(F.col("kept"))).drop("kept")
-    base = kept.dropDuplicates(["id_key", "text_key"]).join(told, ["id_key", "text_key"])
+    kept = kept.select("id_key", "text_key", "text", digest(F.col("kept")).alias("fingerprint"), hashes(F.col("kept")).alias("hashes"))
+    # Both uses of this read the same columns, so texts are exchanged once; the id is taken from its key at the end.
+    base = kept.dropDuplicates(["id_key", "text_key"])
 
     def taker(id_key: str, text_key: str, chars: str, rows: Column) -> Column:
         cols = F.col(id_key).alias("id"), F.col(text_key).alias("t"), F.col(chars).alias("chars"), rows.alias("rows")
@@ -161,7 +162,7 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
         taker("before_id", "before_text", "before_chars", F.lit(1).cast("bigint")),
         taker("id_key", "text_key", "n_chars", F.col("times") - 1),
     )
-    sent = base.select("*", F.explode(F.filter(takers, lambda x: x["rows"] > 0)).alias("to"))
+    sent = base.join(told, ["id_key", "text_key"]).select("*", F.explode(F.filter(takers, lambda x: x["rows"] > 0)).alias("to"))
     sent = sent.select(
         F.col("to.id").alias("to_id"),
         F.col("to.t").alias("to_text"),
@@ -170,10 +171,11 @@ def edited_neighbours(docs: DataFrame, gram: int = GRAM, window: int = WINDOW) -
         F.col("fingerprint").alias("next_fingerprint"),
         F.col("hashes").alias("next_hashes"),
     )
+    id_of = F.when(F.col("id_key") != "", F.substring("id_key", 2, 2**31 - 1)).cast(docs.schema["doc_id"].dataType)
     n = F.length("text")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - F.floor(n / 4).cast("int")), "head")
     met = base.join(sent, (F.col("id_key") == F.col("to_id")) & (F.col("text_key") == F.col("to_text"))).select(
-        "doc_id", n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_fingerprint", "next_hashes", "rows"
+        id_of.alias("doc_id"), n.cast("bigint").alias("n_chars"), edited.alias("edited"), "fingerprint", "hashes", "next_fingerprint", "next_hashes", "rows"
     )
     met = met.select("*", selected(F.col("edited"), gram, window).alias("edited_kept"))
     out = met.select(
