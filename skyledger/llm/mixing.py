@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 from .common import WORD
 
-#: Candidate offsets of one source; the one whose sample comes nearest the target is its random offset.
-OFFSETS = 16
-#: A document is in the first stratum for which so many of it exceed its source's target, or in the last one.
-STRATA = (4, 20, 100)
+#: The random offsets of all sources follow from this.
+SEED = 7
+#: A document that holds more than this part of its source has its expected copies stated one by one: fewer than this many a source.
+LARGE = 1000
 
 
 def n_words(text: Column) -> Column:
@@ -51,30 +49,55 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share
     return per.select("source", "source_size", target.alias("target"))
 
 
-def offset_base(source: Column) -> Column:
-    """A number in [0, 1) from the source's name, in steps of 2^-16 so that sums with it stay exact."""
-    name = F.coalesce(F.concat(F.lit("s"), source), F.lit("n"))
-    return F.conv(F.substring(F.md5(name), 1, 4), 16, 10).cast("bigint") / F.lit(65536.0)
+def offset(source: Column, seed: int = SEED) -> Column:
+    """The random offset of a source, in [0, 1): from the seed and the source's name, so reruns agree."""
+    name = F.concat(F.lit(str(seed)), F.coalesce(F.concat(F.lit("s"), source), F.lit("n")))
+    return F.conv(F.substring(F.md5(name), 1, 6), 16, 10).cast("bigint") / F.lit(16777216.0)
+
+
+def expected(left: Column, rest: Column, cap: int) -> Column:
+    """Copies expected of the next document: words still wanted over words still to come, 0 to ``cap``."""
+    return F.when(rest > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), left / rest.cast("double")))).otherwise(F.lit(0.0))
+
+
+def crossed(before: Column, after: Column, cap: int) -> Column:
+    """Integer boundaries between two prefix sums."""
+    return F.least(F.floor(after) - F.floor(before), F.lit(cap)).cast("bigint")
+
+
+def _large(sizes: Column, target: Column, words: Column, start: Column, cap: int) -> Column:
+    """The prefix sum over a source's large documents: ``left, rest, reached, copies``, the last an array in their order."""
+    state = F.struct(
+        target.alias("left"), words.alias("rest"), start.alias("reached"), F.array().cast("array<bigint>").alias("copies")
+    )
 
+    def step(acc: Column, size: Column) -> Column:
+        reached = acc["reached"] + expected(acc["left"], acc["rest"], cap)
+        n = crossed(acc["reached"], reached, cap)
+        return F.struct(
+            (acc["left"] - (n * size).cast("double")).alias("left"), (acc["rest"] - size).alias("rest"),
+            reached.alias("reached"), F.concat(acc["copies"], F.array(n)).alias("copies"),
+        )
 
-def copies(rank: Column, rate: Column, offset: Column, cap: int = 2) -> Column:
-    """Integer boundaries crossed between the expected copies before and after the document of this rank."""
-    crossed = F.floor(offset + rank * rate) - F.floor(offset + (rank - 1) * rate)
-    return F.least(crossed, F.lit(cap)).cast("bigint")
+    return F.aggregate(sizes, state, step)
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2) -> DataFrame:
+def mix(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int, int] = (3, 2), cap: int = 2, seed: int = SEED
+) -> DataFrame:
     """Every row of ``docs`` with how often the mix takes it.
 
     ``docs`` has ``doc_id, source, size`` and any other columns, which are kept.
     Added: ``source_size``, ``target`` and ``copies`` (0 to ``cap``).
 
-    Within a source, documents stand in the order of (size, doc_id); the prefix sums of
-    their expected copies, plus one offset per source, give a copy for each integer
-    crossed. Neighbours in that order have nearly equal sizes, so the words taken come
-    near what is expected whatever the spread of sizes. This is done in ``STRATA``, the
-    largest documents first: each stratum expects what is left of the target over the
-    words that are left, so a giant document does not carry its source past the target.
+    Within a source, documents stand in the order of (size falling, doc_id). The prefix
+    sum of their expected copies starts at the source's one random offset, and a document
+    gets a copy for each integer its own part crosses. Expected are the words still wanted
+    over the words still to come: on average the source's target over its size for every
+    document, but what a large document takes too much or too little, smaller ones make
+    up. For the fewer than ``LARGE`` documents of a source that hold more than that part of
+    it this is stated one by one; after them the expectation no longer moves, so all others
+    share one value and their prefix sum is a product.
 
     The order is global: rows are range-partitioned by (source, size, doc_id), a source of
     any size spreads over many partitions, and a document's rank is its place in its
@@ -82,82 +105,46 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: tuple[int,
     their own, the last. Equal rows are separate documents. Empty texts have size 0 and
     may be taken. An empty table gives no rows.
     """
-    ranged = (
-        docs.repartitionByRange("source", "size", "doc_id")
-        .sortWithinPartitions("source", "size", "doc_id")
-        .withColumn("__place", F.monotonically_increasing_id())
-    )
+    order = ("source", F.desc("size"), "doc_id")
+    ranged = docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", F.monotonically_increasing_id())
     placed = materialise(ranged, "mix")
-    sums = materialise(placed.groupBy("source").agg(F.sum("size").alias("size")), "mix_sources")
-    targets = source_targets(sums, weights, share, cap)
+    part = F.shiftright("__place", 33)
+    runs = placed.groupBy("source", part.alias("__part")).agg(
+        F.count("*").alias("n"), F.min("__place").alias("first"), F.sum("size").alias("size")
+    )
+    runs = materialise(runs, "mix_runs")
+    targets = source_targets(runs.select("source", "size"), weights, share, cap)
     targets = targets.select(
         F.col("source").alias("__source"), F.col("source_size").alias("__words"), F.col("target").alias("__target")
     )
     targets = materialise(targets, "mix_targets")
-
-    def tagged(rows: DataFrame) -> DataFrame:
-        found = rows.join(targets, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-        return found.withColumn("__stratum", stratum(F.col("size"), F.col("__target")))
-
-    light = tagged(placed.select("source", "size", "__place"))
-    part = F.shiftright("__place", 33)
-    runs = light.groupBy("source", "__stratum", part.alias("__part")).agg(F.count("*").alias("n"), F.min("__place").alias("first"))
-    before = Window.partitionBy("source", "__stratum").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(
-        F.col("source").alias("__name"), F.col("__stratum").alias("__level"), F.col("__part").alias("__run"),
+    before = Window.partitionBy("source").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = runs.select(
+        F.col("source").alias("__name"), F.col("__part").alias("__run"),
         (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first") + 1).alias("__shift"),
     )
-    runs = materialise(runs, "mix_runs")
-
-    def ranked(rows: DataFrame) -> DataFrame:
-        on = F.col("source").eqNullSafe(F.col("__name")) & (F.col("__stratum") == F.col("__level")) & (part == F.col("__run"))
-        return rows.join(runs, on).withColumn("__rank", F.col("__place") + F.col("__shift")).drop("__name", "__level", "__run", "__shift")
-
-    state = targets.select("__source", F.col("__target").alias("__left"), F.col("__words").alias("__rest"))
-    plans: list[DataFrame] = []
-    for level in range(len(STRATA) + 1):
-        rate = F.when(F.col("__rest") > 0, F.greatest(F.lit(0.0), F.least(F.lit(float(cap)), F.col("__left") / F.col("__rest"))))
-        state = state.withColumn("__rate", F.coalesce(rate, F.lit(0.0)))
-        here = ranked(light.where(F.col("__stratum") == level)).join(state, F.col("source").eqNullSafe(F.col("__source")))
-        state = state.join(_best_offset(here, cap), F.col("__source").eqNullSafe(F.col("__of")), "left")
-        state = materialise(state, "mix_state")
-        plans.append(state.where("__try is not null").select(
-            F.col("__source").alias("__planned"), F.lit(level).alias("__at"), "__rate", "__try"
-        ))
-        state = state.select(
-            "__source", (F.col("__left") - F.coalesce("__taken", F.lit(0))).alias("__left"),
-            (F.col("__rest") - F.coalesce("__sum", F.lit(0))).alias("__rest"),
-        )
-    plan = materialise(reduce(DataFrame.unionByName, plans), "mix_plan")
-    full = ranked(tagged(placed.drop(*[c for c in ("source_size", "target", "copies") if c in placed.columns])))
-    full = full.join(plan, F.col("source").eqNullSafe(F.col("__planned")) & (F.col("__stratum") == F.col("__at")))
+    of_source = F.col("source").eqNullSafe(F.col("__source"))
+    large = placed.select("source", "size", "__place").join(targets, of_source).where(F.col("size") * LARGE > F.col("__words"))
+    large = large.groupBy("__source").agg(F.array_sort(F.collect_list(F.struct("__place", "size"))).alias("l"))
+    large = large.select(F.col("__source").alias("__of"), F.col("l.size").alias("__sizes"))
+    state = targets.join(large, F.col("__source").eqNullSafe(F.col("__of")), "left")
+    sizes = F.coalesce("__sizes", F.array().cast("array<bigint>"))
+    state = state.withColumn("s", _large(sizes, F.col("__target"), F.col("__words"), offset(F.col("__source"), seed), cap))
+    plan = state.select(
+        "__source", "__words", "__target", F.col("s.copies").alias("__stated"), F.col("s.reached").alias("__reached"),
+        expected(F.col("s.left"), F.col("s.rest"), cap).alias("__rate"),
+    )
+    plan = materialise(plan, "mix_plan")
+    full = placed.drop(*[c for c in ("source_size", "target", "copies") if c in placed.columns])
+    full = full.join(shifts, F.col("source").eqNullSafe(F.col("__name")) & (part == F.col("__run"))).join(plan, of_source)
+    rank = F.col("__place") + F.col("__shift")
+    later = rank - F.size("__stated")
+    product = crossed(F.col("__reached") + (later - 1) * F.col("__rate"), F.col("__reached") + later * F.col("__rate"), cap)
+    n = F.when(later <= 0, F.get("__stated", (rank - 1).cast("int"))).otherwise(product)
     names = [c for c in docs.columns if c not in ("source_size", "target", "copies")]
     return full.select(
-        *names, F.col("__words").alias("source_size"), F.col("__target").alias("target"),
-        copies(F.col("__rank"), F.col("__rate"), _offset(F.col("__try")), cap).alias("copies"),
-    )
-
-
-def stratum(size: Column, target: Column) -> Column:
-    out = F.lit(len(STRATA))
-    for i, most in reversed(list(enumerate(STRATA))):
-        out = F.when(most * size > target, i).otherwise(out)
-    return out
-
-
-def _offset(j: Column) -> Column:
-    return (offset_base(F.col("source")) + j / F.lit(float(OFFSETS))) % F.lit(1.0)
-
-
-def _best_offset(ranked: DataFrame, cap: int) -> DataFrame:
-    """Per source the offset whose sample comes nearest what is expected: ``__of, __try, __taken, __sum``."""
-    words = [F.sum(copies(F.col("__rank"), F.col("__rate"), _offset(F.lit(j)), cap) * F.col("size")) for j in range(OFFSETS)]
-    per = ranked.groupBy("source").agg(
-        (F.first("__rate") * F.sum("size")).alias("__wanted"), F.array(*words).alias("__tries"), F.sum("size").alias("__sum")
+        *names, F.col("__words").alias("source_size"), F.col("__target").alias("target"), n.alias("copies")
     )
-    off = F.transform("__tries", lambda x, j: F.struct(F.abs(x.cast("double") - F.col("__wanted")).alias("off"), j.alias("j"), x.alias("x")))
-    best = F.array_min(off)
-    return per.select(F.col("source").alias("__of"), best["j"].alias("__try"), best["x"].alias("__taken"), "__sum")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:
@@ -177,8 +164,8 @@ def op7(docs: DataFrame) -> DataFrame:
     )
 
 
-_TARGETS_SQL = r"""
-WITH d AS (
+OP7_SQL = rf"""
+WITH RECURSIVE d AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
@@ -191,42 +178,30 @@ WITH d AS (
       / (2 * (sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT)::DOUBLE AS level
   FROM w WINDOW o AS (ORDER BY (2 * source_size)::DOUBLE / weight, source IS NULL, source)
 ), t AS (
-  SELECT source, source_size, least((2 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target,
-    ('0x' || substr(md5(coalesce('s' || source, 'n')), 1, 4))::BIGINT / 65536.0::DOUBLE AS base
+  SELECT coalesce('s' || source, 'n') AS name, source_size, least((2 * source_size)::DOUBLE, (max(level) OVER ()) * weight) AS target,
+    ('0x' || substr(md5('{SEED}' || coalesce('s' || source, 'n')), 1, 6))::BIGINT / 16777216.0::DOUBLE AS start
   FROM l
 ), r AS (
-  SELECT d.doc_id, d.size, d.source, t.source_size, t.target, t.base,
-    CASE WHEN 4 * d.size > t.target THEN 0 WHEN 20 * d.size > t.target THEN 1 WHEN 100 * d.size > t.target THEN 2 ELSE 3 END AS s
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-), o AS (
-  SELECT q.*, j, (base + j / 16.0::DOUBLE) % 1.0::DOUBLE AS u
-  FROM (SELECT *, row_number() OVER (PARTITION BY source, s ORDER BY size, doc_id) AS k FROM r) q, generate_series(0, 15) g(j)
-), q0 AS (
-  SELECT source, target AS rest, source_size AS others FROM t
-)"""
-
-_LEVEL_SQL = r""", f{i} AS (
-  SELECT *, CASE WHEN others > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, rest / others)) ELSE 0.0::DOUBLE END AS rate FROM q{i}
-), c{i} AS (
-  SELECT o.*, rate, least(floor(u + k * rate) - floor(u + (k - 1) * rate), 2)::BIGINT AS copies
-  FROM o JOIN f{i} f ON o.source IS NOT DISTINCT FROM f.source WHERE s = {i}
-), b{i} AS (
-  SELECT source, j, sum(copies * size)::BIGINT AS taken, sum(size)::BIGINT AS words,
-    abs(sum(copies * size)::DOUBLE - any_value(rate) * sum(size)::BIGINT) AS off FROM c{i} GROUP BY source, j
-), p{i} AS (
-  SELECT source, min_by(j, (off, j)) AS j, min_by(taken, (off, j)) AS taken, any_value(words) AS words FROM b{i} GROUP BY source
-), q{n} AS (
-  SELECT q.source, q.rest - coalesce(p.taken, 0) AS rest, q.others - coalesce(p.words, 0) AS others
-  FROM q{i} q LEFT JOIN p{i} p ON q.source IS NOT DISTINCT FROM p.source
-)"""
-
-OP7_SQL = (
-    _TARGETS_SQL
-    + "".join(_LEVEL_SQL.format(i=i, n=i + 1) for i in range(len(STRATA) + 1))
-    + " UNION ALL ".join(
-        f" SELECT c.doc_id, c.size, c.source_size, c.target, c.copies * c.size AS taken, c.copies FROM c{i} c "
-        f"JOIN p{i} p ON c.source IS NOT DISTINCT FROM p.source AND c.j = p.j"
-        for i in range(len(STRATA) + 1)
+  SELECT d.doc_id, d.size, t.*, row_number() OVER (PARTITION BY name ORDER BY size DESC, doc_id) AS k
+  FROM d JOIN t ON t.name = coalesce('s' || d.source, 'n')
+), f AS (
+  SELECT name, 0::BIGINT AS k, target AS wanted, source_size AS rest, start AS reached, 0::BIGINT AS copies FROM t
+  UNION ALL
+  SELECT name, k, wanted - (copies * size)::DOUBLE, rest - size, reached, copies
+  FROM (
+    SELECT name, k, size, wanted, rest, reached + rate AS reached, least(floor(reached + rate) - floor(reached), 2)::BIGINT AS copies
+    FROM (
+      SELECT r.name, r.k, r.size, wanted, rest, reached,
+        CASE WHEN rest > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, wanted / rest::DOUBLE)) ELSE 0.0::DOUBLE END AS rate
+      FROM f JOIN r ON r.name = f.name AND r.k = f.k + 1 WHERE r.size * {LARGE} > r.source_size
     )
+  )
+), e AS (
+  SELECT name, k AS n, reached, CASE WHEN rest > 0 THEN greatest(0.0::DOUBLE, least(2.0::DOUBLE, wanted / rest::DOUBLE)) ELSE 0.0::DOUBLE END AS rate
+  FROM f QUALIFY row_number() OVER (PARTITION BY name ORDER BY k DESC) = 1
+), c AS (
+  SELECT r.*, coalesce(f.copies, least(floor(e.reached + (r.k - n) * e.rate) - floor(e.reached + (r.k - n - 1) * e.rate), 2)::BIGINT) AS copies
+  FROM r JOIN e ON r.name = e.name LEFT JOIN f ON r.name = f.name AND r.k = f.k
 )
-
+SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
+"""

@@ -12,7 +12,7 @@ import pytest
 import xxhash
 
 from skyledger.llm import QUERIES, TWINS
-from skyledger.llm import common, licenses, packing, pii, rules, winnow
+from skyledger.llm import common, licenses, mixing, packing, pii, rules, winnow
 
 
 @pytest.fixture(scope="module")
@@ -216,6 +216,17 @@ def test_mix_comes_near_its_targets(spark):
         assert abs(sum(r.taken for r in part) - target) <= 0.03 * target + 2
 
 
+def test_mix_draws_a_giant_by_seed(spark):
+    docs = spark.createDataFrame([(0, "a", 400)] + [(i, "a", 1) for i in range(1, 601)], "doc_id long, source string, size long")
+    drawn = set()
+    for seed in range(8):
+        got = {r.doc_id: r.copies for r in mixing.mix(docs, seed=seed).collect()}
+        drawn.add(got[0])
+        assert len(got) == 601 and set(got.values()) <= {0, 1, 2}
+        assert abs(sum(n * (400 if i == 0 else 1) for i, n in got.items()) - 1500) <= 2
+    assert drawn == {1, 2}
+
+
 def test_license_cosine(spark):
     header = "Licensed under the Apache License, Version 2.0"
     files = [
