@@ -175,7 +175,8 @@ def encoder(path: str, ranks: str | None) -> ChunkEncoder:
     """The worker's encoder; its table serves the worker's later tasks too."""
     key = (path, ranks)
     if key not in _ENCODERS:
-        # The system's allocator gives the memory of a large group of texts back.
+        # The system's allocator gives the memory of a large group of texts back; so does what earlier stages of the worker used.
+        pa.default_memory_pool().release_unused()
         pa.set_memory_pool(pa.system_memory_pool())
         _ENCODERS[key] = ChunkEncoder(path, ranks)
     return _ENCODERS[key]
@@ -224,6 +225,8 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             keys = batch.column("doc_id").take(pa.array(source, pa.int64()))
             arrays = [keys] + [pa.array(c, k) for c, k in zip(cols, kinds)]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids", "part", "place"])
+            del batch, arrays, keys, cols
+            pa.default_memory_pool().release_unused()
 
     kept = docs.select("doc_id", "text")
     kind = kept.schema["doc_id"].dataType.simpleString()
