@@ -54,8 +54,8 @@ def pieces(text: str) -> Iterator[list[bytes]]:
 def chunks(words: list[bytes], starts: dict[bytes, bool], overlap: int) -> Iterator[bytes]:
     """A piece as overlapping chunks.
 
-    A chunk runs from one trigger word to the next and ``overlap`` words beyond; in the last
-    chunk ``overlap`` end signs stand there. The others are its own: an n-gram of at most ``overlap + 1`` words
+    A chunk runs from one trigger word to the next and ``overlap`` words beyond; past the end
+    of the piece end signs stand there. The others are its own: an n-gram of at most ``overlap + 1`` words
     belongs to the one chunk in whose own words it begins, and lies wholly inside it.
     """
     cuts = [0]
@@ -153,11 +153,12 @@ def _placed(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[_Placed
         names, code = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64)
         offsets = split.offsets.to_numpy().astype(np.int64)
         sizes, ends = np.diff(offsets), offsets[1:]
-        ended = code[ends - 1] == (names.index(END) if END in names else -1)
+        # A cut within the last words of a piece leaves fewer than ``overlap`` end signs in the chunk before it.
+        signs = np.add.reduceat(code == (names.index(END) if END in names else -1), offsets[:-1], dtype=np.int64)
         lang = np.repeat(langs.indices.to_numpy().astype(np.int64), sizes)
         place = np.arange(len(code))
         own = place < np.repeat(ends - overlap, sizes)
-        pair = place + 1 < np.repeat(ends - overlap * ended, sizes)
+        pair = place + 1 < np.repeat(ends - signs, sizes)
         h = _crc(names)[code]
         mixed = (h * _MIX[0] + np.roll(h, -1) + _crc(langs.dictionary.to_pylist())[lang]) * _MIX[1]
         bucket = (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)

@@ -75,6 +75,17 @@ def test_collocations_of_any_length(spark, odd, monkeypatch, most, longest):
     assert got == plain_collocations(rows, most, 3, 50, 40) and got
 
 
+def test_collocations_that_end_a_piece_with_a_trigger(spark):
+    triggers = [w for w in (f"w{i}" for i in range(400)) if zlib.crc32(w.encode()) % collocations.TRIGGER == 0][:3]
+    a, b, c = triggers
+    texts = [f"red {a}. the red {b} fox; {a} {b}, one two three {c}! red {a} {b} {c}\nred {a}"] * 6
+    rows = [{"doc_id": i, "text": t, "lang": "en"} for i, t in enumerate(texts)]
+    table = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"]) for r in rows], "doc_id long, text string, lang string")
+    for most in (2, 3, 4):
+        got = listed(collocations.collocations(table, max_words=most, least=3, percent=200))
+        assert got == plain_collocations(rows, most, 3, 200) and any(p[2] == f"three {c}" for p in got)
+
+
 def test_scores_stay_exact(spark):
     big = 123_456_789_012_345
     df = spark.createDataFrame([(big, big + 7, big * 3)], "a long, l long, r long")
