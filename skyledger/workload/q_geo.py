@@ -205,7 +205,7 @@ def s5(spark, sf):
 
 def _requests(spark, sf):
     o = X.v_overpass(spark, sf)
-    lon = geo.normalise_lon(F.col("lon"), F.lit(359.75))
+    lon = geo.normalise_lon(F.col("lon"), -10.0, 350.0)
     return o.withColumn("cell_i", raster.nearest_index(F.col("lat"), 10.0, 0.25)).withColumn("cell_j", raster.nearest_index(lon, 350.0, 0.25))
 
 
@@ -235,7 +235,7 @@ SELECT request_id, round(u, 11) AS u, round(v, 11) AS v, round(sqrt(u * u + v *
 def j5(spark, sf):
     out = asof.bracket_interpolate(_requests(spark, sf), X.v_weather(spark, sf), ["cell_i", "cell_j"], ["u", "v", "sp", "t2m"])
     return out.select(
-        "request_id", rnd("u", 11).alias("u"), rnd("v", 11).alias("v"), rnd(F.hypot("u", "v"), 11).alias("speed"), rnd("sp", 4).alias("sp"),
+        "request_id", rnd("u", 11).alias("u"), rnd("v", 11).alias("v"), rnd(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), 11).alias("speed"), rnd("sp", 4).alias("sp"),
         rnd("hour_distance").alias("hour_distance"), "status",
     )
 

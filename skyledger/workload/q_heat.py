@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import constants as C
+from ..functions import geo
 from ..operators import climate, components, raster, runs
 from ..sources import stations
 from ..session import materialise, scratch_path
@@ -102,11 +103,11 @@ def a21(spark, sf):
 
 
 @query("a22_area_fraction", "v_laned", """
-SELECT region_id, arg_max(day_idx, {'a': area_frac, 'b': -day_idx}) AS peak_day, round_even(max(extent_km2), -2) AS extent_km2, round(max(area_frac), 4) AS area_frac
+SELECT region_id, arg_max(day_idx, {'a': round(area_frac, 9), 'b': -day_idx}) AS peak_day, round_even(max(extent_km2), -2) AS extent_km2, round(max(area_frac), 4) AS area_frac
 FROM v_laned WHERE variant = 'central' GROUP BY ALL""")
 def a22(spark, sf):
     return _days(spark, sf).groupBy("region_id").agg(
-        F.max_by("day_idx", F.struct("area_frac", -F.col("day_idx"))).alias("peak_day"),
+        F.max_by("day_idx", F.struct(F.round("area_frac", 9).alias("a"), -F.col("day_idx"))).alias("peak_day"),
         F.bround(F.max("extent_km2"), -2).alias("extent_km2"), rnd(F.max("area_frac"), 4).alias("area_frac"))
 
 
@@ -418,7 +419,7 @@ def _station_grid(spark, sf):
     g = X.v_weather(spark, sf).groupBy("cell_i", "cell_j", F.to_date(F.timestamp_seconds("ts")).alias("day")).agg(F.max("t2m").alias("t2m"))
     s = _station_max(spark, sf).select(
         "*", F.expr("10.0D + 0.25D * (station % 20) + 0.02D").alias("lat"), F.expr("-10.0D + 0.25D * (station div 20) - 0.03D").alias("lon"))
-    lon = F.when(F.col("lon") < 0, F.col("lon") + 360.0).otherwise(F.col("lon"))
+    lon = geo.normalise_lon(F.col("lon"), -10.0, 350.0)
     s = s.withColumn("cell_i", raster.nearest_index(F.col("lat"), 10.0, 0.25)).withColumn("cell_j", raster.nearest_index(lon, 350.0, 0.25))
     return s.join(g, ["cell_i", "cell_j", "day"]).select("station", "day", "tmax_c", (F.col("t2m") - 273.15 + 5.0).alias("grid_c"))
 

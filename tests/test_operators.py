@@ -267,3 +267,34 @@ def test_missing_overlap_is_a_status(spark):
     cl = spark.createDataFrame([(1, 1999, d, 4.0) for d in range(3)], "region_id long, year long, day_idx long, v double")
     r = attribution.factor_diagnostics(ev, cl, "region_id", 2001, [1999]).first()
     assert r.status == "no overlap years" and r.anomaly is None
+
+
+def test_fixed_decimals_follow_the_binary_value(spark):
+    from skyledger.functions import scoring
+
+    xs = [1.15, 1.25, 1.35, 1.45, 2.5, 0.125, 0.375, 0.015, 0.005, 0.995, 0.9999, 9.95, -1.15, -0.004, -0.0, 0.0, 123456789.05, 2.0**51 + 0.25]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", scoring.fixed(F.col("x"), 1).alias("a"), scoring.fixed(F.col("x"), 2).alias("b"), scoring.rate_display(F.col("x")).alias("c")).collect()
+    for r in got:
+        assert (r.a, r.b) == (f"{r.x:.1f}", f"{r.x:.2f}")
+        assert r.c == (r.b if abs(r.x) < 1 else r.a)
+
+
+def test_longitudes_past_greenwich_stay_on_the_grid(spark):
+    from skyledger.functions import geo
+    from skyledger.operators import raster
+
+    df = spark.createDataFrame([(-10.08,), (-0.02,), (0.0,), (5.0,), (65.04,)], "lon double")
+    got = [r[0] for r in df.select(raster.nearest_index(geo.normalise_lon(F.col("lon"), -10.0, 350.0), 350.0, 0.25)).collect()]
+    assert got == [0, 40, 40, 60, 300]
+
+
+def test_upwind_cells_do_not_depend_on_the_meridian(spark):
+    from skyledger.operators import plume
+
+    cells = [(i, west + c * 0.01, 39.0 - r * 0.01) for i, west in enumerate((53.0, 253.05, 653.3, 3653.7)) for r in range(20) for c in range(20)]
+    df = spark.createDataFrame(cells, "scene_id long, lon double, lat double")
+    wind = df.select("scene_id", F.lit(0.0).alias("u"), F.lit(-1.5).alias("v")).distinct()
+    across = df.select("scene_id", F.lit(2.0).alias("u"), F.lit(0.0).alias("v")).distinct()
+    for w in (wind, across):
+        assert {r.n_top for r in plume.upwind_source(df, w).collect()} == {20}
