@@ -54,6 +54,24 @@ def in_dry_sector(from_deg: Column) -> Column:
     return from_deg.between(247.5, 360.0)
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with ``digits`` decimals, rounded from its exact binary value, an exact tie to even.
+
+    Java's formatter rounds the shortest decimal form instead: 1.15 lies below the tie and is 1.1, not 1.2.
+    """
+    size, unit = F.abs(value), 10**digits
+    whole = F.floor(size)
+    # Split so that both products are exact; the sign of ``over`` then tells on which side of the tie the value lies.
+    part = size - whole
+    head = F.floor(part * 2.0**26) / 2.0**26
+    units = F.floor(head * unit)
+    over = (head * unit - units - 0.5) + (part - head) * unit
+    total = whole * unit + units + F.when((over > 0) | ((over == 0) & (units % 2 == 1)), 1).otherwise(0)
+    sign = F.when(value.cast("string").startswith("-"), "-").otherwise("")
+    text = F.concat(sign, F.call_function("div", total, F.lit(unit)).cast("string"), F.lit("."), F.lpad((total % unit).cast("string"), digits, "0"))
+    return F.when(size < 2.0**52, text).otherwise(F.format_string(f"%.{digits}f", value))
+
+
 def rate_display(rate: Column) -> Column:
     """Two decimals below one tonne per hour, one above."""
-    return F.when(F.abs(rate) < 1.0, F.format_string("%.2f", rate)).otherwise(F.format_string("%.1f", rate))
+    return F.when(F.abs(rate) < 1.0, fixed(rate, 2)).otherwise(fixed(rate, 1))
