@@ -41,6 +41,8 @@ U10_MIN = 2.0
 U10_MAX = 8.0
 U10_SIGMA = 1.6
 TOP_FRACTION = 0.05
+# Projections closer than this are equal: far above what doubles lose at any longitude, far below a cell.
+PROJECTION_TIE_M = 1e-4
 MATERIAL_DELTA_Q = 0.10
 STRONG_PPM_M = 200.0
 

@@ -142,7 +142,7 @@ def upwind_source(cells: DataFrame, wind: DataFrame) -> DataFrame:
     )
     cut = exact_percentiles(proj, ["scene_id"], F.col("proj"), {"cut": 1.0 - C.TOP_FRACTION})
     top = (
-        proj.join(cut.select("scene_id", "cut"), "scene_id").where(F.col("proj") >= F.col("cut") - 1e-9)
+        proj.join(cut.select("scene_id", "cut"), "scene_id").where(F.col("proj") >= F.col("cut") - C.PROJECTION_TIE_M)
         .groupBy("scene_id", "clon", "clat")
         .agg(F.avg("lon").alias("source_lon"), F.avg("lat").alias("source_lat"), F.count("*").alias("n_top"))
     )

@@ -439,7 +439,7 @@ _UPWIND = """
 f AS (SELECT * FROM v_foot WHERE thr = 100), ce AS (SELECT scene_id, avg(lon) AS clon, avg(lat) AS clat FROM f GROUP BY 1),
 pr AS (SELECT f.scene_id, lon, lat, clon, clat, ((lon - clon) * 111319.49::DOUBLE * cos(radians(clat)) * -(2.0::DOUBLE + f.scene_id % 3) + (lat - clat) * 111319.49::DOUBLE * 1.5::DOUBLE) / sqrt((2.0::DOUBLE + f.scene_id % 3) ** 2 + 1.5::DOUBLE ** 2) AS proj FROM f JOIN ce USING (scene_id)),
 cu AS (SELECT scene_id, quantile_cont(proj, 0.95) AS cut FROM pr GROUP BY 1),
-src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_lat, count(*) AS n_top FROM pr JOIN cu USING (scene_id) WHERE proj >= cut - 1e-9 GROUP BY ALL)
+src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_lat, count(*) AS n_top FROM pr JOIN cu USING (scene_id) WHERE proj >= cut - 1e-4 GROUP BY ALL)
 """
 
 
@@ -451,7 +451,7 @@ def w15(spark, sf):
     return s.select("scene_id", rnd("source_lon").alias("source_lon"), rnd("source_lat").alias("source_lat"), "n_top", rnd("dist_km").alias("dist_km"))
 
 
-_PLACE_SQL = "ceil((lat - 39.07) / 0.03 - 0.5)::BIGINT % 2 AS cell_i, 0 AS cell_j"
+_PLACE_SQL = "ceil((round(lat, 9) - 39.07) / 0.03 - 0.5)::BIGINT % 2 AS cell_i, 0 AS cell_j"
 _BANDS_SQL = "(SELECT cell_i % 2 AS cell_i, 0 AS cell_j, ts, avg(u) AS u, avg(v) AS v, 0 AS sp FROM v_weather GROUP BY ALL)"
 
 
@@ -467,7 +467,7 @@ f AS (SELECT * FROM v_foot WHERE thr = 100), ce AS (SELECT scene_id, avg(lon) AS
 {_bracket('a', 'SELECT scene_id, clon AS lon, clat AS lat FROM ce')},
 pr AS (SELECT f.scene_id, lon, lat, clon, clat, ((lon - clon) * 111319.49::DOUBLE * cos(radians(clat)) * -u - (lat - clat) * 111319.49::DOUBLE * v) / aw.u10 AS proj FROM f JOIN ce USING (scene_id) JOIN aw USING (scene_id)),
 cu AS (SELECT scene_id, quantile_cont(proj, 0.95) AS cut FROM pr GROUP BY 1),
-src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_lat FROM pr JOIN cu USING (scene_id) WHERE proj >= cut - 1e-9 GROUP BY ALL),
+src AS (SELECT scene_id, clon, clat, avg(lon) AS source_lon, avg(lat) AS source_lat FROM pr JOIN cu USING (scene_id) WHERE proj >= cut - 1e-4 GROUP BY ALL),
 {_bracket('b', 'SELECT scene_id, source_lon AS lon, source_lat AS lat FROM src')},
 ms AS (SELECT scene_id, coalesce(sum(enh * 1e-6::DOUBLE * 0.01604::DOUBLE * area_m2), 0) * any_value(n_air) / sqrt(sum(area_m2)) * 3.6::DOUBLE AS m FROM f GROUP BY 1),
 q AS (SELECT ms.scene_id, source_lat, sqrt(((source_lon - clon) * 111319.49 * cos(radians(clat))) ** 2 + ((source_lat - clat) * 111319.49) ** 2) / 1000 AS dist_km, aw.u10 AS ua, bw.u10 AS ub,
@@ -478,7 +478,7 @@ def w16(spark, sf):
     """The weather's even and odd rows lie in turn over narrow bands of every scene; scenes are taken at successive hours."""
 
     def place(points):
-        return points.withColumn("cell_i", raster.nearest_index(F.col("lat"), 39.07, 0.03) % 2)
+        return points.withColumn("cell_i", raster.nearest_index(F.round("lat", 9), 39.07, 0.03) % 2)
 
     cells = materialise(_foot(spark, sf, (CENTRAL,)), "footprint")
     when = X.v_extent(spark, sf).select("scene_id", (1704888900 + 3600 * F.col("scene_id")).alias("t"))
