@@ -12,7 +12,7 @@ from ..operators.percentiles import latest_per_key
 from ..session import materialise
 from ..sources import features
 from . import fixtures as X
-from .registry import query, rnd
+from .registry import query, rnd, rnd_scaled
 
 #: Radius of the first hundred wedges; later ones are smaller, so that the pairs grow like the tables.
 RADIUS_KM = 250.0
@@ -235,8 +235,9 @@ SELECT request_id, round(u, 11) AS u, round(v, 11) AS v, round(sqrt(u * u + v *
 def j5(spark, sf):
     out = asof.bracket_interpolate(_requests(spark, sf), X.v_weather(spark, sf), ["cell_i", "cell_j"], ["u", "v", "sp", "t2m"])
     return out.select(
-        "request_id", rnd("u", 11).alias("u"), rnd("v", 11).alias("v"), rnd(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), 11).alias("speed"), rnd("sp", 4).alias("sp"),
-        rnd("hour_distance").alias("hour_distance"), "status",
+        "request_id", rnd_scaled("u", 11).alias("u"), rnd_scaled("v", 11).alias("v"),
+        rnd_scaled(F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v")), 11).alias("speed"), rnd_scaled("sp", 4).alias("sp"),
+        rnd_scaled("hour_distance", 6).alias("hour_distance"), "status",
     )
 
 

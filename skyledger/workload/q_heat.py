@@ -11,7 +11,7 @@ from ..operators import climate, components, raster, runs
 from ..sources import stations
 from ..session import materialise, scratch_path
 from . import fixtures as X
-from .registry import big, query, rnd
+from .registry import big, query, rnd, rnd_scaled
 
 VARIANTS = [("central", 1995, 2000, 10), ("early", 1995, 1997, 10), ("late", 1998, 2000, 10), ("wide", 1995, 2000, 15)]
 CENTRAL = VARIANTS[:1]
@@ -426,7 +426,7 @@ def _station_grid(spark, sf):
 
 @query("j6_station_grid", "v_stationgrid", "SELECT station, day, tmax_c, round(grid_c, 6) AS grid_c FROM v_stationgrid")
 def j6(spark, sf):
-    return _station_grid(spark, sf).withColumn("grid_c", rnd("grid_c"))
+    return _station_grid(spark, sf).withColumn("grid_c", rnd_scaled("grid_c", 6))
 
 
 @query("a30_station_consistency", "v_stationgrid", """
@@ -451,7 +451,7 @@ def a30(spark, sf):
 @query("a31_peak_bracket", "v_stationgrid", """
 SELECT round(max(grid_c), 2) AS grid_peak, max(tmax_c) AS station_peak, abs(round(max(grid_c), 2) - max(tmax_c)) <= 2.5 AS passed FROM v_stationgrid""")
 def a31(spark, sf):
-    return _station_grid(spark, sf).agg(rnd(F.max("grid_c"), 2).alias("grid_peak"), F.max("tmax_c").alias("station_peak")).withColumn(
+    return _station_grid(spark, sf).agg(rnd_scaled(F.max("grid_c"), 2).alias("grid_peak"), F.max("tmax_c").alias("station_peak")).withColumn(
         "passed", F.abs(F.col("grid_peak") - F.col("station_peak")) <= 2.5)
 
 

@@ -34,5 +34,11 @@ def rnd(col: Column | str, digits: int = 6) -> Column:
     return F.round(c, digits) + F.lit(0.0)
 
 
+def rnd_scaled(col: Column | str, digits: int) -> Column:
+    """Round as the SQL side does: the scaled double to a whole number. ``rnd`` rounds the shortest decimal form, which differs near ties."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.round(c * 10.0**digits) / 10.0**digits + F.lit(0.0)
+
+
 def big(col: Column | str) -> Column:
     return (F.col(col) if isinstance(col, str) else col).cast("bigint")
