@@ -115,15 +115,17 @@ def a17(spark, sf):
 
 
 @query("a17_blob_columns", "v_raster", """
-t AS (SELECT scene_id, quantile_cont(abs(own), 0.999) AS cut FROM v_raster GROUP BY 1),
-k AS (SELECT scene_id, c, count(*) AS n FROM v_raster JOIN t USING (scene_id) WHERE abs(own) > cut GROUP BY ALL)
-SELECT scene_id, c, n FROM (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY n DESC, c) AS rk FROM k) WHERE rk <= 10""")
+t AS (SELECT scene_id, quantile_cont(abs(own), 0.99) AS cut, quantile_cont(abs(own), 0.999) AS top_cut FROM v_raster GROUP BY 1),
+k AS (SELECT scene_id, c, count(*) AS n, count(*) FILTER (abs(own) > top_cut) AS n_top FROM v_raster JOIN t USING (scene_id) WHERE abs(own) > cut GROUP BY ALL)
+SELECT scene_id, c, n, n_top, row_number() OVER (PARTITION BY scene_id ORDER BY n_top DESC, n DESC, c) AS rank FROM k""")
 def a17b(spark, sf):
+    """Every column with pixels above the 99th percentile; those above the 99.9th rank first."""
     x = X.v_raster(spark, sf).select("scene_id", "c", F.abs("own").alias("v"))
-    cut = exact_percentiles(x, ["scene_id"], F.col("v"), {"cut": 0.999}).select("scene_id", "cut")
-    n = x.join(cut, "scene_id").where(F.col("v") > F.col("cut")).groupBy("scene_id", "c").agg(F.count("*").alias("n"))
-    rank = F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("n"), "c"))
-    return n.withColumn("rank", rank).where("rank <= 10").drop("rank")
+    cuts = exact_percentiles(x, ["scene_id"], F.col("v"), {"cut": 0.99, "top_cut": 0.999}).select("scene_id", "cut", "top_cut")
+    n = x.join(cuts, "scene_id").where(F.col("v") > F.col("cut")).groupBy("scene_id", "c").agg(
+        F.count("*").alias("n"), F.count(F.when(F.col("v") > F.col("top_cut"), 1)).alias("n_top"))
+    rank = F.row_number().over(W.partitionBy("scene_id").orderBy(F.desc("n_top"), F.desc("n"), "c"))
+    return n.withColumn("rank", rank.cast("bigint"))
 
 
 VARIANTS = {"wide": (((2000.0, 2300.0), (2400.0, 2800.0)), None), "narrow": (C.CH4_WINDOWS_NM, None), "notched": (C.CH4_WINDOWS_NM, (2280.0, 2320.0))}

@@ -199,3 +199,18 @@ def test_significance_levels_share_one_segmentation(spark):
         labels = plume.segment(dense, ~box, p).join(facts, ["scene_id", "r", "c"])
         first = labels.where("inside").groupBy("label").count().orderBy(F.desc("count"), "label").first().label
         assert labels.where(F.col("label") == first).count() == rows[p].n_px
+
+
+def test_blob_columns_hold_every_bright_pixel(spark, sf):
+    from skyledger.workload import QUERIES
+    from skyledger.workload import fixtures as X
+
+    scenes = {}
+    for r in X.v_raster(spark, sf).where("own is not null").select("scene_id", "own").collect():
+        scenes.setdefault(r.scene_id, []).append(abs(r.own))
+    rows = QUERIES["a17_blob_columns"](spark, sf).collect()
+    for scene, values in scenes.items():
+        own = [r for r in rows if r.scene_id == scene]
+        assert sum(r.n for r in own) == int((np.array(values) > np.quantile(values, 0.99)).sum())
+        assert sum(r.n_top for r in own) == int((np.array(values) > np.quantile(values, 0.999)).sum())
+        assert sorted(r["rank"] for r in own) == list(range(1, len(own) + 1))
