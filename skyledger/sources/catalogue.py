@@ -17,11 +17,33 @@ def search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """
     q = queries.withColumn("_c", F.struct(F.floor("lat").cast("bigint").alias("i"), F.floor("lon").cast("bigint").alias("j")))
     c = items.withColumn("_c", F.explode("cells"))
-    hit = (
+    return c.join(q, "_c").where(_hit()).select("query_id", "item_id", "t0")
+
+
+def _hit() -> Column:
+    return (
         F.col("lon").between(F.col("min_lon"), F.col("max_lon")) & F.col("lat").between(F.col("min_lat"), F.col("max_lat"))
         & (F.col("t0") <= F.col("d1")) & (F.col("t1") >= F.col("d0"))
     )
-    return c.join(q, "_c").where(hit).select("query_id", "item_id", "t0")
+
+
+def search_ends(items: DataFrame, queries: DataFrame) -> DataFrame:
+    """``query_id, first, last`` of the items :func:`search` finds: the first by time, then id, and the greatest id.
+
+    Items of one box and interval are found by the same queries, so they meet the queries as
+    one row with their smallest and greatest id; the hits themselves are never listed.
+    """
+    box = ["min_lon", "min_lat", "max_lon", "max_lat", "t0", "t1", "cells"]
+    classes = items.groupBy(*box).agg(F.min("item_id").alias("_low"), F.max("item_id").alias("_high"))
+    hits = search(classes.withColumn("item_id", F.struct("_low", "_high")), queries)
+    ends = hits.groupBy("query_id").agg(F.min(F.struct("t0", "item_id._low")).alias("f"), F.max("item_id._high").alias("last"))
+    return ends.select("query_id", F.col("f._low").alias("first"), "last")
+
+
+def found_pins(items: DataFrame, queries: DataFrame, pins: DataFrame) -> DataFrame:
+    """``query_id, item_id`` of the ``pins`` (``query_id, pin``) that :func:`search` finds, looked up by their id."""
+    asked = pins.join(queries, "query_id")
+    return asked.join(items, F.col("pin") == F.col("item_id")).where(_hit()).select("query_id", "item_id").distinct()
 
 
 def box_cells(min_lon: Column, min_lat: Column, max_lon: Column, max_lat: Column) -> Column:

@@ -298,3 +298,19 @@ def test_upwind_cells_do_not_depend_on_the_meridian(spark):
     across = df.select("scene_id", F.lit(2.0).alias("u"), F.lit(0.0).alias("v")).distinct()
     for w in (wind, across):
         assert {r.n_top for r in plume.upwind_source(df, w).collect()} == {20}
+
+
+def test_search_ends_and_pins_list_no_hits(spark):
+    items = [(f"i{n:02d}", n % 2 * 1.0, 0.0, n % 2 * 1.0 + 1.5, 1.5, dt.date(2022, 1, 1 + n % 3), dt.date(2022, 1, 9)) for n in range(30)]
+    df = spark.createDataFrame(items, "item_id string, min_lon double, min_lat double, max_lon double, max_lat double, t0 date, t1 date")
+    df = df.withColumn("cells", catalogue.box_cells(F.col("min_lon"), F.col("min_lat"), F.col("max_lon"), F.col("max_lat")))
+    asked = [(q, q * 0.5, 0.5, dt.date(2022, 1, 1), dt.date(2022, 1, 1 + q % 3)) for q in range(6)]
+    queries = spark.createDataFrame(asked, "query_id long, lon double, lat double, d0 date, d1 date")
+    hits = {}
+    for r in catalogue.search(df, queries).collect():
+        hits.setdefault(r.query_id, []).append((r.t0, r.item_id))
+    got = {r.query_id: (r["first"], r["last"]) for r in catalogue.search_ends(df, queries).collect()}
+    assert got == {q: (min(h)[1], max(i for _, i in h)) for q, h in hits.items()} and len(got) > 3
+    pins = spark.createDataFrame([(q, "i05") for q in range(6)], "query_id long, pin string")
+    want = {q for q, h in hits.items() if "i05" in {i for _, i in h}}
+    assert {r.query_id for r in catalogue.found_pins(df, queries, pins).collect()} == want
