@@ -376,7 +376,8 @@ def p7(spark, sf):
 def s1(spark, sf):
     path = scratch_path(spark, "stations")
     obs = X.v_obs(spark, sf).select("station", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("DATE"), F.col("tmp").alias("TMP"), "event_id")
-    obs.write.partitionBy("station").option("header", True).csv(path)
+    # One file a station, however many tasks read the events.
+    obs.repartition("station").write.partitionBy("station").option("header", True).csv(path)
     return stations.parse_temps(stations.read_station_csv(spark, path))
 
 
