@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,38 +38,31 @@ def window_climatology(
     ``grid`` is ``(cell keys, year, day_idx, tmax)``. A variant is
     ``(name, first_year, last_year, half_window)``. The pool is total over
     count, so unequal years weigh by their samples. One aggregate folds all
-    years; window frames then run over at most ``n_days`` rows per cell.
+    years, a column a variant; window frames then run over at most ``n_days`` rows per cell,
+    and a row per variant is made last.
     """
-    specs = F.array(
-        *[
-            F.struct(F.lit(n).alias("variant"), F.lit(a).alias("y0"), F.lit(b).alias("y1"), F.lit(h).alias("h"))
-            for n, a, b, h in variants
-        ]
-    )
-    s = F.col("s")
-    base = F.col("year").between(s["y0"], s["y1"])
     is_event = F.col("year") == event_year
+    among = [F.col("year").between(a, b) for _, a, b, _ in variants]
     sums = (
-        grid.withColumn("s", F.explode(specs)).where(base | is_event)
-        .groupBy(*CELL, "day_idx", s["variant"].alias("variant"), s["h"].alias("h"))
+        grid.where(reduce(Column.__or__, among, is_event)).groupBy(*CELL, "day_idx")
         .agg(
-            F.sum(F.when(base, F.col("tmax"))).alias("_s"),
-            F.count(F.when(base, F.col("tmax"))).alias("_n"),
+            *[F.sum(F.when(base, F.col("tmax"))).alias(f"_s{i}") for i, base in enumerate(among)],
+            *[F.count(F.when(base, F.col("tmax"))).alias(f"_n{i}") for i, base in enumerate(among)],
             F.max(F.when(is_event, F.col("tmax"))).alias("tmax"),
         )
     )
-    pooled_s, pooled_n = None, None
-    for h in sorted({v[3] for v in variants}):
-        w = W.partitionBy(*CELL, "variant", "h").orderBy("day_idx").rangeBetween(-h, h)
-        s_h, n_h = F.sum("_s").over(w), F.sum("_n").over(w)
-        cond = F.col("h") == h
-        pooled_s = F.when(cond, s_h) if pooled_s is None else pooled_s.when(cond, s_h)
-        pooled_n = F.when(cond, n_h) if pooled_n is None else pooled_n.when(cond, n_h)
+    frame = W.partitionBy(*CELL).orderBy("day_idx")
+    pools = [
+        F.struct(F.lit(name).alias("variant"), F.lit(h).alias("h"), F.sum(f"_s{i}").over(frame.rangeBetween(-h, h)).alias("s"),
+                 F.sum(f"_n{i}").over(frame.rangeBetween(-h, h)).alias("n"))
+        for i, (name, _, _, h) in enumerate(variants)
+    ]
     out = (
-        sums.withColumn("_ps", pooled_s).withColumn("_pn", pooled_n)
-        .withColumn("clim", F.when(F.col("_pn") > 0, F.col("_ps") / F.col("_pn")))
-        .withColumn("clim_n", F.coalesce("_pn", F.lit(0)).cast("bigint"))
-        .where(F.col("tmax").isNotNull())
+        sums.withColumn("_pools", F.array(*pools)).where(F.col("tmax").isNotNull())
+        .select(*CELL, "day_idx", "tmax", F.explode("_pools").alias("_p"))
+        .withColumn("variant", F.col("_p.variant")).withColumn("h", F.col("_p.h"))
+        .withColumn("clim", F.when(F.col("_p.n") > 0, F.col("_p.s") / F.col("_p.n")))
+        .withColumn("clim_n", F.coalesce("_p.n", F.lit(0)).cast("bigint"))
     )
     if computable_only:
         out = out.where(F.col("day_idx").between(F.col("h"), n_days - 1 - F.col("h")))
