@@ -139,49 +139,70 @@ def percent_rank(sample: Column, value: Column) -> Column:
     return F.avg((sample < value).cast("double"))
 
 
-def factor_scores(diag: DataFrame) -> DataFrame:
-    """Factor hypotheses from a wide diagnostics table, one row per (event, factor).
+# The components of each factor and their weights.
+FACTORS = {
+    "F1": ("warming_contributor", {"ridge_anomaly_percentile": 0.6, "ridge_persistence": 0.4}),
+    "F2": ("warming_contributor", {"antecedent_dryness_rarity": 0.7, "window_dryness_rarity": 0.3}),
+    "F3": ("warming_contributor", {"flow_anomaly_magnitude": 1.0}),
+    "F4": ("severity_framing", {"humidity_anomaly_rarity": 1.0}),
+    "F5": ("counter_evidence", {"urban_contrast": 1.0}),
+}
+
+
+def factor_ladder(diag: DataFrame) -> DataFrame:
+    """``event_id`` and ``factors`` of every row of ``diag``: an array of (rank, factor, role, score, raw) by rank; ``_humid`` is its humidity rarity.
 
     ``diag``: ``event_id, ridge_pct, days_above, n_days, ant_pct, win_pct,
-    flow_anomaly, flow_speed, dew_pct, uhi_k``.
+    flow_anomaly, flow_speed, dew_pct, uhi_k``, one row per event. An event's five factors are
+    made and ranked inside its row, so no row is moved: contributors by falling score, equal ones
+    in their order, then the others. A missing component counts for nothing.
     """
-    r3 = lambda c: F.bround(c, 3)
-    persist = F.col("days_above") / F.col("n_days")
     ant, win = 1.0 - F.col("ant_pct"), 1.0 - F.col("win_pct")
-    humid = S.rarity_two_sided(1.0 - F.col("dew_pct"))
-
-    def part(factor, order, role, name, value, weight):
-        return F.struct(F.lit(factor).alias("factor"), F.lit(order).alias("ord"), F.lit(role).alias("role"), F.lit(name).alias("component"),
-                        value.alias("value"), F.lit(weight).alias("weight"))
-
-    parts = F.array(
-        part("F1", 1, "warming_contributor", "ridge_anomaly_percentile", r3(F.col("ridge_pct")), 0.6),
-        part("F1", 1, "warming_contributor", "ridge_persistence", r3(persist), 0.4),
-        part("F2", 2, "warming_contributor", "antecedent_dryness_rarity", r3(S.rarity_above_median(ant)), 0.7),
-        part("F2", 2, "warming_contributor", "window_dryness_rarity", r3(S.rarity_above_median(win)), 0.3),
-        part("F3", 3, "warming_contributor", "flow_anomaly_magnitude", r3(S.flow_anomaly_ratio(F.col("flow_anomaly"), F.col("flow_speed"))), 1.0),
-        part("F4", 4, "severity_framing", "humidity_anomaly_rarity", r3(humid), 1.0),
-        part("F5", 5, "counter_evidence", "urban_contrast", F.lit(0.0), 1.0),
-    )
-    long = diag.select("event_id", humid.alias("_humid"), F.explode(parts).alias("p")).select("event_id", "_humid", "p.*")
-    s = long.groupBy("event_id", "factor", "ord", "role").agg(
-        F.bround(F.sum(S.contribution(F.col("value"), F.col("weight"))), 4).alias("_raw"), F.max("_humid").alias("_humid"))
-    s = s.withColumn("score", F.least("_raw", F.lit(1.0))).withColumn("_t", S.capped_band(F.col("_raw"), S.FACTOR_EDGES, "MODERATE"))
+    values = {
+        "ridge_anomaly_percentile": F.col("ridge_pct"), "ridge_persistence": F.col("days_above") / F.col("n_days"),
+        "antecedent_dryness_rarity": S.rarity_above_median(ant), "window_dryness_rarity": S.rarity_above_median(win),
+        "flow_anomaly_magnitude": S.flow_anomaly_ratio(F.col("flow_anomaly"), F.col("flow_speed")),
+        "humidity_anomaly_rarity": F.col("_humid"), "urban_contrast": F.lit(0.0),
+    }
+    shares = {c: S.contribution(F.bround(values[c], 3), F.lit(w)).alias(f"_{c}") for _, parts in FACTORS.values() for c, w in parts.items()}
+    d = diag.withColumn("_humid", S.rarity_two_sided(1.0 - F.col("dew_pct"))).select("event_id", "_humid", *shares.values())
+
+    def total(parts: dict[str, float]) -> Column:
+        known = F.coalesce(*[F.col(f"_{c}") for c in parts]).isNotNull()
+        return F.when(known, F.bround(sum((F.coalesce(f"_{c}", F.lit(0.0)) for c in parts), F.lit(0.0)), 4))
+
+    d = d.select("event_id", "_humid", *[total(parts).alias(f) for f, (_, parts) in FACTORS.items()])
+    d = d.select("*", *[F.least(f, F.lit(1.0)).alias(f"_{f}") for f in FACTORS])
+    lead = [f for f, (role, _) in FACTORS.items() if role == "warming_contributor"]
+
+    def before(a: str, b: str) -> Column:
+        x, y = F.col(f"_{a}"), F.col(f"_{b}")
+        return F.coalesce(x > y, x.isNull() & y.isNotNull()) | (x.eqNullSafe(y) & F.lit(a < b))
+
+    def row(place: int, factor: str) -> Column:
+        rank = F.lit(place)
+        if factor in lead:
+            rank = sum((before(f, factor).cast("int") for f in lead if f != factor), F.lit(1))
+        return F.struct(rank.cast("bigint").alias("rank"), F.lit(factor).alias("factor"), F.lit(FACTORS[factor][0]).alias("role"),
+                        F.col(f"_{factor}").alias("score"), F.col(factor).alias("raw"))
+
+    return d.select("event_id", "_humid", F.array_sort(F.array(*[row(i, f) for i, f in enumerate(FACTORS, start=1)])).alias("factors"))
+
+
+def factor_scores(diag: DataFrame) -> DataFrame:
+    """Factor hypotheses from a wide diagnostics table, one row per (event, factor); see :func:`factor_ladder`."""
+    # explode would add a test of the array below the steps that make it, and so make it twice.
+    s = factor_ladder(diag).select("event_id", "_humid", F.explode_outer("factors").alias("x")).select("event_id", "_humid", "x.*")
     tier = (
         F.when(F.col("factor") == "F4", F.when(F.col("_humid") >= 0.25, "LOW").otherwise("INSUFFICIENT"))
-        .when(F.col("factor") == "F5", "INSUFFICIENT").otherwise(F.col("_t.tier"))
+        .when(F.col("factor") == "F5", "INSUFFICIENT").otherwise(S.capped_band(F.col("raw"), S.FACTOR_EDGES, "MODERATE")["tier"])
     )
-    group = F.when(F.col("role") == "warming_contributor", 0).otherwise(F.col("ord"))
-    w = W.partitionBy("event_id").orderBy(group, F.when(group == 0, -F.col("score")), "ord")
-    return s.withColumn("tier", tier).withColumn("rank", F.row_number().over(w).cast("bigint")).select(
-        "event_id", "factor", "role", "score", "tier", "rank")
+    return s.select("event_id", "factor", "role", "score", tier.alias("tier"), "rank")
 
 
-def discrimination(factors: DataFrame) -> DataFrame:
-    """Gap between the two leading contributors and whether it resolves them."""
-    g = factors.groupBy("event_id").agg(
-        F.max(F.when(F.col("rank") == 1, F.struct("factor", "score"))).alias("a"),
-        F.max(F.when(F.col("rank") == 2, F.struct("factor", "score"))).alias("b"))
+def discrimination(ladder: DataFrame) -> DataFrame:
+    """Gap between the two leading contributors of every row of :func:`factor_ladder` and whether it resolves them."""
+    g = ladder.select("event_id", F.col("factors")[0].alias("a"), F.col("factors")[1].alias("b"))
     gap = F.abs(F.col("a.score") - F.col("b.score"))
     return g.select("event_id", F.col("a.factor").alias("first"), F.col("b.factor").alias("second"), gap.alias("gap"),
                     (gap < C.DISCRIMINATION_GAP).alias("undiscriminated"))

@@ -179,12 +179,15 @@ rk AS (SELECT event_id, x.f AS factor, CASE WHEN x.o <= 3 THEN 'warming_contribu
 """
 
 
-def _factors(spark, sf):
-    d = X.table(spark, sf, "part", ["p_partkey", "p_size"]).select(
+def _diagnostics(spark, sf):
+    return X.table(spark, sf, "part", ["p_partkey", "p_size"]).select(
         F.col("p_partkey").alias("event_id"), (F.col("p_size") / 50.0).alias("ridge_pct"), F.expr("(p_partkey * 7) % 11").alias("days_above"), F.lit(10).alias("n_days"),
         F.expr("((p_partkey * 13) % 31) / 30.0D").alias("ant_pct"), F.expr("((p_partkey * 17) % 31) / 30.0D").alias("win_pct"), F.expr("((p_partkey * 5) % 40) / 10.0D").alias("flow_anomaly"),
         F.expr("((p_partkey * 3) % 50) / 10.0D").alias("flow_speed"), F.expr("((p_partkey * 11) % 31) / 30.0D").alias("dew_pct"), F.expr("-(p_size % 7) / 10.0D").alias("uhi_k"))
-    return attribution.factor_scores(d)
+
+
+def _factors(spark, sf):
+    return attribution.factor_scores(_diagnostics(spark, sf))
 
 
 @query("h4_factor_hypotheses", "", "WITH " + _FACT + "SELECT event_id, factor, role, round(score, 4) AS score, tier FROM rk")
@@ -200,7 +203,7 @@ def t6(spark, sf):
 @query("h5_discrimination", "", "WITH " + _FACT + """
 SELECT a.event_id, a.factor AS first, b.factor AS second, round(abs(a.score - b.score), 4) AS gap, abs(a.score - b.score) < 0.15 AS undiscriminated FROM rk a JOIN rk b ON a.event_id = b.event_id WHERE a.rank = 1 AND b.rank = 2""")
 def h5(spark, sf):
-    return attribution.discrimination(_factors(spark, sf)).withColumn("gap", rnd("gap", 4))
+    return attribution.discrimination(attribution.factor_ladder(_diagnostics(spark, sf))).withColumn("gap", rnd("gap", 4))
 
 
 # ------------------------------------------------------------------ data quality
