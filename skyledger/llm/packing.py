@@ -182,8 +182,8 @@ def encoder(path: str, ranks: str | None) -> ChunkEncoder:
     return _ENCODERS[key]
 
 
-def groups(batches: Iterator[pa.RecordBatch], size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
-    """The batches put together until they hold about ``size`` bytes."""
+def groups(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches put together until they hold about ``size`` bytes; a worker's memory grows with that."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         held.append(batch)
