@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -50,9 +49,8 @@ FEATURES = [
     "kind", "wide", "checks", "chars", "digits", "letters", "upper", "variety", "cue", "assigned", "quoted",
     "glued_before", "glued_after",
 ]
-#: Bound of the rows the trees are fitted on, and of those that set the thresholds (every third of them);
-#: every wide kind has an equal share of it, and all base candidates together have one.
-SAMPLE = 12_000
+#: Weight of all candidates together; every wide kind has an equal share of it, and all base candidates together have one.
+TOTAL = 12_000
 #: A kind with fewer rows to set its threshold takes the one of all wide kinds together, or ``FALLBACK`` without any.
 ENOUGH, FALLBACK = 20, 0.5
 
@@ -223,39 +221,43 @@ def _weak_label(c: str) -> str:
     )
 
 
-def fit(cands: DataFrame, sample: int = SAMPLE, precision: float = 0.9, rounds: int = 10, depth: int = 4) -> Selector:
-    """Fit trees and thresholds on at most ``sample`` candidates of the table ``cands`` (``doc_id, __cands``).
+def fit(cands: DataFrame, sample: float = TOTAL, precision: float = 0.9, rounds: int = 10, depth: int = 4) -> Selector:
+    """Fit trees and thresholds on every candidate of the table ``cands`` (``doc_id, __cands``).
 
-    Every wide kind, and all base candidates together, have an equal share of the sample,
-    so a rare kind is in it at any size; a share is drawn by a hash of place and features, and
-    candidates alike in all of these (copied documents) are one. There are no labels for spans, so
+    Candidates alike in features and label become one row that counts them. Every wide kind, and
+    all base candidates together, have an equal share of the total weight ``sample``, so a rare kind
+    weighs as much as a common one at any size. There are no labels for spans, so
     checks, overlaps with valid spans and cues serve as weak ones; format and context features carry them over to
-    candidates without either. A third of the sample sets, per kind, the lowest score at
-    which ``precision`` of what is selected is labelled as data; a kind with fewer than
-    ``ENOUGH`` rows there takes the threshold of all wide kinds together. Without both classes
-    there is nothing to learn and base spans alone are selected.
+    candidates without either. A third of the candidates, by a hash of place and features, sets, per kind, the lowest
+    score at which ``precision`` of what is selected is labelled as data; a kind with fewer than
+    ``ENOUGH`` candidates there takes the threshold of all wide kinds together, which weighs the kinds alike. Without
+    both classes there is nothing to learn and base spans alone are selected.
     """
     rows = cands.where("size(__cands) > 0").select(F.explode("__cands").alias("c"))
     key = F.xxhash64("c.start", "c.end", *[f"c.{n}" for n in FEATURES])
-    rows = rows.select(*[F.col(f"c.{n}").cast("double").alias(n) for n in FEATURES], F.expr(_weak_label("c")).cast("double").alias("label"), key.alias("key"))
-    rows = materialise(rows.groupBy("key").agg(*[F.first(n).alias(n) for n in [*FEATURES, "label"]]), "pii_contexts")
-    shares = [rows.where("wide = 0"), *[rows.where((F.col("wide") == 1) & (F.col("kind") == KINDS.index(k))) for k in WIDE]]
-    drawn = [part.orderBy("key").limit(sample // len(shares)) for part in shares]
-    rows = materialise(reduce(DataFrame.unionByName, drawn), "pii_sample")
-    third = F.pmod("key", F.lit(3)) == 0
+    rows = rows.select(*[F.col(f"c.{n}").cast("double").alias(n) for n in FEATURES], F.expr(_weak_label("c")).cast("double").alias("label"), (F.pmod(key, F.lit(3)) == 0).alias("third"))
+    rows = materialise(rows.groupBy(*FEATURES, "label", "third").agg(F.count("*").alias("n")), "pii_contexts")
+    share = F.when(F.col("wide") == 1, F.col("kind")).otherwise(-1.0)
+    totals = rows.groupBy(share.alias("share")).agg(F.sum("n").alias("n")).collect()
+    each = F.create_map(*[F.lit(x) for r in totals for x in (r["share"], sample / (1 + len(WIDE)) / r["n"])]) if totals else F.lit(None)
+    rows = rows.withColumn("weight", F.col("n") * each[share]) if totals else rows.withColumn("weight", F.lit(0.0))
+    third = F.col("third")
     classes = rows.where(~third).groupBy("label").count().collect()
     if len(classes) < 2:
         return Selector()
     ready = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)
-    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7).fit(ready.where(~third))
+    model = GBTClassifier(maxIter=rounds, maxDepth=depth, stepSize=0.3, seed=7, weightCol="weight").fit(ready.where(~third))
 
     fitted = Selector([tree_nodes(t) for t in model.trees], list(model.treeWeights))
     row = F.struct(*FEATURES)
-    scored = rows.where(third & (F.col("wide") == 1)).select("kind", "label", (F.floor(fitted.score(row) * 1000) / 1000).alias("score"))
+    scored = rows.where(third & (F.col("wide") == 1)).select("kind", "label", "n", "weight", (F.floor(fitted.score(row) * 1000) / 1000).alias("score"))
     per_kind: dict[int, list[tuple[float, int, float]]] = {}
-    for r in scored.groupBy("kind", "score").agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect():
+    weighed: list[tuple[float, float, float]] = []
+    sums = [F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("hits"), F.sum("weight").alias("w"), F.sum(F.col("label") * F.col("weight")).alias("w_hits")]
+    for r in scored.groupBy("kind", "score").agg(*sums).collect():
         per_kind.setdefault(int(r["kind"]), []).append((r["score"], r["n"], r["hits"]))
-    every = lowest_score([x for steps in per_kind.values() for x in steps], precision)
+        weighed.append((r["score"], r["w"], r["w_hits"]))
+    every = lowest_score(weighed, precision)
     for kind in map(KINDS.index, WIDE):
         steps = per_kind.get(kind, [])
         few = sum(n for _, n, _ in steps) < ENOUGH
@@ -265,7 +267,7 @@ def fit(cands: DataFrame, sample: int = SAMPLE, precision: float = 0.9, rounds:
     return fitted
 
 
-def lowest_score(steps: list[tuple[float, int, float]], precision: float) -> float | None:
+def lowest_score(steps: list[tuple[float, float, float]], precision: float) -> float | None:
     """The lowest score from which on ``precision`` of the rows are hits; ``steps`` are ``(score, rows, hits)``."""
     n = hits = 0
     lowest = None
@@ -291,8 +293,8 @@ def with_spans(found: DataFrame, selector: Selector) -> DataFrame:
 def find(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``base`` and ``spans`` of every row; each span has ``start`` and ``end`` in code points and a ``kind`` index.
 
-    Runs in three passes: candidates of all rows, one table; the fit on a bounded sample
-    of it; selection. NULL and empty texts have no spans, repeated rows each get a row,
+    Runs in three passes: candidates of all rows, one table; the fit on all of
+    them; selection. NULL and empty texts have no spans, repeated rows each get a row,
     an empty table gives none.
     """
     cands = materialise(with_candidates(docs.select("doc_id", "text")).select("doc_id", "__cands"), "pii")
