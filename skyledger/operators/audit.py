@@ -28,12 +28,22 @@ def verdict(n_failures: Column, is_head: Column) -> Column:
     return F.when(n_failures > 0, "RED").when(~is_head, "WARNING").otherwise("GREEN")
 
 
-def missing_both_ways(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of either side without a partner, tagged by side."""
-    return (
-        a.select(*keys).distinct().join(b, keys, "left_anti").withColumn("side", F.lit("left only"))
-        .unionByName(b.select(*keys).distinct().join(a, keys, "left_anti").withColumn("side", F.lit("right only")))
-    )
+#: Rows of both sides that one task of :func:`missing_both_ways` compares, about.
+TASK_ROWS = 500_000
+
+
+def missing_both_ways(a: DataFrame, b: DataFrame, keys: list[str], rows: int = TASK_ROWS) -> DataFrame:
+    """Keys of either side without a partner, tagged by side; a key with a NULL has none.
+
+    Both sides are exchanged once by their keys, to a task for about every ``rows`` rows, and meet
+    in one aggregate, so that a task's memory does not grow with the inventories.
+    """
+    sides = a.select(*keys, F.lit(True).alias("_left")).unionByName(b.select(*keys, F.lit(False).alias("_left")))
+    tasks = max(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sides.count() // rows))
+    met = sides.repartition(tasks, *keys).groupBy(*keys).agg(F.bool_or("_left").alias("_l"), F.bool_or(~F.col("_left")).alias("_r"))
+    alone = reduce(Column.__or__, [F.col(k).isNull() for k in keys], F.col("_l") != F.col("_r"))
+    side = F.explode(F.array_compact(F.array(F.when(F.col("_l"), F.lit("left only")), F.when(F.col("_r"), F.lit("right only")))))
+    return met.where(alone).select(*keys, side.alias("side"))
 
 
 def unsupported(citations: DataFrame, features: DataFrame) -> DataFrame:
