@@ -162,10 +162,25 @@ def polygon_edges(polygons: DataFrame) -> DataFrame:
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell_deg: float = 2.0, rows: int = CELL_ROWS) -> DataFrame:
     """(point, polygon) pairs where the polygon contains the point.
 
-    Polygons are cut once to the cells of the points, which are split by their counts: a cell
+    Points at one place, and polygons with equal rings, are tested once: places meet shapes as in
+    :func:`places_in_shapes`, and the points and polygons behind them are joined by equality. So the
+    geometry grows with the distinct places and shapes, and only the rows returned with the copies.
+    """
+    at = points.select("point_id", (F.col("lon") + F.lit(0.0)).alias("lon"), (F.col("lat") + F.lit(0.0)).alias("lat"))
+    shaped = materialise(polygons.select("poly_id", "rings", F.sha2(F.to_json("rings"), 256).alias("_shape")), "shapes")
+    shapes = shaped.groupBy(F.col("_shape").alias("poly_id")).agg(F.first("rings").alias("rings"))
+    places = at.select("lon", "lat").distinct()
+    met = materialise(places_in_shapes(places, shapes, cell_deg, rows).withColumnRenamed("poly_id", "_shape"), "places-in-shapes")
+    return met.join(shaped.drop("rings"), "_shape").join(at, ["lon", "lat"]).select("point_id", "poly_id")
+
+
+def places_in_shapes(places: DataFrame, polygons: DataFrame, cell_deg: float, rows: int) -> DataFrame:
+    """``lon, lat, poly_id`` of the places inside each polygon.
+
+    Polygons are cut once to the cells of the places, which are split by their counts: a cell
     keeps the edges that a ray from it to the east can cross, and a polygon without such edges
-    does not reach the cell. So a point meets only the edges of its cell, and no cell holds more
-    than ``rows`` points. Containment is the parity of crossings. A point on the lower
+    does not reach the cell. So a place meets only the edges of its cell, and no cell holds more
+    than ``rows`` places. Containment is the parity of crossings. A place on the lower
     or left boundary counts as inside, on the upper or right as outside.
     """
     edge = lambda a, b: F.struct(a["lon"].alias("x0"), a["lat"].alias("y0"), b["lon"].alias("x1"), b["lat"].alias("y1"))
@@ -174,7 +189,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell_deg: float =
         "poly_id", F.flatten(F.transform("rings", ring_edges)).alias("_edges"),
         F.col("_b.min_lon").alias("_w"), F.col("_b.max_lon").alias("_e"), F.col("_b.min_lat").alias("_s"), F.col("_b.max_lat").alias("_n"),
     )
-    q, leaves = cell_tree(points.select("point_id", "lon", "lat"), cell_deg, False, rows)
+    q, leaves = cell_tree(places.select("lon", "lat"), cell_deg, False, rows)
     crossed = F.filter("_edges", lambda e: (
         (e["y0"] != e["y1"]) & (F.greatest(e["x0"], e["x1"]) >= F.col("_cw"))
         & (F.least(e["y0"], e["y1"]) <= F.col("_cn")) & (F.greatest(e["y0"], e["y1"]) >= F.col("_cs"))
@@ -186,7 +201,7 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell_deg: float =
         ((e["y0"] > lat) != (e["y1"] > lat)) & (lon < (e["x1"] - e["x0"]) * (lat - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"])
     ))
     pair = q.join(p, ["_level", "_i", "_j", "_salt"]).where(lon.between(F.col("_w"), F.col("_e")) & lat.between(F.col("_s"), F.col("_n")))
-    return pair.where(F.size(hit) % 2 == 1).select("point_id", "poly_id")
+    return pair.where(F.size(hit) % 2 == 1).select("lon", "lat", "poly_id")
 
 
 def representative_points(polygons: DataFrame) -> DataFrame:
