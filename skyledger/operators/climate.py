@@ -141,8 +141,13 @@ def lane_cells(clim: DataFrame, land: DataFrame, offset_k: float = C.KELVIN) ->
     )
 
 
-def lane_days(cells: DataFrame, land: DataFrame) -> DataFrame:
-    """Per region, variant and day: qualifying fraction, extent, mean anomaly, peak cell."""
+def lane_days(cells: DataFrame, land: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Per region, variant and day: qualifying fraction, extent, mean anomaly, peak cell.
+
+    With ``tasks`` the regions' days are dealt out to so many.
+    """
+    if tasks:
+        cells = cells.repartition(tasks, "region_id", "variant", "day_idx")
     total = land.where(F.col("lsm") > 0.5).groupBy("region_id").agg(
         F.sum(cell_area_km2(F.col("lat"))).alias("land_area")
     )

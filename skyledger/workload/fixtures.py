@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.stencil import dense_raster
-from ..session import apply_runtime_conf
+from ..session import apply_runtime_conf, tasks_for
 
 SIDE = 48
 SCENE_ORDERS = 7500
@@ -30,17 +30,25 @@ def table(spark: SparkSession, sf: str, name: str, cols: list[str] | None = None
 # ---------------------------------------------------------------- gridded days
 
 
-def v_grid(spark, sf):
+def grid_tasks(spark, sf):
+    """Tasks among which the cells of the grid are dealt out."""
+    return tasks_for(table(spark, sf, "lineitem"))
+
+
+def v_grid(spark, sf, tasks=None):
+    """One row per cell and day; with ``tasks`` cells are dealt out to so many, and what follows per cell needs no other exchange."""
     li = table(spark, sf, "lineitem", ["l_partkey", "l_suppkey", "l_shipdate", "l_quantity"])
+    rows = li.select(
+        F.expr("l_suppkey div 50").alias("region_id"),
+        F.expr("l_partkey % 4").alias("lat_i"),
+        F.expr("l_suppkey % 4").alias("lon_i"),
+        F.to_date("l_shipdate").alias("day"),
+        "l_quantity",
+    )
+    if tasks:
+        rows = rows.repartition(tasks, "region_id", "lat_i", "lon_i")
     return (
-        li.select(
-            F.expr("l_suppkey div 50").alias("region_id"),
-            F.expr("l_partkey % 4").alias("lat_i"),
-            F.expr("l_suppkey % 4").alias("lon_i"),
-            F.to_date("l_shipdate").alias("day"),
-            "l_quantity",
-        )
-        .groupBy("region_id", "lat_i", "lon_i", "day")
+        rows.groupBy("region_id", "lat_i", "lon_i", "day")
         .agg(F.max("l_quantity").alias("tmax"))
         .withColumn("lat", 22.0 + F.col("lat_i"))
         .withColumn("lon", 70.0 + F.col("lon_i"))
@@ -51,7 +59,7 @@ def v_days(spark, sf):
     """v_grid on a common-year axis: 29 February dropped, ``year`` and ``day_idx`` added."""
     from ..functions.calendar import common_year_index
 
-    g = v_grid(spark, sf)
+    g = v_grid(spark, sf, grid_tasks(spark, sf))
     return (
         g.withColumn("day_idx", common_year_index(F.col("day")))
         .where(F.col("day_idx").isNotNull())

@@ -27,7 +27,7 @@ def _cells(spark, sf, variants=CENTRAL):
 
 
 def _days(spark, sf, variants=CENTRAL):
-    return climate.lane_days(_cells(spark, sf, variants), X.v_land(spark, sf))
+    return climate.lane_days(_cells(spark, sf, variants), X.v_land(spark, sf), X.grid_tasks(spark, sf))
 
 
 @query("p9_season_axis", "v_grid", """
@@ -234,7 +234,7 @@ CASE WHEN e_other > 0 THEN round(abs(e_own - e_other) / e_other, 3) END AS rel,
 def a29(spark, sf):
     land = X.v_land(spark, sf)
     own = _days(spark, sf).withColumn("lane", F.lit("own"))
-    other = climate.lane_days(_second_cells(spark, sf), land).withColumn("lane", F.lit("other"))
+    other = climate.lane_days(_second_cells(spark, sf), land, X.grid_tasks(spark, sf)).withColumn("lane", F.lit("other"))
     cols = ["region_id", "lane", F.col("day_idx").alias("pos"), "extent_km2", "area_frac"]
     both = materialise(own.select(*cols).unionByName(other.select(*cols)), "lane-days")
     peak = both.where("lane = 'own'").groupBy("region_id").agg(F.max_by("pos", F.struct("area_frac", -F.col("pos"))).alias("anchor"))

@@ -348,3 +348,25 @@ def test_equal_places_and_shapes_are_tested_once(spark, monkeypatch):
     monkeypatch.setattr(spatial, "places_in_shapes", lambda a, b, *more: (seen.append((a.count(), b.count())), plain(a, b, *more))[1])
     got = sorted(map(tuple, spatial.points_in_polygons(pts, polys, 2.0).collect()))
     assert got == [(i, k) for i in range(20) if i % 4 != 1 for k in range(6)] and seen == [(3, 1)]
+
+
+def test_tasks_of_the_grid_follow_its_rows(spark, monkeypatch):
+    from skyledger import session
+    from skyledger.operators import climate
+    from skyledger.workload import fixtures as X
+    from skyledger.workload.q_heat import _cells
+
+    sf = "/root/testdata/sf0.001"
+    least = spark.sparkContext.defaultParallelism
+    assert [session.tasks_for(spark.range(1000), n) for n in (1000, 10)] == [least, 100]
+    monkeypatch.setattr(X, "tasks_for", lambda df: session.tasks_for(df, 100))
+    n = X.grid_tasks(spark, sf)
+    days = X.v_days(spark, sf)
+    assert n == -(-X.table(spark, sf, "lineitem").count() // 100) and days.rdd.getNumPartitions() == n
+    # Cells are not exchanged again for the sums and windows of the climatology.
+    clim = climate.window_climatology(days, X.EVENT_YEAR, [("central", 1995, 2000, 10)])
+    assert clim.rdd.getNumPartitions() == n
+    land = X.v_land(spark, sf)
+    few, many = (climate.lane_days(_cells(spark, sf), land, t).select("region_id", "day_idx", "extent_km2", "area_frac") for t in (None, n))
+    values = lambda d: sorted((r[0], r[1], round(r[2], 3), round(r[3], 9)) for r in d.collect())
+    assert values(few) == values(many)
