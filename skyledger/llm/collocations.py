@@ -165,6 +165,15 @@ def _placed(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[_Placed
         yield _Placed(langs.dictionary.to_pylist(), names, lang, code, np.repeat(batch.column("times").to_numpy(), sizes), own, pair, bucket)
 
 
+def _distinct(keys: np.ndarray, below: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the place of each key among them; without a sort if all are less than ``below``."""
+    if below is None:
+        return np.unique(keys, return_inverse=True)
+    there = np.zeros(below, bool)
+    there[keys] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[keys]
+
+
 def busy_buckets(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEAST) -> bytes:
     """A bitmap of ``2 ** BUCKET_BITS`` bits: the buckets whose pairs of words occur at least ``least`` times together.
 
@@ -179,9 +188,13 @@ def busy_buckets(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LEA
         counters = np.zeros(1 << BUCKET_BITS, np.uint8)
         for rows in _placed(batches, overlap):
             counted = rows.own & rows.pair
-            found, place = np.unique(rows.bucket[counted], return_inverse=True)
-            sums = np.bincount(place, weights=np.minimum(rows.times[counted], stop), minlength=len(found))
-            counters[found] = np.minimum(counters[found] + sums, stop)
+            # Bucket and count in one number: a sort of plain numbers is several times faster than one that keeps places.
+            both = np.sort(rows.bucket[counted] << 8 | np.minimum(rows.times[counted], stop))
+            bucket = both >> 8
+            first = np.flatnonzero(np.diff(bucket, prepend=-1))
+            if len(first):
+                sums, found = np.add.reduceat(both & 255, first), bucket[first]
+                counters[found] = np.minimum(counters[found] + sums, stop)
         for i, block in enumerate(counters.reshape(BLOCKS, -1)):
             if block.any():
                 yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([zlib.compress(block, 1)], pa.binary())], names=["block", "counters"])
@@ -222,7 +235,7 @@ def phrase_counts(parsed: DataFrame, max_words: int = MAX_WORDS, least: int = LE
                     goes_on = link[at + n - 2]
                     at, code = at[goes_on], code[goes_on]
                 if n:
-                    found, code = np.unique(code * size + rows.code[at + n - 1], return_inverse=True)
+                    found, code = _distinct(code * size + rows.code[at + n - 1], len(rows.langs) * size if n == 1 else None)
                     head, tail = found // size, found % size
                     texts = [f"{texts[i]} {rows.names[j]}" if n > 1 else rows.names[j] for i, j in zip(head.tolist(), tail.tolist())]
                     lang = lang[head]

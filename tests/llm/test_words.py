@@ -208,3 +208,12 @@ def test_pairs_of_one_state_once():
     pairs = [tuple(sorted(p)) for p in variants.one_edit_pairs(words)]
     assert len(pairs) == len(set(pairs))
     assert set(pairs) == {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if near(a, b)}
+
+
+def test_distinct_keys_with_and_without_a_sort():
+    import numpy as np
+    from skyledger.llm import collocations
+
+    for keys in (np.array([], np.int64), np.random.default_rng(5).integers(0, 50, 300)):
+        a, b = collocations._distinct(keys, None), collocations._distinct(keys, 50)
+        assert all((x == y).all() for x, y in zip(a, b)) and (b[0][b[1]] == keys).all()
