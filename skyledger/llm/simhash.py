@@ -86,7 +86,8 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     ``SEGMENTS`` segments are right for ``distance`` up to 2 * SEGMENTS - 1. A join on
     equal keys finds the candidates and checks each on the spot, so only links leave it;
-    a key that many fingerprints share is split by the adaptive skew join.
+    a key that many fingerprints share is split by the adaptive skew join. The optimizer
+    counts a fingerprint's 67 keys as one row, so the join is told not to broadcast them.
     """
     count = distance // 2 + 1
     keys = fps.select("fp", F.explode(variants(F.col("fp"), count)).alias("v")).select("fp", "v.slot", "v.key", "v.side")
@@ -94,7 +95,7 @@ def links(fps: DataFrame, distance: int = DISTANCE) -> DataFrame:
     right = keys.where("side <> 0").select(F.col("fp").alias("b"), F.col("slot").alias("s"), F.col("key").alias("k"))
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance
     once = (F.col("slot") < BITS) | (F.col("a") < F.col("b"))
-    found = left.join(right, (F.col("slot") == F.col("s")) & (F.col("key") == F.col("k")) & once & near)
+    found = left.hint("merge").join(right.hint("merge"), (F.col("slot") == F.col("s")) & (F.col("key") == F.col("k")) & once & near)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
