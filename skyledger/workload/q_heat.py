@@ -237,7 +237,9 @@ def a29(spark, sf):
     other = climate.lane_days(_second_cells(spark, sf), land, X.grid_tasks(spark, sf)).withColumn("lane", F.lit("other"))
     cols = ["region_id", "lane", F.col("day_idx").alias("pos"), "extent_km2", "area_frac"]
     both = materialise(own.select(*cols).unionByName(other.select(*cols)), "lane-days")
-    peak = both.where("lane = 'own'").groupBy("region_id").agg(F.max_by("pos", F.struct("area_frac", -F.col("pos"))).alias("anchor"))
+    # Days with the same hot cells are ties; unrounded, the order in which their areas were summed would choose among them.
+    first_peak = F.struct(F.round("area_frac", 9).alias("a"), -F.col("pos"))
+    peak = both.where("lane = 'own'").groupBy("region_id").agg(F.max_by("pos", first_peak).alias("anchor"))
     anchors = peak.select("region_id", "anchor", F.explode(F.array(F.lit("own"), F.lit("other"))).alias("lane"))
     run = runs.anchored_run(both, anchors, 0.05, ["region_id", "lane"])
     pick = lambda lane, v: F.max(F.when(F.col("lane") == lane, F.col(v)))
